@@ -25,9 +25,11 @@ def nan_to_null(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Numeric value of a text or number, null where there is none. Never raises."""
-    text = c.cast("string")
-    return F.when(text.rlike(_NUMBER), text).try_cast("double")
+    """Numeric value of a text, null where there is none. Never raises.
+
+    ``c`` is used once, so filters on the result stay small where Spark repeats them.
+    """
+    return F.regexp_extract(c.cast("string"), _NUMBER, 0).try_cast("double")
 
 
 def whole_number(c: Column) -> Column:
@@ -37,7 +39,7 @@ def whole_number(c: Column) -> Column:
 
 def clean_age(c: Column) -> Column:
     """The text ``> 89`` stands for 90; anything else is a number or null."""
-    return number(F.when(c == "> 89", F.lit("90")).otherwise(c))
+    return number(F.regexp_replace(c.cast("string"), r"^> 89\z", "90"))
 
 
 def known(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acuity import schemas
 from acuity.functions import scalars as S
+from acuity.operators.clean import drop_missing
 from acuity.operators.skew import HOT_ROWS, percentiles
 from acuity.schemas import STAY
 
@@ -48,7 +49,7 @@ def top_units(patients: DataFrame, n: int = schemas.TOP_UNITS) -> DataFrame:
 def unit_share(patients: DataFrame) -> DataFrame:
     """Each unit's share of all patients. The total is a scalar subquery."""
     units = patients.groupBy("unittype").agg(F.count(F.lit(1)).alias("count"))
-    total = patients.agg(F.count(F.lit(1))).scalar()
+    total = units.agg(F.sum("count")).scalar()
     return units.withColumn("share", F.col("count") / total).orderBy(F.desc("count"), "unittype")
 
 
@@ -118,7 +119,7 @@ def box_summary(
     Exact quartiles with linear interpolation; whiskers end at the last values within 1.5
     times the quartile distance.
     """
-    rows = patients.dropna(subset=[value, flag]).select(
+    rows = drop_missing(patients, [value, flag]).select(
         S.outcome(F.col(flag)).alias("outcome"), F.col(value).alias("_value")
     )
     quartiles = percentiles(
@@ -144,7 +145,7 @@ def box_summary_approx(
     """Quartiles by outcome from Spark's mergeable sketch, in one pass without a sort."""
     cuts = F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
     return (
-        patients.dropna(subset=[value, flag])
+        drop_missing(patients, [value, flag])
         .groupBy(S.outcome(F.col(flag)).alias("outcome"))
         .agg(
             cuts.alias("_cuts"), F.count(F.lit(1)).alias("count"),

@@ -25,19 +25,36 @@ def _value(df: DataFrame, name: str, kind: T.DataType) -> Column:
     return c.try_cast("long" if isinstance(kind, T.LongType) else "double")
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast those columns of ``schema`` that exist, in its order; keep other columns after."""
+def _typed(df: DataFrame, schema: T.StructType, **given: Column) -> DataFrame:
+    """Cast those columns of ``schema`` that exist, in its order; keep other columns after.
+
+    ``given`` holds expressions that take the place of the plain cast.
+    """
     known = [f for f in schema if f.name in df.columns]
     names = {f.name for f in known}
     return df.select(
-        *[_value(df, f.name, f.dataType).alias(f.name) for f in known],
+        *[given.get(f.name, _value(df, f.name, f.dataType)).alias(f.name) for f in known],
         *[c for c in df.columns if c not in names],
     )
 
 
 def coerce_key(df: DataFrame, key: str = STAY) -> DataFrame:
     """Make the key an integer, dropping rows without a numeric one."""
-    return df.withColumn(key, _value(df, key, T.LongType())).dropna(subset=[key])
+    return _with_key(df.withColumn(key, _value(df, key, T.LongType())), key)
+
+
+def _with_key(df: DataFrame, key: str = STAY) -> DataFrame:
+    """Rows that have a key; as a plain null test this reaches the scan."""
+    return df.filter(F.col(key).isNotNull())
+
+
+def drop_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows with a value in all of ``columns``; the null tests reach the scan."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            df = df.filter(~F.isnan(c))
+    return df
 
 
 def restrict_to_stays(df: DataFrame, stays: DataFrame | Iterable[int] | int | None,
@@ -57,10 +74,13 @@ def restrict_to_stays(df: DataFrame, stays: DataFrame | Iterable[int] | int | No
 
 def clean_patients(raw: DataFrame) -> DataFrame:
     """Numeric age, named unknowns, and the binary mortality label."""
-    out = raw.withColumn("age", S.clean_age(F.col("age").cast("string")))
-    for c in ("gender", "ethnicity"):
-        out = out.withColumn(c, S.known(F.col(c)))
-    out = _typed(out, schemas.PATIENT)
+    out = _typed(
+        raw,
+        schemas.PATIENT,
+        age=S.clean_age(F.col("age")),
+        gender=S.known(F.col("gender")),
+        ethnicity=S.known(F.col("ethnicity")),
+    )
     return out.withColumn("hospital_mortality", S.expired_flag(F.col("hospitaldischargestatus")))
 
 
@@ -74,25 +94,20 @@ def drop_implausible(df: DataFrame, ranges: dict[str, tuple[float, float]] | Non
 
 def clean_vitals(raw: DataFrame, stays: DataFrame | Iterable[int] | int | None = None
                  ) -> DataFrame:
-    out = _typed(raw, schemas.VITALS).dropna(subset=[STAY])
+    out = _with_key(_typed(raw, schemas.VITALS))
     return drop_implausible(restrict_to_stays(out, stays))
 
 
 def clean_labs(raw: DataFrame, stays: DataFrame | Iterable[int] | int | None = None
                ) -> DataFrame:
     """Rows without a raw result go; a result that is not a number stays as null."""
-    if "labresult" in raw.columns:
-        kept = raw.filter(F.col("labresult").isNotNull())
-        if isinstance(raw.schema["labresult"].dataType, (T.DoubleType, T.FloatType)):
-            kept = kept.filter(~F.isnan("labresult"))
-    else:
-        kept = raw
-    return restrict_to_stays(_typed(kept, schemas.LABS).dropna(subset=[STAY]), stays)
+    kept = drop_missing(raw, [c for c in ["labresult"] if c in raw.columns])
+    return restrict_to_stays(_with_key(_typed(kept, schemas.LABS)), stays)
 
 
 def _keyed(schema: T.StructType) -> Callable[[DataFrame], DataFrame]:
     def clean(raw: DataFrame) -> DataFrame:
-        return _typed(raw, schema).dropna(subset=[STAY])
+        return _with_key(_typed(raw, schema))
 
     return clean
 

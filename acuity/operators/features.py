@@ -73,16 +73,17 @@ def feature_table(
 ) -> DataFrame:
     """Patients with severity scores, vital aggregates and lab means, all left-joined.
 
-    Several severity rows of one stay repeat that stay. That join comes last, so the joins
-    on the aggregates see each patient row once; all of them share one partitioning by stay.
+    Several severity rows of one stay repeat that stay. That join comes last, so until then
+    the key counts are those of the patients; all joins share one partitioning by stay.
     """
     scores = (dedupe_apache(apache) if apache_dedupe else apache).select(
         STAY, "apachescore", "predictedhospitalmortality"
     )
     signs, means = vitals_per_stay(vitals), lab_means_per_stay(labs)
-    out = left_join(patients, signs, STAY, unique_right=True, hot_rows=hot_rows)
-    out = left_join(out, means, STAY, unique_right=True, hot_rows=hot_rows)
-    out = left_join(out, scores, STAY, unique_right=apache_dedupe, hot_rows=hot_rows)
+    once = dict(left_keys=patients, hot_rows=hot_rows)
+    out = left_join(patients, signs, STAY, unique_right=True, **once)
+    out = left_join(out, means, STAY, unique_right=True, **once)
+    out = left_join(out, scores, STAY, unique_right=apache_dedupe, **once)
     return out.select(
         *patients.columns,
         "apachescore", "predictedhospitalmortality",

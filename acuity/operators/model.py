@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from acuity import schemas
 from acuity.functions import scalars as S
 from acuity.operators import risk
+from acuity.operators.clean import drop_missing
 from acuity.operators.skew import HOT_ROWS
 from acuity.schemas import STAY, TARGET
 from acuity.sources.storage import is_stored, stage
@@ -74,11 +75,11 @@ def train(
     Medians come from the training rows (``medians_from="train"``) or the whole table
     (``"whole"``). ``forest`` overrides forest settings.
     """
-    table = table.dropna(subset=[TARGET]).withColumn(TARGET, F.col(TARGET).cast("int"))
+    table = drop_missing(table, [TARGET]).withColumn(TARGET, F.col(TARGET).cast("int"))
     columns = [STAY, TARGET, "gender", "unittype"]
     encoded = {"gender_enc", "unittype_enc"}
     available = [c for c in features if c in table.columns or c in encoded]
-    kept = table.select(*columns, *[c for c in available if c not in encoded])
+    kept = stage(table.select(*columns, *[c for c in available if c not in encoded]), "inputs")
     split = stage(risk.stratified_split(kept, seed=seed, hot_rows=hot_rows), "split")
     train_rows, test_rows = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
 

@@ -28,7 +28,7 @@ def _before(by: Sequence[str], order: Sequence[Column]) -> Window:
     )
 
 
-def _key_sizes(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame | None:
+def key_sizes(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, stored; None if there are none.
 
     Counts combine before the shuffle, and no more than rows / hot_rows keys can pass.
@@ -52,12 +52,11 @@ def running_total(
     Without a measure these are a row's 0-based place and the key's row count. ``order``
     should leave no ties; an empty ``by`` takes all rows as one key.
     """
-    measure = F.lit(1).cast("long") if measure is None else measure
     args = dict(by=list(by), order=list(order), measure=measure, before=before, total=total)
     if not by:
         small = df.count() <= hot_rows
         return _local_total(df, **args) if small else _spread_total(df, hot_rows, **args)
-    hot = _key_sizes(df, by, hot_rows)
+    hot = key_sizes(df, by, hot_rows)
     if hot is None:
         return _local_total(df, **args)
     hot = hot.select(*by)
@@ -67,11 +66,14 @@ def running_total(
 
 
 def _local_total(df, by, order, measure, before, total) -> DataFrame:
-    zero = F.lit(0)
+    key = Window.partitionBy(*by)
+    if measure is None:
+        place = F.row_number().over(key.orderBy(*order)).cast("long") - 1
+        return df.withColumns({before: place, total: F.count(F.lit(1)).over(key)})
     return df.withColumns(
         {
-            before: F.coalesce(F.sum(measure).over(_before(by, order)), zero),
-            total: F.sum(measure).over(Window.partitionBy(*by)),
+            before: F.coalesce(F.sum(measure).over(_before(by, order)), F.lit(0)),
+            total: F.sum(measure).over(key),
         }
     )
 
@@ -82,6 +84,7 @@ def _spread_total(df, hot_rows, by, order, measure, before, total) -> DataFrame:
     The cut is stored before use, so that both of its readers see the same ranges. A row
     number as last sort key lets equal rows fall into different ranges.
     """
+    measure = F.lit(1).cast("long") if measure is None else measure
     fixed = stage(df.withColumn(_UID, F.monotonically_increasing_id()))
     parts = max(1, math.ceil(fixed.count() / hot_rows))
     cut = stage(
@@ -130,17 +133,20 @@ def last_rows(
 
 def left_join(
     left: DataFrame, right: DataFrame, key: str, *, unique_right: bool = False,
-    hot_rows: int = HOT_ROWS,
+    left_keys: DataFrame | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left equi-join on one column, with the rows of a hot key spread over many tasks.
 
     For a hot key each side is dealt into shares of about ``hot_rows`` rows, every share of
     one side meeting every share of the other. ``unique_right`` says the right side has one
-    row per key, so it need not be counted.
+    row per key, so it need not be counted. ``left_keys`` is a cheaper table with the same
+    key counts as ``left``, to count instead.
     """
-    sides = {"l": left} if unique_right else {"l": left, "r": right}
+    sides = {"l": left if left_keys is None else left_keys}
+    if not unique_right:
+        sides["r"] = right
     sizes = {
-        s: _key_sizes(df.filter(F.col(key).isNotNull()), [key], hot_rows)
+        s: key_sizes(df.filter(F.col(key).isNotNull()), [key], hot_rows)
         for s, df in sides.items()
     }
     found = [df.select(key) for df in sizes.values() if df is not None]
