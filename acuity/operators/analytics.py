@@ -54,15 +54,21 @@ def unit_share(patients: DataFrame) -> DataFrame:
 
 
 def mortality_by_age(patients: DataFrame) -> DataFrame:
-    """Count and mortality per age group; ages outside all groups are left out."""
-    number = S.age_group_number(F.col("age")).alias("_group")
+    """Count and mortality per age group; ages outside all groups are left out.
+
+    They form one more group that is dropped after the aggregation: a filter ahead of it
+    would hardly remove rows.
+    """
+    age = F.col("age")
+    group = F.when(S.in_age_groups(age), S.age_group_number(age))
     return (
-        patients.filter(S.in_age_groups(F.col("age")))
-        .groupBy(number)
+        patients.groupBy(group.alias("_group"))
         .agg(
             F.count("hospital_mortality").alias("count"),
             F.round(F.avg("hospital_mortality") * 100.0, 2).alias("mortality_pct"),
+            F.count(group).alias("_inside"),
         )
+        .filter(F.col("_inside") > 0)
         .orderBy("_group")
         .select(S.age_group_label(F.col("_group")).alias("age_group"), "count", "mortality_pct")
     )

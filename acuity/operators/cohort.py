@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from acuity import schemas
 from acuity.functions import scalars as S
 from acuity.operators.clean import restrict_to_stays
-from acuity.operators.skew import HOT_ROWS, running_total
+from acuity.operators.skew import HOT_ROWS, running_total, total_sort
 from acuity.schemas import STAY
 
 # A page that ends within so many rows is taken from each task's first rows.
@@ -109,13 +109,13 @@ Stays = DataFrame | Iterable[int] | int | None
 def vitals_of(vitals: DataFrame, stays: Stays = None) -> DataFrame:
     """Vitals of the given stays (all without) by stay and time."""
     out = restrict_to_stays(vitals, stays)
-    return out.orderBy(*_total_order(out, [STAY, "observationoffset"]))
+    return total_sort(out, [F.col(c) for c in _total_order(out, [STAY, "observationoffset"])])
 
 
 def labs_of(labs: DataFrame, stays: Stays = None) -> DataFrame:
     """Lab results of the given stays (all without) by stay and time."""
     out = restrict_to_stays(labs, stays)
-    return out.orderBy(*_total_order(out, [STAY, "labresultoffset"]))
+    return total_sort(out, [F.col(c) for c in _total_order(out, [STAY, "labresultoffset"])])
 
 
 def lab_lines(labs: DataFrame, names: Iterable[str], stays: Stays = None) -> DataFrame:
@@ -123,7 +123,7 @@ def lab_lines(labs: DataFrame, names: Iterable[str], stays: Stays = None) -> Dat
     out = restrict_to_stays(labs.filter(F.col("labname").isin(list(names))), stays).select(
         STAY, "labname", S.hours(F.col("labresultoffset")).alias("time_h"), "labresult"
     )
-    return out.orderBy(*out.columns)
+    return total_sort(out, [F.col(c) for c in out.columns])
 
 
 def diagnoses_of(diagnosis: DataFrame, stays: Stays = None) -> DataFrame:

@@ -109,7 +109,10 @@ def forecast(
     """
     _check_steps(steps)
     stats = tail_statistics(vitals, signs).filter(F.col("kept") >= schemas.FORECAST_MIN_ROWS)
-    ahead = stats.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    ends = vitals.groupBy(STAY).agg(F.max(TIME).alias("_last"))
+    ahead = stats.join(ends, STAY).withColumn(
+        "step", F.explode(F.sequence(F.lit(1), F.lit(steps)))
+    )
     value = F.col("ewm") + F.col("trend") * schemas.FORECAST_TREND_SHARE * F.col("step")
     if seed is not None:
         key = F.concat_ws("|", STAY, "vital", "step", F.lit(str(seed)))
@@ -119,19 +122,13 @@ def forecast(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         draw = S.standard_normal(key) * F.coalesce(F.col("std10"), F.lit(0.0))
-        noise = F.sum(draw * schemas.FORECAST_NOISE_SHARE).over(so_far)
-        value = value + noise
-    ends = vitals.groupBy(STAY).agg(F.max(TIME).alias("_last"))
-    return (
-        ahead.withColumn("value", F.round(value, 2))
-        .join(ends, STAY)
-        .select(
-            STAY, "vital", "step",
-            (F.col("_last") + F.col("step") * schemas.STEP_MINUTES).alias(TIME),
-            "value",
-            (F.col("value") - F.col("std10")).alias("lower"),
-            (F.col("value") + F.col("std10")).alias("upper"),
-        )
+        value = value + F.sum(draw * schemas.FORECAST_NOISE_SHARE).over(so_far)
+    return ahead.withColumn("value", F.round(value, 2)).select(
+        STAY, "vital", "step",
+        (F.col("_last") + F.col("step") * schemas.STEP_MINUTES).alias(TIME),
+        "value",
+        (F.col("value") - F.col("std10")).alias("lower"),
+        (F.col("value") + F.col("std10")).alias("upper"),
     )
 
 

@@ -109,6 +109,15 @@ def _spread_total(df, hot_rows, by, order, measure, before, total) -> DataFrame:
     )
 
 
+def total_sort(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Sort all rows. A row number as last key lets equal rows fall into different tasks.
+
+    ``df`` should read stored tables, whose row numbers stay the same in a re-run.
+    """
+    numbered = df.withColumn(_UID, F.monotonically_increasing_id())
+    return numbered.orderBy(*order, _UID).drop(_UID)
+
+
 def last_rows(
     df: DataFrame, by: Sequence[str], newest_first: Sequence[Column], k: int,
     *, place: str = "place", shares: int = 64,
@@ -142,27 +151,23 @@ def left_join(
     row per key, so it need not be counted. ``left_keys`` is a cheaper table with the same
     key counts as ``left``, to count instead.
     """
-    sides = {"l": left if left_keys is None else left_keys}
+    one, none = F.lit(1), F.lit(0)
+    keys = (left if left_keys is None else left_keys).select(key, one.alias("l"), none.alias("r"))
     if not unique_right:
-        sides["r"] = right
-    sizes = {
-        s: key_sizes(df.filter(F.col(key).isNotNull()), [key], hot_rows)
-        for s, df in sides.items()
-    }
-    found = [df.select(key) for df in sizes.values() if df is not None]
-    if not found:
+        keys = keys.unionAll(right.select(key, none.alias("l"), one.alias("r")))
+    # No more keys than rows / hot_rows can pass on either side.
+    hot = (
+        keys.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        .filter((F.col("l") > hot_rows) | (F.col("r") > hot_rows))
+        .select(key, *[F.greatest(F.ceil(F.col(s) / hot_rows), one).cast("long").alias(f"_{s}")
+                       for s in ("l", "r")])
+    )
+    if hot.isEmpty():
         return left.join(right, key, "left")
-
-    hot = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
-    plan = hot
-    for s in ("l", "r"):
-        rows = sizes.get(s)
-        if rows is None:
-            plan = plan.withColumn(f"_{s}", F.lit(1).cast("long"))
-        else:
-            share = F.ceil(F.col("rows") / hot_rows).alias(f"_{s}")
-            plan = plan.join(rows.select(key, share), key, "left").fillna(1, [f"_{s}"])
-    plan = stage(plan, "hot")
+    plan = stage(hot, "hot")
+    hot = plan.select(key)
 
     cold = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
     # Row numbers are stored before they decide where a row goes.

@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from acuity import schemas
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, on whatever file system the path names."""
+def _path(spark: SparkSession, path: str):
+    """Hadoop's file system and path objects for ``path``."""
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    system, target = _path(spark, path)
+    return system.exists(target)
 
 
 def is_stored(spark: SparkSession, path: str) -> bool:
@@ -85,6 +91,9 @@ def load_serving(spark: SparkSession, table: str, root: str | None = None) -> Da
     return spark.table(table) if root is None else spark.read.parquet(f"{root.rstrip('/')}/{table}")
 
 
+_scratch: list[str] = []
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="acuity-")
@@ -101,7 +110,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local_folder()
-    return f"{folder.rstrip('/')}/acuity-{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/acuity-{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote to the shared folder.
+
+    Call it once the results are stored: a DataFrame that reads such a table is of no use
+    afterwards.
+    """
+    while _scratch:
+        system, target = _path(spark, _scratch.pop())
+        system.delete(target, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

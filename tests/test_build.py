@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from acuity import schemas
 from acuity.operators import model
 from acuity.plans import build
+from acuity.plans.store import CohortStore
 from acuity.schemas import STAY, TARGET
 from acuity.sources import storage
 
@@ -114,6 +115,33 @@ def test_scoring_and_write_back(spark, built, out):
     assert both.filter("ml_risk_score <> risk_score").isEmpty()
 
 
+def test_store(spark, built, out):
+    store = CohortStore(spark, out)
+    stats = store.stats().first()
+    assert stats["total_patients"] == N and stats["model_ready"] is True
+    assert [r[STAY] for r in store.patients(3, 2).collect()] == [2, 3, 4]
+    assert store.patients(500, search="micu").count() == N // 4
+    assert store.patients(500, high_risk_only=True).count() > 50
+    assert store.patient(7).first()[STAY] == 7
+    with pytest.raises(LookupError):
+        store.patient(N)
+    assert store.vitals(7).count() == 6 and store.vitals([7, 8], max_points=2).count() == 4
+    assert store.labs(7).count() == 3 and store.diagnosis(7).count() == 1
+    assert store.treatments([7, 9]).count() == 2
+    row = store.predict(7).first()
+    assert 0 <= row["risk_score"] <= 1 and row["risk_label"] in ("LOW", "MODERATE", "HIGH")
+    assert store.top_features().count() == 5
+    ahead = store.forecast(7, steps=3).collect()
+    # Respiration has two values only.
+    assert len(ahead) == 4 * 3 and {r["observationoffset"] for r in ahead} == {30.0, 35.0, 40.0}
+    assert store.forecast_line(7, steps=3).count() == 4 * 4 and store.history(7).count() == 6
+    assert store.unit_breakdown().count() == 4 and store.mortality_by_age().count() == 4
+    assert store.top_diagnoses(2).count() == 2 and store.severity_box().count() == 2
+    assert store.lab_summary(7).count() == 3 and store.frequent_labs(7).count() == 3
+    with pytest.raises(LookupError):
+        CohortStore(spark, f"{out}/clean").predict(7)
+
+
 def test_scores_match_labels(built):
     scored = model.score(built.features, built.training.model, digits=None)
     wrong = F.when(F.col("risk_score") >= 0.7, F.col("risk_label") != "HIGH").when(
@@ -224,5 +252,27 @@ def test_scratch_folder(spark):
     assert storage.scratch_path(spark, "x") != storage.scratch_path(spark, "x")
 
 
+def test_drop_scratch(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_scratch", [])
+    kept = storage.scratch_path(spark, "a")
+    storage.stage(spark.range(3))
+    paths = list(storage._scratch)
+    assert len(paths) == 2 and storage.exists(spark, paths[1]) and not storage.exists(spark, kept)
+    storage.drop_scratch(spark)
+    assert storage._scratch == [] and not storage.exists(spark, paths[1])
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_path(Session(), "x")
+
+
 def test_target_column(built):
     assert dict(built.features.dtypes)[TARGET] == "int"
