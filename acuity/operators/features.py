@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acuity import schemas
-from acuity.operators.skew import HOT_ROWS, left_join
+from acuity.operators.skew import HOT_ROWS, key_shares, left_join
 from acuity.schemas import STAY
 
 
@@ -80,10 +80,11 @@ def feature_table(
         STAY, "apachescore", "predictedhospitalmortality"
     )
     signs, means = vitals_per_stay(vitals), lab_means_per_stay(labs)
-    once = dict(left_keys=patients, hot_rows=hot_rows)
-    out = left_join(patients, signs, STAY, unique_right=True, **once)
-    out = left_join(out, means, STAY, unique_right=True, **once)
-    out = left_join(out, scores, STAY, unique_right=apache_dedupe, **once)
+    shares = key_shares(patients, None if apache_dedupe else scores, STAY, hot_rows=hot_rows)
+    by_left = None if shares is None else shares.withColumn("_r", F.lit(1).cast("long"))
+    out = left_join(patients, signs, STAY, by_left)
+    out = left_join(out, means, STAY, by_left)
+    out = left_join(out, scores, STAY, shares)
     return out.select(
         *patients.columns,
         "apachescore", "predictedhospitalmortality",
@@ -99,7 +100,8 @@ def write_back_scores(patients: DataFrame, scores: DataFrame, key: str = STAY,
     taken. Store the result under a new path.
     """
     best = scores.groupBy(key).agg(F.max(F.struct("risk_score", "prediction")).alias("_new"))
-    return left_join(patients, best, key, unique_right=True, hot_rows=hot_rows).withColumns(
+    shares = key_shares(patients, None, key, hot_rows=hot_rows)
+    return left_join(patients, best, key, shares).withColumns(
         {
             "ml_risk_score": F.coalesce(F.col("_new.risk_score"), F.col("ml_risk_score")),
             "ml_prediction": F.coalesce(

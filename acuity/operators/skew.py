@@ -140,22 +140,18 @@ def last_rows(
     )
 
 
-def left_join(
-    left: DataFrame, right: DataFrame, key: str, *, unique_right: bool = False,
-    left_keys: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Left equi-join on one column, with the rows of a hot key spread over many tasks.
+def key_shares(
+    left: DataFrame, right: DataFrame | None, key: str, *, hot_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """Hot keys of a join with the number of shares for each side; None if there are none.
 
-    For a hot key each side is dealt into shares of about ``hot_rows`` rows, every share of
-    one side meeting every share of the other. ``unique_right`` says the right side has one
-    row per key, so it need not be counted. ``left_keys`` is a cheaper table with the same
-    key counts as ``left``, to count instead.
+    A key is hot if it has more than ``hot_rows`` rows on a side, which is so for no more
+    than rows / hot_rows keys. Without ``right``, that side counts as one share.
     """
     one, none = F.lit(1), F.lit(0)
-    keys = (left if left_keys is None else left_keys).select(key, one.alias("l"), none.alias("r"))
-    if not unique_right:
+    keys = left.select(key, one.alias("l"), none.alias("r"))
+    if right is not None:
         keys = keys.unionAll(right.select(key, none.alias("l"), one.alias("r")))
-    # No more keys than rows / hot_rows can pass on either side.
     hot = (
         keys.filter(F.col(key).isNotNull())
         .groupBy(key)
@@ -164,10 +160,20 @@ def left_join(
         .select(key, *[F.greatest(F.ceil(F.col(s) / hot_rows), one).cast("long").alias(f"_{s}")
                        for s in ("l", "r")])
     )
-    if hot.isEmpty():
+    return None if hot.isEmpty() else stage(hot, "hot")
+
+
+def left_join(
+    left: DataFrame, right: DataFrame, key: str, shares: DataFrame | None
+) -> DataFrame:
+    """Left equi-join on one column, with the rows of hot keys spread over many tasks.
+
+    ``shares`` comes from :func:`key_shares`. For a hot key each side is dealt into its
+    shares, and every share of one side meets every share of the other.
+    """
+    if shares is None:
         return left.join(right, key, "left")
-    plan = stage(hot, "hot")
-    hot = plan.select(key)
+    plan, hot = shares, shares.select(key)
 
     cold = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
     # Row numbers are stored before they decide where a row goes.

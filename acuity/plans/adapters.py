@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acuity.operators import clean
 from acuity.operators.features import feature_table as build_features
-from acuity.operators.skew import left_join
+from acuity.operators.skew import key_shares, left_join
 from acuity.schemas import STAY
 
 
@@ -140,7 +140,8 @@ def apache(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored_patients(spark: SparkSession, folder: str) -> DataFrame:
     """Patients with their severity results; several results repeat a patient."""
-    return left_join(patients(spark, folder), apache(spark, folder), STAY)
+    left, right = patients(spark, folder), apache(spark, folder)
+    return left_join(left, right, STAY, key_shares(left, right, STAY))
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:

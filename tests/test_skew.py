@@ -86,7 +86,9 @@ def test_left_join(spark, limit, unique):
                                  for k, a in lp.itertuples(index=False)], "k long, a long")
     rdf = spark.createDataFrame([(None if k is None or k != k else int(k), int(b))
                                  for k, b in rp.itertuples(index=False)], "k long, b long")
-    out = skew.left_join(ldf, rdf, "k", unique_right=unique, hot_rows=limit)
+    shares = skew.key_shares(ldf, None if unique else rdf, "k", hot_rows=limit)
+    assert (shares is None) == (limit == 10_000)
+    out = skew.left_join(ldf, rdf, "k", shares)
     assert out.columns == ["k", "a", "b"]
     want = _joined(lp, rp.dropna(subset=["k"]))
     norm = lambda df: sorted(
