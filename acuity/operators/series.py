@@ -59,10 +59,13 @@ def tail_statistics(
     value, ``std10`` the sample deviation of the last 10 values, ``trend`` the mean step
     over the last 5, ``kept`` the number of values looked at (at most 100).
     """
+    # Numbers in place of the names: five rows per reading are sorted by them.
+    coded = F.stack(
+        F.lit(len(signs)), *[c for i, name in enumerate(signs) for c in (F.lit(i), F.col(name))]
+    ).alias("_vital", "value")
+    long = vitals.select(STAY, TIME, coded).filter(F.col("value").isNotNull())
     newest = [F.desc(TIME), F.desc("value")]
-    tail = last_rows(
-        long_form(vitals, signs).drop("time_h"), [STAY, "vital"], newest, WEIGHTED_ROWS
-    )
+    tail = last_rows(long, [STAY, "_vital"], newest, WEIGHTED_ROWS)
     place, value = F.col("place"), F.col("value")
     weight = F.pow(
         F.lit(1.0 - 2.0 / (schemas.FORECAST_SPAN + 1.0)), (place - 1).cast("double")
@@ -74,12 +77,16 @@ def tail_statistics(
         value, F.when(place <= schemas.FORECAST_TREND_ROWS, place)
     )
     newest_value = F.max(F.when(place == 1, value))
-    return tail.groupBy(STAY, "vital").agg(
+    stats = tail.groupBy(STAY, "_vital").agg(
         kept.alias("kept"),
         (F.sum(value * weight) / F.sum(weight)).alias("ewm"),
         F.stddev_samp(F.when(place <= schemas.FORECAST_STD_ROWS, value)).alias("std10"),
         ((newest_value - oldest) / F.greatest(span - 1, F.lit(1))).alias("trend"),
     )
+    names = F.array(*[F.lit(name) for name in signs])
+    return stats.select(
+        STAY, F.get(names, F.col("_vital")).alias("vital"), "kept", "ewm", "std10", "trend"
+    )
 
 
 def future_offsets(vitals: DataFrame, steps: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ task can hold. Beyond that, only the hot keys take the spread form, whose tasks
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -28,6 +29,12 @@ def _before(by: Sequence[str], order: Sequence[Column]) -> Window:
     )
 
 
+def _same(by: Sequence[str], other: str) -> Column:
+    """Keys equal to their ``other``-prefixed twins, a null key to a null key."""
+    tests = [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in by]
+    return functools.reduce(Column.__and__, tests)
+
+
 def key_sizes(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, stored; None if there are none.
 
@@ -59,9 +66,9 @@ def running_total(
     hot = key_sizes(df, by, hot_rows)
     if hot is None:
         return _local_total(df, **args)
-    hot = hot.select(*by)
-    cold = df.join(hot, list(by), "left_anti").select(*df.columns)
-    large = df.join(hot, list(by), "left_semi").select(*df.columns)
+    hot = hot.select(*[F.col(c).alias(f"_hot_{c}") for c in by])
+    cold = df.join(hot, _same(by, "_hot_"), "left_anti")
+    large = df.join(hot, _same(by, "_hot_"), "left_semi")
     return _local_total(cold, **args).unionByName(_spread_total(large, hot_rows, **args))
 
 
@@ -102,8 +109,12 @@ def _spread_total(df, hot_rows, by, order, measure, before, total) -> DataFrame:
         }
     ).drop(_SHARE)
     inner = F.sum(measure).over(_before(group, [*order, F.col(_UID)]))
+    offsets = offsets.select(
+        *[F.col(c).alias(f"_of_{c}") for c in group], _BASE, F.col(total).alias("_of_total")
+    )
     return (
-        cut.join(offsets, group)
+        cut.join(offsets, _same(group, "_of_"))
+        .withColumn(total, F.col("_of_total"))
         .withColumn(before, F.col(_BASE) + F.coalesce(inner, F.lit(0)))
         .select(*df.columns, before, total)
     )
@@ -146,15 +157,16 @@ def key_shares(
     """Hot keys of a join with the number of shares for each side; None if there are none.
 
     A key is hot if it has more than ``hot_rows`` rows on a side, which is so for no more
-    than rows / hot_rows keys. Without ``right``, that side counts as one share.
+    than rows / hot_rows keys. Null counts as a key of the left side. Without ``right``, that
+    side counts as one share.
     """
     one, none = F.lit(1), F.lit(0)
     keys = left.select(key, one.alias("l"), none.alias("r"))
     if right is not None:
-        keys = keys.unionAll(right.select(key, none.alias("l"), one.alias("r")))
+        known = right.filter(F.col(key).isNotNull())
+        keys = keys.unionAll(known.select(key, none.alias("l"), one.alias("r")))
     hot = (
-        keys.filter(F.col(key).isNotNull())
-        .groupBy(key)
+        keys.groupBy(key)
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
         .filter((F.col("l") > hot_rows) | (F.col("r") > hot_rows))
         .select(key, *[F.greatest(F.ceil(F.col(s) / hot_rows), one).cast("long").alias(f"_{s}")
@@ -169,13 +181,15 @@ def left_join(
     """Left equi-join on one column, with the rows of hot keys spread over many tasks.
 
     ``shares`` comes from :func:`key_shares`. For a hot key each side is dealt into its
-    shares, and every share of one side meets every share of the other.
+    shares, and every share of one side meets every share of the other. Rows of the left
+    without a key then skip the join.
     """
     if shares is None:
         return left.join(right, key, "left")
     plan, hot = shares, shares.select(key)
 
-    cold = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
+    known, unknown = left.filter(F.col(key).isNotNull()), left.filter(F.col(key).isNull())
+    cold = known.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
     # Row numbers are stored before they decide where a row goes.
     dealt = {
         s: stage(
@@ -191,9 +205,10 @@ def left_join(
     spare = ["_l", "_r", _UID]
     met = l_side.drop(*spare).join(r_side.drop(*spare), [key, "_a", "_b"]).drop("_a", "_b")
     alone = dealt["l"].join(dealt["r"].select(key).distinct(), key, "left_anti")
-    return cold.unionByName(met).unionByName(
-        alone.select(*left.columns), allowMissingColumns=True
-    ).select(*left.columns, *[c for c in right.columns if c != key])
+    unmatched = alone.select(*left.columns).unionByName(unknown)
+    return cold.unionByName(met).unionByName(unmatched, allowMissingColumns=True).select(
+        *left.columns, *[c for c in right.columns if c != key]
+    )
 
 
 def percentiles(

@@ -40,10 +40,15 @@ def test_running_totals_without_key(hot, limit):
     assert (out["total"] == 3000).all()
 
 
-def test_spread_tasks_stay_small(hot):
-    cut = skew.running_total(hot, ["k"], [F.col("v")], hot_rows=100)
-    sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(sizes) == 3000
+@pytest.mark.parametrize("limit", [50, 10_000])
+def test_null_is_a_key_like_any_other(spark, limit):
+    df = spark.createDataFrame([(None, float(i)) for i in range(300)] + [(1, 2.0)], "k long, v double")
+    out = skew.running_total(df, ["k"], [F.col("v")], hot_rows=limit).toPandas()
+    assert len(out) == 301
+    null = out[out["k"].isna()].sort_values("v")
+    assert list(null["before"]) == list(range(300)) and (null["total"] == 300).all()
+    half = skew.percentiles(df, ["k"], "v", [0.5], ["p"], hot_rows=limit).toPandas()
+    assert half.loc[half["k"].isna(), "p"].item() == 149.5 and len(half) == 2
 
 
 @pytest.mark.parametrize("limit", [40, 10_000])
@@ -78,7 +83,7 @@ def _joined(left, right):
 def test_left_join(spark, limit, unique):
     """Keys: 1 hot on both sides, 2 hot left only, 3 hot right only, 4 hot left without a
     match, 5 plain, 6 without a match, null."""
-    left = [1] * 100 + [2] * 70 + [3] + [4] * 50 + [5] * 2 + [6, None]
+    left = [1] * 100 + [2] * 70 + [3] + [4] * 50 + [5] * 2 + [6] + [None] * 60
     right = [1, 2, 3, 5, 9] if unique else [1] * 45 + [2] + [3] * 90 + [5] * 3 + [9] * 80 + [None]
     lp = pd.DataFrame({"k": left, "a": np.arange(len(left))})
     rp = pd.DataFrame({"k": right, "b": np.arange(len(right))})
