@@ -134,12 +134,15 @@ def treatments_of(treatment: DataFrame, stays: Stays = None) -> DataFrame:
     return restrict_to_stays(treatment, stays)
 
 
-# Headings of the two event tables.
+# Headings of the event tables and the lab summary.
 DIAGNOSIS_HEADINGS = {
     "diagnosisoffset": "Offset (min)", "diagnosisstring": "Diagnosis",
     "icd9code": "ICD9", "diagnosispriority": "Priority",
 }
 TREATMENT_HEADINGS = {"treatmentoffset": "Offset (min)", "treatmentstring": "Treatment"}
+LAB_SUMMARY_HEADINGS = {
+    "labname": "Lab Test", "mean": "Mean", "min": "Min", "max": "Max", "count": "Count",
+}
 
 
 def with_headings(df: DataFrame, headings: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:

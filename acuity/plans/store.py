@@ -33,6 +33,13 @@ class CohortStore:
             name = "patients_scored"
         return storage.load_serving(self.spark, name, root)
 
+    def _rows(self, name: str, stays: Stays) -> DataFrame:
+        """Rows of the given stays; a single stay without rows is an error."""
+        rows = restrict_to_stays(self.table(name), stays)
+        if isinstance(stays, int) and rows.isEmpty():
+            raise LookupError(f"stay {stays} has no rows in {name}")
+        return rows
+
     def stats(self) -> DataFrame:
         ready = model.is_trained(self.spark, f"{self.out_dir}/model")
         return analytics.cohort_stats(self.table("patients")).withColumn(
@@ -66,7 +73,7 @@ class CohortStore:
         path = f"{self.out_dir}/model"
         if not model.is_trained(self.spark, path):
             raise LookupError("no model is stored; run the build first")
-        rows = restrict_to_stays(self.table("patients"), stays)
+        rows = self._rows("patients", stays)
         return model.score(rows, model.load(self.spark, path)).select(
             STAY, "risk_score", "risk_label", "prediction"
         )
@@ -75,12 +82,11 @@ class CohortStore:
         return model.top_features(self.spark, model.load(self.spark, f"{self.out_dir}/model"))
 
     def forecast(self, stays: Stays = None, steps: int = 6, seed: int | None = None) -> DataFrame:
-        return series.forecast(restrict_to_stays(self.table("vitals"), stays), steps, seed=seed)
+        return series.forecast(self._rows("vitals", stays), steps, seed=seed)
 
     def forecast_line(self, stays: Stays = None, steps: int = 6, seed: int | None = None
                       ) -> DataFrame:
-        rows = restrict_to_stays(self.table("vitals"), stays)
-        return series.forecast_line(rows, steps, seed=seed)
+        return series.forecast_line(self._rows("vitals", stays), steps, seed=seed)
 
     def history(self, stays: Stays = None) -> DataFrame:
         return series.history(restrict_to_stays(self.table("vitals"), stays))

@@ -22,8 +22,9 @@ def scan_csv(
 
     Columns are picked by header name, never by position, and missing-value texts become
     null. A missing file or column raises ``AnalysisException``. ``cap_rows`` keeps the
-    first rows in file order, before any filter. A gzip file is one split, so ``partitions``
-    spreads its rows over that many tasks; leave it out for folders of many files.
+    first rows in file order, before any filter. A gzip file is one split: where there are
+    fewer of them than the cluster has task slots, their rows are spread over ``partitions``
+    tasks (as many as slots without it).
     """
     rows = (
         spark.read.option("header", True)
@@ -34,6 +35,9 @@ def scan_csv(
     )
     if cap_rows is not None:
         rows = rows.limit(cap_rows)
+    if partitions is None and path.rstrip("/").endswith(".gz"):
+        slots = spark.sparkContext.defaultParallelism
+        partitions = slots if len(rows.inputFiles()) < slots else None
     if partitions is not None:
         rows = rows.repartition(partitions)
     return rows.select(*[blank_to_null(F.col(c)).alias(c) for c in columns])

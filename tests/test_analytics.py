@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from acuity.operators import analytics
+from acuity.operators import analytics, cohort
 from acuity.schemas import STAY
 
 SCHEMA = f"{STAY} long, age double, unittype string, apachescore double, hospital_mortality int"
@@ -62,6 +62,8 @@ def test_labs(spark):
     got = [tuple(r) for r in analytics.lab_summary(df).collect()]
     assert got == [(1, "a", 2.0, 1.0, 3.0, 2), (1, "b", 2.0, 2.0, 2.0, 1),
                    (2, "c", None, None, None, 0)]
+    shown = cohort.with_headings(analytics.lab_summary(df), cohort.LAB_SUMMARY_HEADINGS, [STAY])
+    assert shown.columns == [STAY, "Lab Test", "Mean", "Min", "Max", "Count"]
     frequent = analytics.frequent_labs(df, k=2, selected=1).orderBy(STAY, "place").collect()
     assert [tuple(r) for r in frequent] == [(1, "b", 3, 1, True), (1, "a", 2, 2, False),
                                             (2, "c", 1, 1, True)]

@@ -138,6 +138,10 @@ def test_store(spark, built, out):
     assert store.unit_breakdown().count() == 4 and store.mortality_by_age().count() == 4
     assert store.top_diagnoses(2).count() == 2 and store.severity_box().count() == 2
     assert store.lab_summary(7).count() == 3 and store.frequent_labs(7).count() == 3
+    for missing in (store.predict, store.forecast, store.forecast_line):
+        with pytest.raises(LookupError):
+            missing(N)
+    assert store.predict([7, N]).count() == 1
     with pytest.raises(LookupError):
         CohortStore(spark, f"{out}/clean").predict(7)
 

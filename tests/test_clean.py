@@ -129,5 +129,7 @@ def test_gzip_cap_and_spread(spark, tmp_path):
     assert full.count() == 1000
     sizes = full.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 8
+    by_default = scan_table(spark, str(tmp_path), "treatment")
+    assert by_default.groupBy(F.spark_partition_id()).count().count() == 4
     capped = scan_table(spark, str(tmp_path), "treatment", cap_rows=10, partitions=2)
     assert sorted(int(r[STAY]) for r in capped.collect()) == list(range(10))
