@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -94,22 +92,15 @@ def load_serving(spark: SparkSession, table: str, root: str | None = None) -> Da
 _scratch: list[str] = []
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="acuity-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a local session may go
-    without one.
+    The folder is the session's ``spark.checkpoint.dir`` or, where that is unset, a folder
+    in the session's warehouse, which all executors must reach as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _local_folder()
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/acuity-scratch"
     path = f"{folder.rstrip('/')}/acuity-{name}-{uuid.uuid4().hex}"
     _scratch.append(path)
     return path
