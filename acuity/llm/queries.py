@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import pii, secrets, simhash
+from acuity.llm import licenses, pii, secrets, simhash
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,11 @@ def op3_secrets(spark, folder):
 @query
 def op9_simhash(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op10_licenses(spark, folder):
+    return licenses.license_rows(read(spark, folder, "documents"))
+
+
+ORACLE["op10_licenses"] = licenses.oracle()
