@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import licenses, pii, secrets, simhash
+from acuity.llm import licenses, pii, secrets, simhash, urls
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_secrets(spark, folder):
     return secrets.secret_digests(read(spark, folder, "documents"))
 
 
+@query
+def op8_urls(spark, folder):
+    return urls.judge(read(spark, folder, "pages"))
+
+
 @query
 def op9_simhash(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
