@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import licenses, pii, secrets, simhash, urls
+from acuity.llm import licenses, pii, secrets, simhash, toxicity, urls
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_secrets(spark, folder):
     return secrets.secret_digests(read(spark, folder, "documents"))
 
 
+@query
+def op7_toxicity(spark, folder):
+    docs = read(spark, folder, "documents")
+    return toxicity.grade_texts(docs, toxicity.train(docs, read(spark, folder, "labels")))
+
+
 @query
 def op8_urls(spark, folder):
     return urls.judge(read(spark, folder, "pages"))
