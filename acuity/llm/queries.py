@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import licenses, pii, secrets, simhash, toxicity, urls
+from acuity.llm import decontam, licenses, pii, secrets, simhash, toxicity, urls
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def op3_secrets(spark, folder):
     return secrets.secret_digests(read(spark, folder, "documents"))
 
 
+@query
+def op5_decontamination(spark, folder):
+    return decontam.find_leaks(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    )
+
+
 @query
 def op7_toxicity(spark, folder):
     docs = read(spark, folder, "documents")
