@@ -16,7 +16,6 @@ of the texts ahead of the join; it only drops windows that no item has.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,6 @@ from acuity.llm.common import column, stage, texts
 
 WINDOW, LITERALS, SIMILARITY, RUN, CONFLICTS = 5, 3, 0.8, 9, 0.2
 BITS = 1 << 24
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
-_ENDS = frozenset(".!?:\n")
 # Units that make a slot after a number.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ton tons "
@@ -38,86 +35,154 @@ UNITS = frozenset(
     "hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
     "usd eur gbp hz khz mhz ghz w kw mw v a j kj c f k degree degrees mph kmh".split()
 )
-_WORD, _END, _TITLE, _NUMBER, _UNIT = range(5)
-_SLOT = {kind: xxhash.xxh64_intdigest(f"\0slot{kind}") for kind in (_TITLE, _NUMBER, _UNIT)}
-_KEPT_TOKENS = 400_000
-
-
-class _Tokens:
-    """Kinds and hashes of tokens seen so far; forgotten and refilled when large."""
-
-    def __init__(self) -> None:
-        self.at: dict[str, int] = {}
-        self.kind: list[int] = []
-        self.hash: list[int] = []
-
-    def _add(self, token: str) -> int:
-        if token[0].isdigit():
-            kind = _NUMBER
-        elif token in _ENDS:
-            kind = _END
-        elif token in UNITS:
-            kind = _UNIT
-        elif len(token) > 1 and token[0].isupper() and token[1:].islower():
-            kind = _TITLE
-        else:
-            kind = _WORD
-        self.kind.append(kind)
-        self.hash.append(xxhash.xxh64_intdigest(token.lower()))
-        self.at[token] = len(self.hash) - 1
-        return len(self.hash) - 1
-
-    def codes(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.at) > _KEPT_TOKENS:
-            self.__init__()
-        at, add = self.at, self._add
-        where = [at[t] if t in at else add(t) for t in tokens]
-        kinds, hashes = self.kind, self.hash
-        return (np.array([kinds[i] for i in where], dtype=np.int8),
-                np.array([hashes[i] for i in where], dtype=np.uint64))
-
-
-_seen = _Tokens()
-
-
-def windows(text: str | None, table: np.ndarray | None = None
-            ) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Hash, place and slot values of the distinct windows of a text, each at its first place.
-
-    ``table`` is the bit table of the wanted windows.
+_OTHER, _LETTER, _DIGIT, _END = range(4)
+_NAME, _NUMBER, _UNIT = (np.uint64(xxhash.xxh64_intdigest(f"slot {k}")) for k in range(3))
+_CHUNK = 1 << 21
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each byte; bytes beyond ASCII count as letters."""
+    kind, lower = np.zeros(256, dtype=np.uint8), np.arange(256, dtype=np.uint64)
+    kind[128:] = _LETTER
+    for low, high in ((65, 91), (97, 123)):
+        kind[low:high] = _LETTER
+    kind[48:58] = _DIGIT
+    kind[list(b".!?:\n")] = _END
+    lower[65:91] += 32
+    return kind, lower + 1
+
+
+_KIND, _LOWER = _byte_tables()
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse modulo 2 ** 64, from 0 to n."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n + 1, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def _tokens(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens of texts laid end to end: first byte, last byte + 1, kind, hash, text number.
+
+    ``starts`` has the first byte of each text. Runs of letters, numbers and sentence ends
+    are tokens; a point or comma between digits belongs to the number. Latin letters are
+    hashed in lower case.
     """
-    tokens = _TOKEN.findall(text or "")
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), []
-    if len(tokens) < WINDOW:
+    kind, value = _KIND[raw], _LOWER[raw]
+    left, right = raw[:-1], raw[1:]
+    # two- and three-byte signs that are no letters, and capitals with accents
+    for lead, follow in ((left == 0xC2, 1), ((left == 0xE2) & (right == 0x80), 2)):
+        at = np.flatnonzero(lead)
+        for k in range(follow + 1):
+            kind[np.minimum(at + k, len(raw) - 1)] = _OTHER
+    at = np.flatnonzero((left == 0xC3) & (right >= 0x80) & (right <= 0x9E)) + 1
+    value[at] += 32
+    inner = np.flatnonzero(((raw == 46) | (raw == 44))[1:-1]) + 1
+    inner = inner[(kind[inner - 1] == _DIGIT) & (kind[inner + 1] == _DIGIT)]
+    inner = inner[~np.isin(inner, starts) & ~np.isin(inner + 1, starts)]
+    kind[inner] = _DIGIT
+    cut = np.empty(len(raw), dtype=bool)
+    cut[0], cut[1:] = True, kind[1:] != kind[:-1]
+    cut[starts[starts < len(raw)]] = True
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(raw))
+    keep = kind[first] != _OTHER
+    first, last = first[keep], last[keep]
+    forward, back = _power(len(raw))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(value * forward[: len(raw)], out=sums[1:])
+    hashes = _mix((sums[last] - sums[first]) * back[first])
+    text = np.searchsorted(starts, first, side="right") - 1
+    return first, last, kind[first], hashes, text
+
+
+_UNITS = None
+
+
+def _unit_hashes() -> np.ndarray:
+    global _UNITS
+    if _UNITS is None:
+        raw = np.frombuffer(" ".join(sorted(UNITS)).encode(), dtype=np.uint8)
+        _UNITS = np.sort(_tokens(raw, np.zeros(1, dtype=np.int64))[3])
+    return _UNITS
+
+
+def windows(raw: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """Text number, hash, place and slot values of the distinct windows of each text.
+
+    ``raw`` holds texts in UTF-8, laid end to end from ``starts`` on. Of equal windows of a
+    text the first counts. ``table`` is the bit table of the wanted windows.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    if len(raw) < 2:
+        return none
+    first, last, kind, code, text = _tokens(raw, starts)
+    if len(first) < WINDOW:
         return none
-    kind, code = _seen.codes(tokens)
-    before = np.concatenate([[_END], kind[:-1]])
-    slot = (kind == _NUMBER) | ((kind == _UNIT) & (before == _NUMBER)) | (
-        (kind == _TITLE) & (before != _END))
-    for k, value in _SLOT.items():
-        code[slot & (kind == k)] = value
-    keep = np.flatnonzero(kind != _END)
-    code, slot = code[keep], slot[keep]
+    fresh = np.append(True, text[1:] != text[:-1])
+    before = np.append(_END, kind[:-1])
+    before[fresh] = _END
+    number = kind == _DIGIT
+    after = np.flatnonzero((before == _DIGIT) & (kind == _LETTER))
+    unit = after[np.isin(code[after], _unit_hashes())]
+    head, second = raw[first], raw[np.minimum(first + 1, len(raw) - 1)]
+    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    small = ((second >= 97) & (second <= 122)) | (second >= 128)
+    name = capital & small & (last - first > 1) & (kind == _LETTER) & (before != _END)
+    code[number], code[name], code[unit] = _NUMBER, _NAME, _UNIT
+    slot = number | name
+    slot[unit] = True
+    kept = np.flatnonzero(kind != _END)
+    code, slot, text = code[kept], slot[kept], text[kept]
     n = len(code) - WINDOW + 1
     if n < 1:
         return none
     mixed, words = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int8)
-    with np.errstate(over="ignore"):
-        for i in range(WINDOW):
-            mixed = (mixed ^ code[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            words += ~slot[i : i + n]
-    good = words >= LITERALS
+    for i in range(WINDOW):
+        mixed = _mix((mixed ^ code[i : i + n]) * np.uint64(_BASE))
+        words += ~slot[i : i + n]
+    good = (words >= LITERALS) & (text[:n] == text[WINDOW - 1 :])
     if table is not None:
         low = mixed & np.uint64(BITS - 1)
-        good &= (table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        bit = table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)
+        good &= (bit & 1).astype(bool)
     place = np.flatnonzero(good)
-    hashes, first = np.unique(mixed[place], return_index=True)
-    place = place[first]
+    order = np.lexsort((place, mixed[place], text[place]))
+    place = place[order]
+    new = np.append(True, (mixed[place][1:] != mixed[place][:-1])
+                    | (text[place][1:] != text[place][:-1])) if len(place) else np.zeros(0, bool)
+    place = place[new]
+    ahead = np.searchsorted(text, text[place], side="left")
     slots = [
-        [tokens[keep[j]] for j in range(p, p + WINDOW) if slot[j]] for p in place.tolist()
+        [raw[first[kept[j]] : last[kept[j]]].tobytes().decode("utf-8", "replace")
+         for j in range(p, p + WINDOW) if slot[j]]
+        for p in place.tolist()
     ]
-    return hashes, place.astype(np.int64), slots
+    return text[place], mixed[place], (place - ahead).astype(np.int64), slots
+
+
+def _chunks(batch: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts in groups of about two megabytes: number of the first, bytes, starts."""
+    begin, held, size = 0, [], 0
+    for i, text in enumerate(batch):
+        held.append(text or b"")
+        size += len(held[-1])
+        if size >= _CHUNK or i == len(batch) - 1:
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in held[:-1]])]).astype(np.int64)
+            yield begin, np.frombuffer(b"".join(held), dtype=np.uint8), starts
+            begin, held, size = i + 1, [], 0
 
 
 def _window_rows(rows: DataFrame, id_col: str, table=None) -> DataFrame:
@@ -126,23 +191,22 @@ def _window_rows(rows: DataFrame, id_col: str, table=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if table is None else np.frombuffer(table.value, dtype=np.uint8)
         for batch in batches:
-            ids, hashes, places, slots, sizes = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, p, s = windows(text, bits)
-                ids += [key] * len(h)
-                sizes += [len(h)] * len(h)
-                hashes.append(h)
-                places.append(p)
-                slots += s
-            if not ids:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)),
-                 pa.array(np.concatenate(places)), pa.array(slots, pa.list_(pa.string())),
-                 pa.array(sizes, pa.int64())],
-                [id_col, "w", "place", "slots", "n_windows"],
-            )
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            known = np.asarray(batch.column(0).is_valid())
+            for begin, raw, starts in _chunks(batch.column(1).to_pylist()):
+                text, hashes, places, slots = windows(raw, starts, bits)
+                if not len(text):
+                    continue
+                sizes = np.bincount(text)[text]
+                at = begin + text
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(known[at], keys[at], 0).astype(np.int64), mask=~known[at]),
+                     pa.array(hashes.view(np.int64)), pa.array(places),
+                     pa.array(slots, pa.list_(pa.string())), pa.array(sizes.astype(np.int64))],
+                    [id_col, "w", "place", "slots", "n_windows"],
+                )
 
+    rows = rows.withColumn("text", F.col("text").cast("binary"))
     return rows.mapInArrow(
         run, f"{id_col} long, w long, place long, slots array<string>, n_windows long"
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import decontam, licenses, pii, secrets, simhash, toxicity, urls
+from acuity.llm import decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, toxicity, urls
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_pii(spark, folder):
     return pii.pii_digests(read(spark, folder, "documents"))
 
 
+@query
+def op2_sentencepiece(spark, folder):
+    return sentencepiece_bpe.token_digests(read(spark, folder, "documents"))
+
+
 @query
 def op3_secrets(spark, folder):
     return secrets.secret_digests(read(spark, folder, "documents"))
