@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, toxicity, urls
+from acuity.llm import decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, topk, toxicity, urls
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def op5_decontamination(spark, folder):
     )
 
 
+@query
+def op6_topk(spark, folder):
+    return topk.top_k(read(spark, folder, "embeddings"))
+
+
+ORACLE["op6_topk"] = topk.oracle()
+
+
 @query
 def op7_toxicity(spark, folder):
     docs = read(spark, folder, "documents")
