@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, topk, toxicity, urls
+from acuity.llm import decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op3_secrets(spark, folder):
     return secrets.secret_digests(read(spark, folder, "documents"))
 
 
+@query
+def op4_substrings(spark, folder):
+    return substrings.repeat_digests(read(spark, folder, "documents"))
+
+
 @query
 def op5_decontamination(spark, folder):
     return decontam.find_leaks(

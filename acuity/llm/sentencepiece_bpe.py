@@ -399,6 +399,28 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     )
 
 
+def encode_checked(docs: DataFrame, *, model: str = MODEL, dropout: float = DROPOUT,
+                   seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+    """``doc_id``, ``ids`` and ``lossless``: whether decoding the ids gave the text's own bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            for a, b in _groups([len(t) for t in rows]):
+                ids, n = encode_batch(rows[a:b], vocab, dropout=dropout, seed=seed,
+                                      variants=variants)
+                spelt = decode_batch(ids, n, vocab)
+                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                same = [s == t.encode() for s, t in zip(spelt, rows[a:b])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a),
+                     pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
+                     pa.array(same)], ["doc_id", "ids", "lossless"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
+
+
 def token_digests(docs: DataFrame, **options) -> DataFrame:
     """Token count, a hash of the ids, and a hash of the decoded text, which is the text's own."""
     model = options.get("model", MODEL)

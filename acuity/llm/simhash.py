@@ -223,11 +223,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         classes.filter(F.col("doc_id") == F.col("component_id"))
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")), "keep"
     )
-    kept = docs.join(keep.filter("_copies = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(keep.filter("_copies > 1").select("doc_id"), "doc_id", "left_semi")
-    unknown = docs.filter(F.col("doc_id").isNull())
-    return (
-        kept.select(*docs.columns)
-        .unionByName(again.select(*docs.columns).dropDuplicates(["doc_id"]))
-        .unionByName(unknown)
-    )
+    once, more = (keep.filter(f"_copies {test} 1").select("doc_id") for test in ("=", ">"))
+    out = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    if not more.isEmpty():
+        again = docs.join(more, "doc_id", "left_semi").select(*docs.columns)
+        out = out.unionByName(again.dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
