@@ -34,7 +34,7 @@ from acuity.llm.common import stage, texts
 
 LENGTH, GRAM = 50, 16
 FILTER_BYTES, CROWD, MOST_CROWDED = 64 << 20, 100_000, 1 << 16
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _COVER, _PERIOD = (0, 1, 3), 7
 _MASK = (1 << 64) - 1
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     """
     if not gram + 8 <= length or length < 2 * _PERIOD + 8:
         raise ValueError("windows are too short for the gram")
-    blocks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = _shared(docs, length, gram, blocks, crowd)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
