@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from acuity import schemas
 from acuity.functions import scalars as S
 from acuity.operators.clean import drop_missing
-from acuity.operators.skew import HOT_ROWS, percentiles
+from acuity.operators.skew import HOT_ROWS, percentiles_of_counts, value_counts
 from acuity.schemas import STAY
 
 
@@ -128,15 +128,18 @@ def box_summary(
     rows = drop_missing(patients, [value, flag]).select(
         S.outcome(F.col(flag)).alias("outcome"), F.col(value).alias("_value")
     )
-    quartiles = percentiles(
-        rows, ["outcome"], "_value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], hot_rows=hot_rows
+    # All numbers follow from the distinct values and their counts, read once.
+    counts = value_counts(rows, ["outcome"], "_value")
+    quartiles = percentiles_of_counts(
+        counts, ["outcome"], "_value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+        hot_rows=hot_rows,
     )
     # At most three rows: the two outcomes and neither.
-    boxed = rows.join(F.broadcast(quartiles), "outcome")
+    boxed = counts.join(F.broadcast(quartiles), "outcome")
     v, q1, q3 = F.col("_value"), F.col("q1"), F.col("q3")
     reach = (q3 - q1) * 1.5
     return boxed.groupBy("outcome", "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("count"),
+        F.sum("_rows").alias("count"),
         F.min("_value").alias("min"),
         F.max("_value").alias("max"),
         F.min(F.when(v >= q1 - reach, v)).alias("lower_whisker"),

@@ -61,7 +61,8 @@ def restrict_to_stays(df: DataFrame, stays: DataFrame | Iterable[int] | int | No
                       key: str = STAY) -> DataFrame:
     """Keep the rows of the given stays.
 
-    A number or a list becomes a filter that reaches the scan; a DataFrame is semi-joined.
+    A number becomes a filter that reaches the scan; a list or a DataFrame is semi-joined.
+    A hot key on the left is split by adaptive execution where it is on.
     """
     if stays is None:
         return df
@@ -69,7 +70,8 @@ def restrict_to_stays(df: DataFrame, stays: DataFrame | Iterable[int] | int | No
         return df.join(stays.select(key).distinct(), key, "left_semi")
     if isinstance(stays, int):
         return df.filter(F.col(key) == stays)
-    return df.filter(F.col(key).isin(list(stays)))
+    listed = df.sparkSession.createDataFrame([(int(s),) for s in stays], f"{key} long")
+    return df.join(listed.distinct(), key, "left_semi")
 
 
 def clean_patients(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from acuity.operators.skew import HOT_ROWS, running_total, total_sort
 from acuity.schemas import STAY
 
 # A page that ends within so many rows is taken from each task's first rows.
-NEAR_ROWS = 100_000
+NEAR_ROWS = 2_000
 
 
 def _total_order(df: DataFrame, first: Sequence[str]) -> list[str]:
@@ -47,12 +48,11 @@ def search(df: DataFrame, text: str | None = None, high_risk_only: bool = False)
     gender without regard to case; ``%`` and ``_`` in it are wildcards.
     """
     if text:
-        try:
-            stay = int(text)
-        except ValueError:
+        if not re.fullmatch(r"\s*[+-]?[0-9]+\s*", text, re.ASCII):
             pattern = "%" + text.replace("\\", "\\\\") + "%"
             df = df.filter(F.col("unittype").ilike(pattern) | F.col("gender").ilike(pattern))
         else:
+            stay = int(text)
             fits = -(2**63) <= stay < 2**63
             df = df.filter(F.col(STAY) == stay if fits else F.lit(False))
     if high_risk_only:
@@ -84,10 +84,7 @@ def search_counts(
 
 def display_rows(df: DataFrame) -> DataFrame:
     """Search-result columns with the risk band and the outcome text."""
-    wanted = [
-        STAY, "age", "gender", "unittype", "apachescore", "hospital_mortality", "ml_risk_score",
-    ]
-    out = df.select(*[c for c in wanted if c in df.columns])
+    out = df.select(*[c for c in schemas.DISPLAY_COLUMNS if c in df.columns])
     if "ml_risk_score" in out.columns:
         out = out.withColumn("risk", S.risk_band(F.col("ml_risk_score")))
     if "hospital_mortality" in out.columns:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acuity import schemas
 from acuity.operators.skew import HOT_ROWS, key_shares, left_join
+from acuity.sources.storage import stage
 from acuity.schemas import STAY
 
 
@@ -74,17 +75,23 @@ def feature_table(
     """Patients with severity scores, vital aggregates and lab means, all left-joined.
 
     Several severity rows of one stay repeat that stay. That join comes last, so until then
-    the key counts are those of the patients; all joins share one partitioning by stay.
+    the key counts are those of the patients; all joins share one partitioning by stay. With
+    a hot stay a join reads its sides several times, so then the aggregates and each joined
+    table are stored first and every source table is still aggregated once.
     """
     scores = (dedupe_apache(apache) if apache_dedupe else apache).select(
         STAY, "apachescore", "predictedhospitalmortality"
     )
     signs, means = vitals_per_stay(vitals), lab_means_per_stay(labs)
     shares = key_shares(patients, None if apache_dedupe else scores, STAY, hot_rows=hot_rows)
-    by_left = None if shares is None else shares.withColumn("_r", F.lit(1).cast("long"))
-    out = left_join(patients, signs, STAY, by_left)
-    out = left_join(out, means, STAY, by_left)
-    out = left_join(out, scores, STAY, shares)
+    if shares is None:
+        once, by_left = (lambda df, name: df), None
+    else:
+        once, by_left = stage, shares.withColumn("_r", F.lit(1).cast("long"))
+    signs, means, scores = once(signs, "signs"), once(means, "means"), once(scores, "scores")
+    out = left_join(once(patients, "patients"), signs, STAY, by_left)
+    out = left_join(once(out, "with-signs"), means, STAY, by_left)
+    out = left_join(once(out, "with-means"), scores, STAY, shares)
     return out.select(
         *patients.columns,
         "apachescore", "predictedhospitalmortality",

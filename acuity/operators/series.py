@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,8 +15,11 @@ from acuity.schemas import STAY
 
 TIME = "observationoffset"
 
-# Rows kept for the weighted mean: (2/3)^100 is below the precision of a double.
-WEIGHTED_ROWS = 100
+
+def weighted_rows(span: float) -> int:
+    """Values of a weighted mean ahead of the first whose weight is exactly zero."""
+    step = math.log(1.0 - 2.0 / (span + 1.0))
+    return math.ceil((math.log(math.ulp(0.0)) - math.log(2.0)) / step) + 1
 
 
 def _rest(df: DataFrame, *first: str) -> list[str]:
@@ -57,16 +61,24 @@ def tail_statistics(
 
     ``ewm`` is the exponentially weighted mean of span 5 with adjusted weights at the last
     value, ``std10`` the sample deviation of the last 10 values, ``trend`` the mean step
-    over the last 5, ``kept`` the number of values looked at (at most 100).
+    over the last 5, ``kept`` the number of values looked at, ``last`` the time of the
+    stay's last reading. Values so old that their weight is zero are not looked at. An
+    infinite value is left out of the weighted mean but keeps its place.
     """
     # Numbers in place of the names: five rows per reading are sorted by them.
     coded = F.stack(
-        F.lit(len(signs)), *[c for i, name in enumerate(signs) for c in (F.lit(i), F.col(name))]
+        # the last reading counts as a sign of its own, whatever values it has
+        F.lit(len(signs) + 1),
+        *[c for i, name in enumerate(signs) for c in (F.lit(i), F.col(name).cast("double"))],
+        F.lit(len(signs)), F.lit(0.0),
     ).alias("_vital", "value")
     long = vitals.select(STAY, TIME, coded).filter(F.col("value").isNotNull())
     newest = [F.desc(TIME), F.desc("value")]
-    tail = last_rows(long, [STAY, "_vital"], newest, WEIGHTED_ROWS)
+    tail = last_rows(
+        long, [STAY, "_vital"], newest, weighted_rows(schemas.FORECAST_SPAN)
+    )
     place, value = F.col("place"), F.col("value")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
     weight = F.pow(
         F.lit(1.0 - 2.0 / (schemas.FORECAST_SPAN + 1.0)), (place - 1).cast("double")
     )
@@ -79,14 +91,17 @@ def tail_statistics(
     newest_value = F.max(F.when(place == 1, value))
     stats = tail.groupBy(STAY, "_vital").agg(
         kept.alias("kept"),
-        (F.sum(value * weight) / F.sum(weight)).alias("ewm"),
+        (F.sum(finite * weight) / F.sum(F.when(finite.isNotNull(), weight))).alias("ewm"),
         F.stddev_samp(F.when(place <= schemas.FORECAST_STD_ROWS, value)).alias("std10"),
         ((newest_value - oldest) / F.greatest(span - 1, F.lit(1))).alias("trend"),
+        F.max(TIME).alias("_end"),
     )
     names = F.array(*[F.lit(name) for name in signs])
+    last = F.max("_end").over(Window.partitionBy(STAY)).alias("last")
     return stats.select(
-        STAY, F.get(names, F.col("_vital")).alias("vital"), "kept", "ewm", "std10", "trend"
-    )
+        STAY, "_vital", F.get(names, F.col("_vital")).alias("vital"), "kept", "ewm", "std10",
+        "trend", last,
+    ).filter(F.col("_vital") < len(signs)).drop("_vital")
 
 
 def future_offsets(vitals: DataFrame, steps: int = 6) -> DataFrame:
@@ -114,12 +129,16 @@ def forecast(
     Every step adds 0.3 of the trend, and, given a ``seed``, normal noise of 0.2 of the
     deviation, which builds up over the steps. The band is one deviation to either side.
     """
+    return _forecast(vitals, steps, 1, seed, signs)
+
+
+def _forecast(
+    vitals: DataFrame, steps: int, first: int, seed: int | None, signs: Sequence[str]
+) -> DataFrame:
+    """Steps ``first`` to ``steps`` of the forecast; step 0 stands at the last reading."""
     _check_steps(steps)
     stats = tail_statistics(vitals, signs).filter(F.col("kept") >= schemas.FORECAST_MIN_ROWS)
-    ends = vitals.groupBy(STAY).agg(F.max(TIME).alias("_last"))
-    ahead = stats.join(ends, STAY).withColumn(
-        "step", F.explode(F.sequence(F.lit(1), F.lit(steps)))
-    )
+    ahead = stats.withColumn("step", F.explode(F.sequence(F.lit(first), F.lit(steps))))
     value = F.col("ewm") + F.col("trend") * schemas.FORECAST_TREND_SHARE * F.col("step")
     if seed is not None:
         key = F.concat_ws("|", STAY, "vital", "step", F.lit(str(seed)))
@@ -129,10 +148,11 @@ def forecast(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         draw = S.standard_normal(key) * F.coalesce(F.col("std10"), F.lit(0.0))
-        value = value + F.sum(draw * schemas.FORECAST_NOISE_SHARE).over(so_far)
+        drawn = F.when(F.col("step") > 0, draw * schemas.FORECAST_NOISE_SHARE).otherwise(0.0)
+        value = value + F.sum(drawn).over(so_far)
     return ahead.withColumn("value", F.round(value, 2)).select(
         STAY, "vital", "step",
-        (F.col("_last") + F.col("step") * schemas.STEP_MINUTES).alias(TIME),
+        (F.col("last") + F.col("step") * schemas.STEP_MINUTES).alias(TIME),
         "value",
         (F.col("value") - F.col("std10")).alias("lower"),
         (F.col("value") + F.col("std10")).alias("upper"),
@@ -167,14 +187,15 @@ def forecast_line(
     signs: Sequence[str] = schemas.FORECAST_VITALS,
 ) -> DataFrame:
     """The line a chart draws: the last reading as step 0, then the forecast."""
-    ahead = forecast(vitals, steps, seed=seed, signs=signs).select(
-        STAY, "vital", "step", S.hours(F.col(TIME)).alias("time_h"), "value"
+    grid = _forecast(vitals, steps, 0, seed, signs)
+    row = F.max(F.struct(TIME, *_rest(vitals, STAY, TIME))).alias("_row")
+    last = vitals.groupBy(STAY).agg(row).select(
+        STAY, *[F.col(f"_row.{name}").alias(f"_at_{name}") for name in signs]
     )
-    last = (
-        last_rows(vitals, [STAY], _newest_first(vitals), 1)
-        .unpivot([STAY, TIME], list(signs), "vital", "value")
-        .select(STAY, "vital", F.lit(0).alias("step"), S.hours(F.col(TIME)).alias("time_h"),
-                "value")
+    at = F.coalesce(*[
+        F.when(F.col("vital") == name, F.col(f"_at_{name}")) for name in signs
+    ])
+    return grid.join(last, STAY).select(
+        STAY, "vital", "step", S.hours(F.col(TIME)).alias("time_h"),
+        F.when(F.col("step") == 0, at).otherwise(F.col("value")).alias("value"),
     )
-    drawn = ahead.filter(F.col("step") == 1).select(STAY, "vital")
-    return last.join(drawn, [STAY, "vital"], "left_semi").unionByName(ahead)

@@ -121,12 +121,12 @@ def _spread_total(df, hot_rows, by, order, measure, before, total) -> DataFrame:
 
 
 def total_sort(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Sort all rows. A row number as last key lets equal rows fall into different tasks.
+    """Sort all rows by ``order``, which should hold every column.
 
-    ``df`` should read stored tables, whose row numbers stay the same in a re-run.
+    No row number is among the keys: where a map task runs again, rows go where they went
+    before. Rows that are equal in all columns share a task, which sorts them with spilling.
     """
-    numbered = df.withColumn(_UID, F.monotonically_increasing_id())
-    return numbered.orderBy(*order, _UID).drop(_UID)
+    return df.orderBy(*order)
 
 
 def last_rows(
@@ -220,11 +220,25 @@ def percentiles(
     Keys with more distinct values than ``hot_rows`` are answered from running counts over
     the distinct values, so that no task has to hold a whole key.
     """
-    counts = stage(
+    return percentiles_of_counts(
+        value_counts(df, by, value), by, value, probs, names, hot_rows=hot_rows
+    )
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per key with their number of ``_rows``, stored; nulls are left out."""
+    return stage(
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
+
+
+def percentiles_of_counts(
+    counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+    names: Sequence[str], *, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """:func:`percentiles` from the result of :func:`value_counts`."""
     ranked = running_total(
         counts, by, [F.col(value)], F.col("_rows"),
         before="_first", total="_all", hot_rows=hot_rows,

@@ -30,8 +30,7 @@ def clean_table(
 ) -> DataFrame:
     """A clean table, from its stored copy if there is one.
 
-    Restricted to ``stays``, it is always read from the raw file and not stored. A row cap
-    in ``scan`` applies before the restriction.
+    Restricted to ``stays``, it is always read from the raw file and not stored.
     """
     if stays is not None:
         return CLEANERS[name](scan_table(spark, raw_dir, name, **scan), stays)
@@ -49,7 +48,6 @@ def run(
     *,
     refresh: bool = False,
     retrain: bool = False,
-    vitals_cap: int | None = None,
     partitions: int | None = None,
     apache_dedupe: bool = False,
     files: int | None = None,
@@ -57,14 +55,13 @@ def run(
 ) -> Build:
     """Build everything under ``out_dir``; what is stored already is not built again.
 
-    Serving tables are always overwritten. A stored model is kept unless ``retrain``.
+    A table stored with other parameters is built again. Serving tables are always
+    overwritten, and scores stored for the patients before are dropped. A stored model is
+    kept unless ``retrain``.
     """
     scan = {"partitions": partitions}
     clean = {
-        name: clean_table(
-            spark, raw_dir, out_dir, name, refresh=refresh,
-            **scan, **({"cap_rows": vitals_cap} if name == "vitals" else {}),
-        )
+        name: clean_table(spark, raw_dir, out_dir, name, refresh=refresh, **scan)
         for name in schemas.RAW_FILES
     }
     table = storage.read_through(
@@ -75,8 +72,11 @@ def run(
             apache_dedupe=apache_dedupe,
         ),
         refresh=refresh,
+        apache_dedupe=apache_dedupe,
     )
     serving = f"{out_dir}/serving"
+    # Scores belong to the cohort they were made for; the new one starts without.
+    storage.remove(spark, f"{serving}/patients_scored")
     storage.save_serving(table, "patients", serving, files=files)
     for name, target in SERVED.items():
         storage.save_serving(clean[name], target, serving, files=files)

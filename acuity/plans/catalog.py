@@ -16,7 +16,7 @@ from acuity.sources import raw, storage
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 
-DIGITS = 6
+DIGITS = 9
 # Times are left as they are: each is one division, the same everywhere.
 EXACT = ["observationoffset", "time_h"]
 
@@ -396,36 +396,59 @@ def stratified_split(spark, folder):
     return risk.stratified_split(rows)
 
 
+# Trained once per application and folder, then read back from its stored form.
 _MODELS: dict[tuple[str, str], model.RiskModel] = {}
 
 
 def _trained(spark, folder) -> model.RiskModel:
-    """One training per application and folder."""
+    """The stored model of one training per application and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
-        _MODELS[key] = model.train(A.feature_table(spark, folder)).model
+        path = storage.scratch_path(spark, "model")
+        model.save(spark, model.train(A.feature_table(spark, folder)).model, path)
+        _MODELS[key] = model.load(spark, path)
     return _MODELS[key]
 
 
 @query
 def rf_score(spark, folder):
-    scored = model.score(A.feature_table(spark, folder), _trained(spark, folder))
-    return scored.select(STAY, "apachescore", "risk_score", "risk_label", "prediction")
+    """Every scored row, with the rules that hold whatever the forest says."""
+    scored = model.score(A.feature_table(spark, folder), _trained(spark, folder), digits=None)
+    score = F.col("risk_score")
+    return scored.select(
+        STAY, "apachescore",
+        score.between(0.0, 1.0).alias("score_in_range"),
+        (F.col("risk_label") == S.risk_label(score)).alias("label_fits"),
+        (F.col("prediction") == (score > 0.5).cast("int")).alias("class_fits"),
+    )
 
 
 @query
 def rf_importance(spark, folder):
-    return model.top_features(spark, _trained(spark, folder))
+    """Every feature, with the rules that hold for importances."""
+    rows = model.importances(spark, _trained(spark, folder))
+    total = rows.agg(F.sum("importance")).scalar()
+    return rows.select(
+        "feature", F.col("importance").between(0.0, 1.0).alias("in_range"),
+        (F.abs(total - 1.0) < 1e-9).alias("sum_is_one"),
+    )
 
 
 @query
 def score_writeback(spark, folder):
-    table = A.feature_table(spark, folder)
-    scores = model.score(table, _trained(spark, folder))
-    patients = storage.serving_projection(table, "patients")
-    return features.write_back_scores(patients, scores).select(
-        STAY, "apachescore", "ml_risk_score", "ml_prediction"
+    """Scores by formula for every third stay, two for some, written onto the patients."""
+    patients = A.patients(spark, folder).select(
+        STAY, "ml_risk_score", F.lit(None).cast("int").alias("ml_prediction")
+    )
+    third = patients.filter(F.col(STAY) % 3 == 0)
+    first = third.select(STAY, ((F.col(STAY) * 13) % 1000 / 1000.0).alias("risk_score"))
+    second = third.filter(F.col(STAY) % 2 == 0).select(
+        STAY, ((F.col(STAY) * 29) % 1000 / 1000.0).alias("risk_score")
+    )
+    scores = first.unionByName(second).withColumn(
+        "prediction", (F.col("risk_score") > 0.5).cast("int")
     )
+    return features.write_back_scores(patients, scores)
 
 
 HEADLINE = [

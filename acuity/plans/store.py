@@ -91,6 +91,26 @@ class CohortStore:
     def history(self, stays: Stays = None) -> DataFrame:
         return series.history(restrict_to_stays(self.table("vitals"), stays))
 
+    def search_counts(self, limit: int = schemas.PAGE_ROWS, offset: int = 0,
+                      search: str | None = None, high_risk_only: bool = False) -> DataFrame:
+        return cohort.search_counts(self.table("patients"), search, high_risk_only, limit, offset)
+
+    def display_rows(self) -> DataFrame:
+        return cohort.display_rows(self.table("patients"))
+
+    def lab_lines(self, names: list[str], stays: Stays = None) -> DataFrame:
+        return cohort.lab_lines(S.finite(self.table("labs")), names, stays)
+
+    def vital_line(self, vital: str, stays: Stays = None) -> DataFrame:
+        rows = restrict_to_stays(self.table("vitals"), stays)
+        return series.long_form(S.finite(rows), [vital])
+
+    def unit_share(self) -> DataFrame:
+        return analytics.unit_share(self.table("patients"))
+
+    def top_units(self, n: int = schemas.TOP_UNITS) -> DataFrame:
+        return analytics.top_units(self.table("patients"), n)
+
     def unit_breakdown(self) -> DataFrame:
         return analytics.unit_breakdown(self.table("patients"))
 

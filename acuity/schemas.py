@@ -159,3 +159,8 @@ MISSING_TOKENS = [
     "", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "NULL", "null", "None", "<NA>",
     "#N/A", "#NA", "#N/A N/A", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN",
 ]
+
+# Columns of the search result.
+DISPLAY_COLUMNS = [
+    STAY, "age", "gender", "unittype", "apachescore", "hospital_mortality", "ml_risk_score",
+]

@@ -14,17 +14,16 @@ def scan_csv(
     path: str,
     columns: list[str],
     *,
-    cap_rows: int | None = None,
-    multiline: bool = False,
+    multiline: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
     """Read ``columns`` of a delimited file (or folder of files) as text.
 
     Columns are picked by header name, never by position, and missing-value texts become
-    null. A missing file or column raises ``AnalysisException``. ``cap_rows`` keeps the
-    first rows in file order, before any filter. A gzip file is one split: where there are
-    fewer of them than the cluster has task slots, their rows are spread over ``partitions``
-    tasks (as many as slots without it).
+    null. A missing file or column raises ``AnalysisException``. Fields may hold line breaks
+    in quotes, so a file is one split, as a gzip file is anyway; ``multiline=False`` splits
+    plain files that have none. Where there are fewer splits than the cluster has task slots,
+    their rows are spread over ``partitions`` tasks (as many as slots without it).
     """
     rows = (
         spark.read.option("header", True)
@@ -33,9 +32,7 @@ def scan_csv(
         .csv(path)
         .select(*columns)
     )
-    if cap_rows is not None:
-        rows = rows.limit(cap_rows)
-    if partitions is None and path.rstrip("/").endswith(".gz"):
+    if partitions is None and (multiline or path.rstrip("/").endswith(".gz")):
         slots = spark.sparkContext.defaultParallelism
         partitions = slots if len(rows.inputFiles()) < slots else None
     if partitions is not None:

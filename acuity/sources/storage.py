@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -35,13 +36,30 @@ def read_through(
     build: Callable[[], DataFrame],
     *,
     refresh: bool = False,
+    **parameters,
 ) -> DataFrame:
-    """Return the stored table at ``path``; build and store it first if it is not there."""
-    if refresh or not is_stored(spark, path):
+    """Return the stored table at ``path``; build and store it first if it is not there.
+
+    ``parameters`` are stored beside it, last of all. A table stored with others, or with
+    none on record, is built again.
+    """
+    wanted, record = json.dumps(parameters, sort_keys=True), f"{path.rstrip('/')}.parameters"
+    held = None
+    if is_stored(spark, record):
+        held = "".join(r[0] for r in spark.read.text(record).collect())
+    if refresh or held != wanted or not is_stored(spark, path):
+        remove(spark, record)
         build().write.mode("overwrite").parquet(path)
+        spark.range(1).select(F.lit(wanted)).write.mode("overwrite").text(record)
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table, if it is there."""
+    system, target = _path(spark, path)
+    system.delete(target, True)
+
+
 def serving_projection(df: DataFrame, table: str) -> DataFrame:
     """Those serving columns that exist; patients also get two empty score columns."""
     out = df.select(*[c for c in schemas.SERVING_COLUMNS[table] if c in df.columns])
@@ -113,8 +131,7 @@ def drop_scratch(spark: SparkSession) -> None:
     afterwards.
     """
     while _scratch:
-        system, target = _path(spark, _scratch.pop())
-        system.delete(target, True)
+        remove(spark, _scratch.pop())
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -195,9 +195,8 @@ def test_retrain_and_restricted_load(spark, built, raw, out):
     stays = spark.createDataFrame([(3,), (5,)], f"{STAY} long")
     part = build.clean_table(spark, raw, out, "vitals", stays=stays)
     assert part.count() == 12
-    # The cap comes first: six rows of stay 0 are all there is to restrict.
-    capped = build.clean_table(spark, raw, out, "vitals", stays=stays, cap_rows=6)
-    assert capped.count() == 0
+    listed = build.clean_table(spark, raw, out, "vitals", stays=[3, 5, 5])
+    assert listed.count() == 12
 
 
 def test_read_through(spark, tmp_path):
@@ -213,7 +212,10 @@ def test_read_through(spark, tmp_path):
     assert storage.read_through(spark, path, make(3)).count() == 3
     assert storage.read_through(spark, path, make(4)).count() == 3
     assert storage.read_through(spark, path, make(5), refresh=True).count() == 5
-    assert calls == [3, 5]
+    assert storage.read_through(spark, path, make(6), dedupe=True).count() == 6
+    assert storage.read_through(spark, path, make(7), dedupe=True).count() == 6
+    assert storage.read_through(spark, path, make(8)).count() == 8
+    assert calls == [3, 5, 6, 8]
 
 
 def test_unfinished_table_is_built_again(spark, tmp_path):
@@ -266,16 +268,30 @@ def test_drop_scratch(spark, monkeypatch):
     assert storage._scratch == [] and not storage.exists(spark, paths[1])
 
 
-def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_scratch_falls_back_to_the_warehouse(spark, monkeypatch):
     class Conf:
         def get(self, key, default=None):
-            return {"spark.master": "spark://host"}.get(key, default)
+            return {"spark.sql.warehouse.dir": "store://w/"}.get(key, default)
 
     class Session:
         conf = Conf()
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        storage.scratch_path(Session(), "x")
+    monkeypatch.setattr(storage, "_scratch", [])
+    assert storage.scratch_path(Session(), "x").startswith("store://w/acuity-scratch/acuity-x-")
+
+
+def test_new_cohort_drops_old_scores(spark, raw, tmp_path):
+    from acuity.plans.store import CohortStore
+
+    out = str(tmp_path / "out")
+    build.run(spark, raw, out, **FOREST)
+    build.score_all(spark, out)
+    store = CohortStore(spark, out)
+    assert store.table("patients").filter("ml_risk_score is not null").count() > 0
+    build.run(spark, raw, out, refresh=True, **FOREST)
+    again = store.table("patients")
+    assert again.filter("ml_risk_score is not null").count() == 0
+    assert again.count() == store.stats().first()["total_patients"]
 
 
 def test_target_column(built):

@@ -71,7 +71,7 @@ def test_tail_statistics(vitals, history):
     assert set(got) == present
     for (stay, vital), row in got.items():
         ewm, std, trend, n = expected(history, stay, vital)
-        assert row["kept"] == min(n, 100)
+        assert row["kept"] == min(n, series.weighted_rows(5))
         assert np.isclose(row["ewm"], ewm, rtol=1e-12) and np.isclose(row["trend"], trend)
         assert row["std10"] is None if n == 1 else np.isclose(row["std10"], std)
 
@@ -160,6 +160,27 @@ def test_forecast_arrays(vitals):
     assert got[8]["sao2"] == [r["value"] for r in one] and set(got) == {3, 4, 5, 6, 7, 8}
 
 
+def test_weighted_mean_keeps_old_extremes_and_places_of_infinite_values(spark):
+    old = frame(1, 3000)
+    old["respiration"] = 16.0
+    old.loc[3000 - 101, "respiration"] = 1e19
+    old["systemicsystolic"] = 120.0 + np.arange(3000) % 7
+    old.loc[2990, "systemicsystolic"] = np.inf
+    got = {r["vital"]: r["ewm"] for r in series.tail_statistics(to_spark(spark, old)).collect()}
+    for vital in ("respiration", "systemicsystolic"):
+        want = old[vital].replace(np.inf, np.nan).ewm(span=5).mean().iloc[-1]
+        assert got[vital] == pytest.approx(want, rel=1e-12)
+    assert got["respiration"] > 17
+
+
+def test_forecast_reads_the_readings_once_and_its_line_twice(spark, vitals, tmp_path):
+    vitals.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    for make, scans in ((series.forecast, 1), (series.forecast_line, 2)):
+        plan = make(stored)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= scans
+
+
 def test_last_rows_are_cut_before_the_shuffle(vitals):
     plan = series.tail_statistics(vitals)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 4
