@@ -40,10 +40,12 @@ def prefix_sums(lengths: str) -> str:
       CASE WHEN size({lengths}) = 0 THEN cast(array() AS array<bigint>) ELSE flatten(transform(
         sequence(0, int(ceil(size({lengths}) / {block})) - 1),
         b -> transform(
-          sequence(1, least({block}, size({lengths}) - b * {block})),
-          i -> aggregate(slice({lengths}, 1, b * {block}), 0L, (a, x) -> a + x)
-             + aggregate(slice({lengths}, b * {block} + 1, i - 1), 0L, (a, x) -> a + x)
-        )
+          array(aggregate(slice({lengths}, 1, b * {block}), 0L, (a, x) -> a + x)),
+          ahead -> transform(
+            sequence(1, least({block}, size({lengths}) - b * {block})),
+            i -> ahead + aggregate(slice({lengths}, b * {block} + 1, i - 1), 0L, (a, x) -> a + x)
+          )
+        )[0]
       )) END"""
 
 
