@@ -224,7 +224,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")), "keep"
     )
     once, more = (keep.filter(f"_copies {test} 1").select("doc_id") for test in ("=", ">"))
-    out = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    # about as many ids as documents: never a broadcast, however few they are
+    out = docs.join(once.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not more.isEmpty():
         again = docs.join(more, "doc_id", "left_semi").select(*docs.columns)
         out = out.unionByName(again.dropDuplicates(["doc_id"]))
