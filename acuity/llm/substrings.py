@@ -34,7 +34,7 @@ from acuity.llm.common import stage, texts
 
 LENGTH, GRAM = 50, 16
 FILTER_BYTES, CROWD, MOST_CROWDED = 64 << 20, 100_000, 1 << 16
-_PIECE = 1 << 19
+_PIECE, _HELD, _PART = 1 << 19, 32 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _COVER, _PERIOD = (0, 1, 3), 7
 _MASK = (1 << 64) - 1
@@ -191,11 +191,35 @@ def _by_block(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(block[part[0]]), part
 
 
+class _Outbox:
+    """Arrays for each block, gathered over a task's input and written in few large rows."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.size = names, 0
+        self.held: dict[int, list[tuple]] = {}
+
+    def add(self, block: int, *arrays: np.ndarray) -> None:
+        self.held.setdefault(block, []).append(arrays)
+        self.size += sum(a.nbytes for a in arrays)
+
+    def full(self) -> bool:
+        return self.size >= _HELD
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        while self.held:
+            block, parts = self.held.popitem()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]),
+                 *[pa.array([np.concatenate(c).tobytes()]) for c in zip(*parts)]], self.names)
+        self.size = 0
+
+
 def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
     """Bit table over anchors that two texts hold, and the sorted crowded anchors."""
     most = max(64, FILTER_BYTES * 8 // blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Outbox(["block", "h", "n"])
         for b in batches:
             for raw, starts, rows, _ in _pieces(b.column(2).to_pylist(), length):
                 h, _, _, piece = _anchors(raw, starts, length, gram)
@@ -210,9 +234,10 @@ def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
                 n = np.minimum(np.add.reduceat(own, first, dtype=np.int64), 65535).astype("<u2")
                 h = h[first]
                 for block, part in _by_block(_spread(h, blocks)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block]), pa.array([h[part].tobytes()]),
-                         pa.array([n[part].tobytes()])], ["block", "h", "n"])
+                    out.add(block, h[part], n[part])
+                if out.full():
+                    yield from out.rows()
+        yield from out.rows()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -271,11 +296,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     """
     if not gram + 8 <= length or length < 2 * _PERIOD + 8:
         raise ValueError("windows are too short for the gram")
-    blocks = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = _shared(docs, length, gram, blocks, crowd)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ends, sizes, full = known.value
+        box = _Outbox(["block", "h", "doc", "no", "start", "size", "bytes"])
+        nothing = np.zeros(0, np.uint8)
         for b in batches:
             ids, nos = b.column(0).to_numpy(), b.column(1).to_numpy()
             for raw, starts, rows, places in _pieces(b.column(2).to_pylist(), length):
@@ -311,20 +338,18 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
                 small[order] = doc[order] == least
                 out = ~small
                 if out.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([-1 - int(h[0] % np.uint64(blocks))]), pa.array([b""]),
-                         *[pa.array([x[out].tobytes()]) for x in
-                           (doc, no.astype(np.int32), start, (last - first + length))],
-                         pa.array([b""])], ["block", "h", "doc", "no", "start", "size", "bytes"])
+                    box.add(-1 - int(h[0] % np.uint64(blocks)), nothing, doc[out],
+                            no[out].astype(np.int32), start[out],
+                            (last - first + length)[out], nothing)
                 for block, part in _by_block(np.where(small, _spread(h, blocks), -1)):
                     if block < 0:
                         continue
                     size = stop[part] - first[part]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block]), *[pa.array([x.tobytes()]) for x in (
-                            h[part], doc[part], no[part].astype(np.int32), start[part], size,
-                            raw[_runs(first[part], size)])]],
-                        ["block", "h", "doc", "no", "start", "size", "bytes"])
+                    box.add(block, h[part], doc[part], no[part].astype(np.int32), start[part],
+                            size, raw[_runs(first[part], size)])
+                if box.full():
+                    yield from box.rows()
+        yield from box.rows()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -337,47 +362,59 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
                 else:
                     held.setdefault(block, []).append((h, doc, no, start, size, raw))
         while held:
-            _, parts = held.popitem()  # one block at a time
-            h, doc, no, start, size, raw = (np.concatenate(c) for c in zip(*parts))
-            from_ = np.cumsum(size) - size
-            around = _hash(_sums(raw, 3), from_, from_ + size)
-            order = np.lexsort((doc, around, h))
-            h, doc, no, start, size, from_, around = (
-                x[order] for x in (h, doc, no, start, size, from_, around))
-            other = np.append(True, h[1:] != h[:-1])
-            new = other | np.append(True, around[1:] != around[:-1])
-            group = np.cumsum(new) - 1
-            head = np.flatnonzero(new)
-            least = doc[head]
-            later = doc > least[group]
-            if later.any():
-                yield _span_batch(doc[later], no[later], start[later], (start + size)[later])
-            anchor = (np.cumsum(other) - 1)[head]
-            several = np.bincount(anchor)[anchor] > 1
-            chosen = np.flatnonzero(several)
-            if not len(chosen):
-                continue
-            n = size[head[chosen]] - length + 1
-            at = _runs(from_[head[chosen]], n)
-            owner = np.repeat(least[chosen], n)
-            gone = window_minima(raw, at, owner, length) < owner
-            # the smallest document's own places: all its rows of the group
-            first_window = np.full(len(head), -1, dtype=np.int64)
-            first_window[chosen] = np.cumsum(n) - n
-            mine = np.flatnonzero(~later & several[group])
-            m = size[mine] - length + 1
-            which = _runs(first_window[group[mine]], m)
-            row = np.repeat(mine, m)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-            hit = gone[which]
-            row, offset = row[hit], offset[hit]
-            if not len(row):
-                continue
-            begin = np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))
-            a = np.flatnonzero(begin)
-            z = np.append(a[1:], len(row)) - 1
-            yield _span_batch(doc[row[a]], no[row[a]], start[row[a]] + offset[a],
-                              start[row[a]] + offset[z] + length)
+            _, parts = held.popitem()
+            whole = [np.concatenate(c) for c in zip(*parts)]
+            del parts
+            # one part of the block at a time, by anchor
+            cuts = max(1, len(whole[5]) // _PART)
+            at_byte = np.cumsum(whole[4]) - whole[4]
+            for cut in range(cuts):
+                mine = np.flatnonzero((whole[0] >> np.uint64(40)) % np.uint64(cuts) == cut)
+                if len(mine):
+                    some = [x[mine] for x in whole[:5]]
+                    raw = whole[5][_runs(at_byte[mine], some[4])]
+                    yield from part_spans(*some, raw)
+
+    def part_spans(h, doc, no, start, size, raw) -> Iterator[pa.RecordBatch]:
+        from_ = np.cumsum(size) - size
+        around = _hash(_sums(raw, 3), from_, from_ + size)
+        order = np.lexsort((doc, around, h))
+        h, doc, no, start, size, from_, around = (
+            x[order] for x in (h, doc, no, start, size, from_, around))
+        other = np.append(True, h[1:] != h[:-1])
+        new = other | np.append(True, around[1:] != around[:-1])
+        group = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        least = doc[head]
+        later = doc > least[group]
+        if later.any():
+            yield _span_batch(doc[later], no[later], start[later], (start + size)[later])
+        anchor = (np.cumsum(other) - 1)[head]
+        several = np.bincount(anchor)[anchor] > 1
+        chosen = np.flatnonzero(several)
+        if not len(chosen):
+            return
+        n = size[head[chosen]] - length + 1
+        at = _runs(from_[head[chosen]], n)
+        owner = np.repeat(least[chosen], n)
+        gone = window_minima(raw, at, owner, length) < owner
+        # the smallest document's own places: all its rows of the group
+        first_window = np.full(len(head), -1, dtype=np.int64)
+        first_window[chosen] = np.cumsum(n) - n
+        mine = np.flatnonzero(~later & several[group])
+        m = size[mine] - length + 1
+        which = _runs(first_window[group[mine]], m)
+        row = np.repeat(mine, m)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        hit = gone[which]
+        row, offset = row[hit], offset[hit]
+        if not len(row):
+            return
+        begin = np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))
+        a = np.flatnonzero(begin)
+        z = np.append(a[1:], len(row)) - 1
+        yield _span_batch(doc[row[a]], no[row[a]], start[row[a]] + offset[a],
+                          start[row[a]] + offset[z] + length)
 
     sent = docs.mapInArrow(
         send, "block long, h binary, doc binary, no binary, start binary, size binary, bytes binary")
