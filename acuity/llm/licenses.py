@@ -105,8 +105,7 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these, so other texts need no cutting.
-GATE = ("licen[sc]|permission|permitted|redistribut|warranty|warranties|copyright|public domain|"
-        "public license")
+GATE = "licen[sc]|permission|permitted|redistribut|warrant|copyright|domain|released"
 ENDS = {"lines": r"[.!?;:]+[ \t\r]+|[.!?;:]*[\n]+", "joined": r"[.!?;:]+[ \t\r\n]+|[\n][ \t\r]*[\n]"}
 
 

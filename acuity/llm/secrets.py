@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from acuity.llm.common import stage, texts
 from acuity.llm.spans import Kind, digest, find, quoted
 
-RATE = 0.25
+RATE = 0.05
 GRID = 10_000
 MASK = "[SECRET]"
 
