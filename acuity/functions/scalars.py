@@ -139,10 +139,14 @@ def finite(df: DataFrame) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, digits: int, exact: Sequence[str] = ()) -> DataFrame:
-    """Round every floating column but the ``exact`` ones."""
+def rounded(
+    df: DataFrame, digits: int, exact: Sequence[str] = (), nudge: float = 0.0
+) -> DataFrame:
+    """Round every floating column but the ``exact`` ones, after adding ``nudge``."""
     doubles = _doubles(df) - set(exact)
-    return df.select(*[F.round(c, digits).alias(c) if c in doubles else c for c in df.columns])
+    return df.select(
+        *[F.round(F.col(c) + nudge, digits).alias(c) if c in doubles else c for c in df.columns]
+    )
 
 
 def unit_interval(key: Column, start: int) -> Column:

@@ -423,7 +423,7 @@ QUERIES["rf_importance"] = QUERIES["rf_importance"].format(
 )
 
 # Result columns that the catalogue rounds: those of type double, but for the times.
-DIGITS = 9
+DIGITS, NUDGE = 9, "3e-11::double"
 DOUBLES = [
     "age", "admissionheight", "admissionweight", "ml_risk_score", "apachescore",
     "predictedhospitalmortality", "heartrate", "respiration", "sao2",
@@ -456,7 +456,7 @@ def _needed(text: str, found: dict[str, str]) -> dict[str, str]:
 def _sql(name: str, text: str) -> str:
     """The query with its parts, and the doubles of its result rounded."""
     listed = ", ".join(f"'{c}'" for c in DOUBLES)
-    doubles = f"round(columns(lambda c: c in ({listed})), {DIGITS})"
+    doubles = f"round(columns(lambda c: c in ({listed})) + {NUDGE}, {DIGITS})"
     others = f"columns(lambda c: c not in ({listed}))"
     if name in NO_DOUBLES:
         shown = "*"
