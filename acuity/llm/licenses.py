@@ -3,7 +3,9 @@
 A text is cut into sentences twice: once with every line break as an end, once with lines
 joined, so that both one-line notices and wrapped licence texts are seen whole. Sentences
 are lower-cased, stripped of all but letters and digits, and looked up. The identifiers of
-the known ones, in order, form a sequence. Rules are tried in their order; one that fits
+the known ones, in order, form a sequence. A known sentence that holds a sentence end itself
+("SPDX-License-Identifier: MIT", "v. 2.0") is looked up as the run of pieces that the cutting
+makes of it. Rules are tried in their order; one that fits
 takes its identifiers out, so that a longer licence is not reported as its shorter kin too.
 """
 
@@ -118,6 +120,18 @@ def known() -> dict[str, str]:
     return {normalise(s): name for name, group in SENTENCES.items() for s in group}
 
 
+def in_pieces() -> dict[int, dict[str, str]]:
+    """Known sentences that a cutting takes apart, by the number of pieces."""
+    out: dict[int, dict[str, str]] = {}
+    for name, group in SENTENCES.items():
+        for s in group:
+            for ends in ENDS.values():
+                n = sum(1 for piece in re.split(ends, s) if normalise(piece))
+                if n > 1:
+                    out.setdefault(n, {})[normalise(s)] = name
+    return out
+
+
 def patterns() -> list[tuple[str, str]]:
     """Each rule as an expression over the sequence of identifiers; others may stand between."""
     return [(name, " " + "[a-z0-9 -]*? ".join(ids) + " ") for name, ids in RULES]
@@ -130,7 +144,8 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     where nothing is known. A null text counts as empty; rows may repeat and doc_id may be
     null, each row is judged by itself. Columns other than doc_id and text are ignored.
     """
-    table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    as_map = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    table, runs = as_map(known()), {n: as_map(d) for n, d in sorted(in_pieces().items())}
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"))
                       for n, p in patterns()])
     none = F.array().cast("array<string>")
@@ -142,9 +157,14 @@ def find_licenses(docs: DataFrame) -> DataFrame:
         )).otherwise(none)
         for way, ends in ENDS.items()
     })
+
+    def lookup(way):
+        return lambda s, k: F.coalesce(F.try_element_at(table, s), *[
+            F.try_element_at(m, F.array_join(F.slice(way, k + 1, n), " ")) for n, m in runs.items()
+        ])
+
     rows = rows.withColumns({
-        way: F.filter(F.transform(way, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
-        for way in ENDS
+        way: F.filter(F.transform(way, lookup(way)), lambda i: i.isNotNull()) for way in ENDS
     })
 
     def fold(way):
@@ -182,7 +202,7 @@ def license_rows(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same as one SQL statement for DuckDB."""
+    """The same as one SQL statement for DuckDB, but for the sentences of ``in_pieces``."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
     pairs = ", ".join(f"({text(s)}, '{i}')" for s, i in known().items())
     parts, rules = [], patterns()

@@ -110,6 +110,17 @@ def test_licenses(spark):
     assert all(re.search(licenses.GATE, s.lower()) for s in licenses.known()), "gate misses a sentence"
 
 
+def test_every_known_licence_sentence_is_found(spark):
+    cases = [(name, f"{before}{s}{after}") for name, group in licenses.SENTENCES.items() for s in group
+             for before, after in (("", ""), ("Some words.\n// ", "\nMore words."), ("Before this. ", " After this."))
+             if not after.startswith(" ") or s[-1] in ".:"]
+    got = licenses.license_rows(docs(spark, [t for _, t in cases])).orderBy("doc_id").collect()
+    assert [(r["sentence_ids"], t) for r, (_, t) in zip(got, cases)] == cases
+    rule = {ids[0]: name for name, ids in reversed(licenses.RULES) if len(ids) == 1}
+    assert all(r["licenses"] == rule[name] for r, (name, _) in zip(got, cases) if name in rule)
+    assert "GPL-3.0-or-later" in {r["licenses"] for r in got}
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
