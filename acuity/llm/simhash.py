@@ -218,7 +218,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Of rows that repeat that doc_id one stays, whichever. Rows without a doc_id cannot be
     told apart by it; they all stay. All columns of ``docs`` are kept.
     """
-    classes = near_duplicates(docs, **options)
+    return one_of_each(docs, near_duplicates(docs, **options))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its ``component_id``, one each; those without an id stay."""
     keep = stage(
         classes.filter(F.col("doc_id") == F.col("component_id"))
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")), "keep"

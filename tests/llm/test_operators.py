@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from acuity.llm import (  # noqa: E402
-    decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls,
+    decontam, jaccard, licenses, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls,
 )
 from acuity.llm.common import components  # noqa: E402
 
@@ -47,6 +47,7 @@ ROWWISE = [
     pii.pii_digests, secrets.secret_digests, licenses.license_rows, simhash.near_duplicates,
     sentencepiece_bpe.token_digests, substrings.repeat_digests, secrets.mask_secrets,
     lambda d: toxicity.grade_texts(d, toxicity.OrdinalModel({"x": 1.0}, [0.0, 1.0, 2.0])),
+    lambda d: jaccard.near_duplicates(d.fillna({"doc_id": 99})),
     lambda d: toxicity.drop_toxic(d, toxicity.OrdinalModel({"zzz": 1.0}, [9.0, 9.5, 9.9])),
 ]
 
@@ -174,6 +175,45 @@ def test_crowded_keys_lose_no_link(spark):
         assert components(edges).select("root").distinct().count() == 1
 
 
+def brute_shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("plain", [4, 64])
+def test_near_copies_of_the_pipeline(spark, plain):
+    """The stage keeps what brute force over five-word Jaccard keeps."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    common = " ".join(rng.choice(words, 12))
+    texts = ["", " ", None, "one", "One TWO", "one two", "a b c d e f g h", "a b c d e f g h i"]
+    for k in range(30):
+        base = list(rng.choice(words, int(rng.integers(8, 120))))
+        for _ in range(4 if k else 40):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[rng.integers(len(copy))] = "changed"
+            texts.append(" ".join(copy) + (f" {common}" if k % 3 == 0 else ""))
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = jaccard.near_duplicates(docs(spark, texts), plain=plain, sample=2).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == [find(i) for i in range(len(texts))]
+    assert len(set(map(find, root))) < len(texts) - 50
+    left = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in left] == sorted(set(map(find, root)))
+
+
 def test_repeats(spark):
     rng = np.random.default_rng(5)
     text = lambda n: "".join(rng.choice(list("abcdeé "), n))
