@@ -10,6 +10,10 @@ stand for one and the same value throughout the text. An item counts as containe
 text holds ``SIMILARITY`` of its windows, or ``RUN`` windows at the same distance (thirteen
 words on end), and at most ``CONFLICTS`` of its slot values disagree.
 
+An item whose windows hold fewer than ``LEAST`` words, as "What is the capital of France?", is
+no template: other texts share it by chance. Such an item must stand in the text word by word,
+numbers and names included, which is found by windows of all its tokens.
+
 A bit table of fixed size, made from all benchmark windows, lets each task drop most windows
 of the texts ahead of the join; it only drops windows that no item has.
 """
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from acuity.llm.common import column, stage, texts
 
 WINDOW, LITERALS, SIMILARITY, RUN, CONFLICTS = 5, 3, 0.8, 9, 0.2
+LEAST = 8
 BITS = 1 << 24
 # Units that make a slot after a number.
 UNITS = frozenset(
@@ -118,14 +123,21 @@ def _unit_hashes() -> np.ndarray:
     return _UNITS
 
 
+def _wanted(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & np.uint64(BITS - 1)
+    bit = table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)
+    return (bit & 1).astype(bool)
+
+
 def windows(raw: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None
-            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-    """Text number, hash, place and slot values of the distinct windows of each text.
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+    """Text number, hash, place, slot values of windows; whether exact, whether the text's first.
 
-    ``raw`` holds texts in UTF-8, laid end to end from ``starts`` on. Of equal windows of a
-    text the first counts. ``table`` is the bit table of the wanted windows.
+    ``raw`` holds texts in UTF-8, laid end to end from ``starts`` on. ``table`` is the bit table
+    of the wanted windows. Of equal template windows of a text the first counts. Without it the texts are items, and
+    the windows are those that each is to be found by.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], *[np.zeros(0, bool)] * 2
     if len(raw) < 2:
         return none
     first, last, kind, code, text = _tokens(raw, starts)
@@ -141,36 +153,48 @@ def windows(raw: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None
     capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     small = ((second >= 97) & (second <= 122)) | (second >= 128)
     name = capital & small & (last - first > 1) & (kind == _LETTER) & (before != _END)
+    plain = code.copy()
     code[number], code[name], code[unit] = _NUMBER, _NAME, _UNIT
     slot = number | name
     slot[unit] = True
     kept = np.flatnonzero(kind != _END)
-    code, slot, text = code[kept], slot[kept], text[kept]
+    code, plain, slot, text = code[kept], plain[kept], slot[kept], text[kept]
     n = len(code) - WINDOW + 1
     if n < 1:
         return none
-    mixed, words = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int8)
+    mixed, whole = np.zeros(n, dtype=np.uint64), np.full(n, _BASE, dtype=np.uint64)
+    words = np.zeros(n, dtype=np.int8)
     for i in range(WINDOW):
         mixed = _mix((mixed ^ code[i : i + n]) * np.uint64(_BASE))
+        whole = _mix((whole ^ plain[i : i + n]) * np.uint64(_BASE))
         words += ~slot[i : i + n]
-    good = (words >= LITERALS) & (text[:n] == text[WINDOW - 1 :])
-    if table is not None:
-        low = mixed & np.uint64(BITS - 1)
-        bit = table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)
-        good &= (bit & 1).astype(bool)
-    place = np.flatnonzero(good)
-    order = np.lexsort((place, mixed[place], text[place]))
-    place = place[order]
-    new = np.append(True, (mixed[place][1:] != mixed[place][:-1])
-                    | (text[place][1:] != text[place][:-1])) if len(place) else np.zeros(0, bool)
-    place = place[new]
-    ahead = np.searchsorted(text, text[place], side="left")
+    inside = text[:n] == text[WINDOW - 1 :]
+    good = (words >= LITERALS) & inside
+    ahead = np.searchsorted(text, text[:n], side="left")
+    if table is None:
+        # whether an item's first word is a name depends on where it was pasted in
+        good &= np.arange(n) > ahead
+        seen = np.zeros(len(code), dtype=bool)
+        for i in range(WINDOW):
+            seen[i : i + n] |= good
+        short = np.bincount(text[seen & ~slot], minlength=text[-1] + 1)[text[:n]] < LEAST
+        good, exact = good & ~short, inside & short
+    else:
+        good, exact = (ok & _wanted(table, h) for ok, h in ((good, mixed), (inside, whole)))
+    place = np.concatenate([np.flatnonzero(good), np.flatnonzero(exact)])
+    word = np.repeat([False, True], [good.sum(), exact.sum()])
+    mixed = np.where(word, whole[place], mixed[place])
+    order = np.lexsort((place, mixed, text[place]))
+    place, word, mixed = place[order], word[order], mixed[order]
+    new = np.append(True, (mixed[1:] != mixed[:-1]) | (text[place][1:] != text[place][:-1]))[: len(place)]
+    keep = new | word
+    place, word, mixed, new = place[keep], word[keep], mixed[keep], new[keep]
     slots = [
         [raw[first[kept[j]] : last[kept[j]]].tobytes().decode("utf-8", "replace")
-         for j in range(p, p + WINDOW) if slot[j]]
-        for p in place.tolist()
+         for j in range(p, p + WINDOW) if slot[j] and not w]
+        for p, w in zip(place.tolist(), word.tolist())
     ]
-    return text[place], mixed[place], (place - ahead).astype(np.int64), slots
+    return text[place], mixed, (place - ahead[place]).astype(np.int64), slots, word, new
 
 
 def _chunks(batch: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -186,7 +210,7 @@ def _chunks(batch: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.nda
 
 
 def _window_rows(rows: DataFrame, id_col: str, table=None) -> DataFrame:
-    """One row per distinct window of each text; ``rows`` has the id and ``text``."""
+    """The rows of ``windows`` and their number in the text; ``rows`` has the id and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if table is None else np.frombuffer(table.value, dtype=np.uint8)
@@ -194,7 +218,7 @@ def _window_rows(rows: DataFrame, id_col: str, table=None) -> DataFrame:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             known = np.asarray(batch.column(0).is_valid())
             for begin, raw, starts in _chunks(batch.column(1).to_pylist()):
-                text, hashes, places, slots = windows(raw, starts, bits)
+                text, hashes, places, slots, exact, new = windows(raw, starts, bits)
                 if not len(text):
                     continue
                 sizes = np.bincount(text)[text]
@@ -202,13 +226,15 @@ def _window_rows(rows: DataFrame, id_col: str, table=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.where(known[at], keys[at], 0).astype(np.int64), mask=~known[at]),
                      pa.array(hashes.view(np.int64)), pa.array(places),
-                     pa.array(slots, pa.list_(pa.string())), pa.array(sizes.astype(np.int64))],
-                    [id_col, "w", "place", "slots", "n_windows"],
+                     pa.array(slots, pa.list_(pa.string())), pa.array(sizes.astype(np.int64)),
+                     pa.array(exact), pa.array(new)],
+                    [id_col, "w", "place", "slots", "n_windows", "exact", "new"],
                 )
 
     rows = rows.withColumn("text", F.col("text").cast("binary"))
     return rows.mapInArrow(
-        run, f"{id_col} long, w long, place long, slots array<string>, n_windows long"
+        run, f"{id_col} long, w long, place long, slots array<string>, n_windows long, "
+        "exact boolean, new boolean"
     )
 
 
@@ -229,8 +255,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
     """One row per text and benchmark item that it contains.
 
     ``doc_id``, ``item_id``, ``n_windows`` shared, ``coverage`` of the item's windows,
-    ``n_slots`` (slot values of the item met) and ``kind``: verbatim where all slot values
-    are the same, else reparameterised. Null or empty texts and texts or items of fewer than
+    ``n_slots`` (slot values of the item met, 0 for an item found word by word) and ``kind``:
+    verbatim where all slot values of a passage are the same, else reparameterised. Null or empty texts and texts or items of fewer than
     five tokens have no windows and are in no row. Rows that share an id are taken as one
     text; a null id counts as one id. Columns other than the ids and texts are ignored.
     """
@@ -238,37 +264,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
         column(benchmark, "item_id").cast("long").alias("item_id"),
         column(benchmark, "text").cast("string").alias("text"),
     )
-    # whether an item's first word is a name depends on where it was pasted in
-    items = stage(
-        _window_rows(source, "item_id").filter("place > 0 OR n_windows = 1")
-        .withColumn("n_windows", F.greatest(F.col("n_windows") - 1, F.lit(1))), "items"
-    )
+    items = stage(_window_rows(source, "item_id"), "items")
     hits = stage(_window_rows(texts(docs), "doc_id", _bit_table(items)), "windows")
-    met = hits.select("doc_id", "w", "place", "slots").join(
-        items.select("item_id", "w", F.col("place").alias("item_place"),
-                     F.col("slots").alias("item_slots"), F.col("n_windows").alias("size")), "w"
+    met = hits.select("doc_id", "w", "place", "slots", "exact", "new").join(
+        items.select("item_id", "w", "exact", F.col("place").alias("item_place"),
+                     F.col("slots").alias("item_slots"), F.col("n_windows").alias("size")),
+        ["w", "exact"],
     )
-    runs = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("at")).agg(
-        F.count(F.lit(1)).alias("n"),
+    # a slot stands in up to five windows; sets hold each pair of values once
+    values = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    zipped = F.arrays_zip("item_slots", "slots")
+    equal = lambda c: F.forall(c, lambda s: F.lower(s["item_slots"]) == F.lower(s["slots"]))
+    passages = met.groupBy(
+        "doc_id", "item_id", "exact", (F.col("place") - F.col("item_place")).alias("at")
+    ).agg(
+        F.size(F.collect_set("item_place")).alias("n"),
         F.max("size").alias("size"),
-        # a slot stands in up to five windows; sets hold each pair of values once
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"),
-    )
-    pairs = runs.groupBy("doc_id", "item_id").agg(
-        F.sum("n").alias("shared"), F.max("n").alias("longest"), F.max("size").alias("size"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.collect_set("w").alias("ws"),
+        values(zipped).alias("slots"),
+        values(F.when(F.col("new"), zipped)).alias("first"),
+    ).withColumn("fits", F.when(F.col("exact"), F.col("n") >= F.col("size")).otherwise(
+        (F.col("n") >= similarity * F.col("size")) | (F.col("n") >= run)
+    )).withColumn("same", F.col("fits") & equal("slots"))
+    pairs = passages.groupBy("doc_id", "item_id", "exact").agg(
+        F.size(values("ws")).cast("long").alias("shared"), F.max("size").alias("size"),
+        values("first").alias("slots"), F.max("fits").alias("fits"), F.max("same").alias("same"),
     ).select(
-        "doc_id", "item_id", F.least("shared", "size").alias("n_windows"), "longest",
-        F.least(F.col("shared") / F.col("size"), F.lit(1.0)).alias("coverage"), "slots",
+        "doc_id", "item_id", "exact", "fits", F.least("shared", "size").alias("n_windows"),
+        F.when(F.col("exact") & F.col("fits"), 1.0).otherwise(
+            F.least(F.col("shared") / F.col("size"), F.lit(1.0))).alias("coverage"), "slots",
         F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))).alias("n_slots"),
-        F.forall("slots", lambda s: F.lower(s["item_slots"]) == F.lower(s["slots"])).alias("same"),
+        (F.col("same") | equal("slots")).alias("same"),
     )
     # values of the item that stand for more than one value of the text
     split = F.size("slots") - F.col("n_slots")
-    kept = pairs.filter(
-        ((F.col("coverage") >= similarity) | (F.col("longest") >= run))
-        & (split <= conflicts * F.col("n_slots"))
-    )
+    kept = pairs.filter(F.when(F.col("exact"), F.col("fits")).otherwise(
+        (F.col("fits") | (F.col("coverage") >= similarity)) & (split <= conflicts * F.col("n_slots"))
+    ))
     return kept.select(
         "doc_id", "item_id", "n_windows", F.round("coverage", 4).alias("coverage"),
         F.col("n_slots").cast("long").alias("n_slots"),

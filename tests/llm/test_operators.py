@@ -255,6 +255,15 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    items = spark.createDataFrame([(0, "What is the capital of France?"), (1, "Is 17 + 28 = 45 or 46?"), (2, "1 1 1 1 1 2")],
+                                  "item_id long, text string")
+    texts = ["Berlin is the capital of Germany.", "Paris is the capital of France.", "He asked: what is the capital of France? Why",
+             "so. Is 17 + 28 = 45 or 46? Yes", "Is 17 + 28 = 45 or 47?", "1 1 1 1 1 1 1", "0 1 1 1 1 1 2"]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.find_leaks(docs(spark, texts), items).collect()}
+    assert got == {(2, 0): "verbatim", (3, 1): "verbatim", (6, 2): "verbatim"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(400, 6))
