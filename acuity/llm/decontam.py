@@ -5,10 +5,12 @@ capitalised word inside a sentence is a slot of its type; all else is the lower-
 Windows of five tokens, at least three of them words, are hashed and joined with those of
 the benchmark items. A question asked again with other numbers or names keeps its windows.
 
-For each text and item that share windows, the slots are compared: a benchmark value must
-stand for one and the same value throughout the text. An item counts as contained where the
-text holds ``SIMILARITY`` of its windows, or ``RUN`` windows at the same distance (thirteen
-words on end), and at most ``CONFLICTS`` of its slot values disagree.
+All places of the shared windows are kept, and those at the same distance from the item's own
+are one aligned passage, in which each slot of the item meets one value. An item counts as
+contained where any passage holds ``SIMILARITY`` of its windows, or ``RUN`` of them (thirteen
+words on end). It also counts where the text as a whole holds ``SIMILARITY`` of its windows,
+with words put in or left out between, if at most ``CONFLICTS`` of its slot values stand for
+more than one value there.
 
 An item whose windows hold fewer than ``LEAST`` words, as "What is the capital of France?", is
 no template: other texts share it by chance. Such an item must stand in the text word by word,
@@ -134,7 +136,7 @@ def windows(raw: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None
     """Text number, hash, place, slot values of windows; whether exact, whether the text's first.
 
     ``raw`` holds texts in UTF-8, laid end to end from ``starts`` on. ``table`` is the bit table
-    of the wanted windows. Of equal template windows of a text the first counts. Without it the texts are items, and
+    of the wanted windows; all places of these are returned. Without it the texts are items, and
     the windows are those that each is to be found by.
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], *[np.zeros(0, bool)] * 2
@@ -187,8 +189,9 @@ def windows(raw: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None
     order = np.lexsort((place, mixed, text[place]))
     place, word, mixed = place[order], word[order], mixed[order]
     new = np.append(True, (mixed[1:] != mixed[:-1]) | (text[place][1:] != text[place][:-1]))[: len(place)]
-    keep = new | word
-    place, word, mixed, new = place[keep], word[keep], mixed[keep], new[keep]
+    if table is None:
+        keep = new | word
+        place, word, mixed, new = place[keep], word[keep], mixed[keep], new[keep]
     slots = [
         [raw[first[kept[j]] : last[kept[j]]].tobytes().decode("utf-8", "replace")
          for j in range(p, p + WINDOW) if slot[j] and not w]
@@ -298,8 +301,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
     )
     # values of the item that stand for more than one value of the text
     split = F.size("slots") - F.col("n_slots")
-    kept = pairs.filter(F.when(F.col("exact"), F.col("fits")).otherwise(
-        (F.col("fits") | (F.col("coverage") >= similarity)) & (split <= conflicts * F.col("n_slots"))
+    kept = pairs.filter(F.col("fits") | (
+        ~F.col("exact") & (F.col("coverage") >= similarity) & (split <= conflicts * F.col("n_slots"))
     ))
     return kept.select(
         "doc_id", "item_id", "n_windows", F.round("coverage", 4).alias("coverage"),

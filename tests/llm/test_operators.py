@@ -264,6 +264,17 @@ def test_leaks_of_short_items(spark):
     assert got == {(2, 0): "verbatim", (3, 1): "verbatim", (6, 2): "verbatim"}
 
 
+def test_leaks_behind_a_passage_of_the_same_template(spark):
+    item = "we saw that she bought 12 apples for 3 dollars from the old man at the corner near the bridge"
+    twice = "we saw that she bought 12 apples and later sold 12 pears to the old man at the corner near the bridge"
+    items = spark.createDataFrame([(0, item), (1, twice)], "item_id long, text string")
+    texts = ["then she bought 9 apples for 8 dollars from the old man and left. " + item,
+             twice.replace("12 pears", "7 pears").replace("12 apples", "5 apples"),
+             "she bought 9 apples for 8 dollars from the shop"]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.find_leaks(docs(spark, texts), items).collect()}
+    assert got == {(0, 0): "verbatim", (1, 1): "reparameterised"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(400, 6))
