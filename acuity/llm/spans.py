@@ -24,7 +24,7 @@ class Kind:
 
     ``gate`` is a cheap SQL test of ``text`` that holds wherever the expression matches;
     ``value`` is the group whose text is judged; ``confirm`` is a SQL test of a match ``m``
-    with fields start, end, text, value, before, after.
+    with fields start, end, text, value, before, after (the text around it, ``CONTEXT`` signs).
     """
 
     name: str
@@ -40,11 +40,22 @@ def quoted(pattern: str) -> str:
 
 
 def _fields(i: int) -> str:
-    """SQL for the matches of the i-th kind, from its gaps, matches and running sums."""
+    """SQL for the matches of the i-th kind, from its gaps, matches and running sums.
+
+    The text around a match is put together from the neighbouring matches and the ends of the
+    gaps between them; as no match is empty, ``CONTEXT`` neighbours are always enough.
+    """
+    ahead = f"least(k, {CONTEXT})"
+    before = f"""concat(array_join(zip_with(
+        slice(_tail{i}, k - {ahead} + 1, {ahead}), slice(_hit{i}, k - {ahead} + 1, {ahead}),
+        (g, h) -> concat(g, h)), ''), _tail{i}[k])"""
+    after = f"""concat(_head{i}[k + 1], array_join(zip_with(
+        slice(_hit{i}, k + 2, {CONTEXT}), slice(_head{i}, k + 3, {CONTEXT}),
+        (h, g) -> concat(h, g)), ''))"""
     start = f"_pre{i}[k] + length(_gap{i}[k])"
     return f"""transform(_hit{i}, (x, k) -> named_struct(
         'start', {start}, 'end', {start} + length(x), 'text', x, 'value', _val{i}[k],
-        'before', right(_gap{i}[k], {CONTEXT}), 'after', left(_gap{i}[k + 1], {CONTEXT})))"""
+        'before', right({before}, {CONTEXT}), 'after', left({after}, {CONTEXT})))"""
 
 
 def find(docs: DataFrame, kinds: list[Kind], extra: dict[str, Column] | None = None) -> DataFrame:
@@ -67,6 +78,8 @@ def find(docs: DataFrame, kinds: list[Kind], extra: dict[str, Column] | None = N
         second[f"_step{i}"] = (
             f"transform(_hit{i}, (x, k) -> cast(length(_gap{i}[k]) + length(x) AS bigint))"
         )
+        second[f"_tail{i}"] = f"transform(_gap{i}, g -> right(g, {CONTEXT}))"
+        second[f"_head{i}"] = f"transform(_gap{i}, g -> left(g, {CONTEXT}))"
         third[f"_pre{i}"] = prefix_sums(f"_step{i}")
         fourth[kind.name] = f"filter({_fields(i)}, m -> {kind.confirm})"
     plain = {n: F.expr(x) for n, x in first.items() if not x.startswith("_hit")}
