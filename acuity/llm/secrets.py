@@ -47,12 +47,16 @@ ALPHABETS = [
     ("hex_upper", "^[0-9A-F]+$", _TEN + "ABCDEF"),
     ("base32", "^[A-Z2-7]+$", _UPPER + "234567"),
     ("base36", "^[a-z0-9]+$", _TEN + _LOWER),
+    ("base36_upper", "^[A-Z0-9]+$", _TEN + _UPPER),
     ("base62", "^[A-Za-z0-9]+$", _UPPER + _LOWER + _TEN),
     ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _TEN + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _TEN + "-_"),
     ("mixed", "", _UPPER + _LOWER + _TEN + "+/-_"),
 ]
 
+#: Hex digits in groups, judged without their dashes.
+DASHED = "^(?:(?:[0-9a-f]{4,}-)+[0-9a-f]{4,}|(?:[0-9A-F]{4,}-)+[0-9A-F]{4,})$"
+
 
 def _upper_tail(z: str) -> str:
     """The normal distribution's tail beyond ``z`` by a logistic fit, error below 0.0002."""
@@ -100,7 +104,8 @@ def randomness(tokens: str = "token") -> str:
         'bin', int(floor(log2(length(y.m.text)))),
         'p', ceil(exp(-y.f / 2) * (1 + y.f / 2 + y.f * y.f / 8) * {GRID}) / {GRID})"""
     chain = [
-        ("m", "named_struct('m', m, 'v', regexp_replace(m.text, '=+$', ''))"),
+        ("m", f"named_struct('m', m, 'v', CASE WHEN m.text RLIKE '{DASHED}' "
+              "THEN replace(m.text, '-', '') ELSE regexp_replace(m.text, '=+$', '') END)"),
         ("q", f"transform(array(q.v), v -> named_struct('m', q.m, 'v', v, 'abc', {alphabet}))[0]"),
         ("s", f"named_struct('m', s.m, 'v', s.v, 'abc', s.abc, 'x', {codes})"),
         ("s", f"named_struct('m', s.m, 'v', s.v, 'abc', s.abc, 'x', s.x, 'mean', {mean})"),

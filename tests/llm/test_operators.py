@@ -114,6 +114,20 @@ def test_secrets_and_masks(spark):
     assert masked[2] == "[SECRET]" and masked[3] == texts[3] and masked[4] == texts[4]
 
 
+def test_random_keys_of_every_alphabet_are_kept(spark):
+    rng = np.random.default_rng(17)
+    signs = {name: chars for name, _, chars in secrets.ALPHABETS} | {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+    keys = [(name, "".join(rng.choice(list(chars), n))) for name, chars in signs.items() for n in (32, 48, 64, 96) for _ in range(40)]
+    keys += [("dashed", "-".join(h[i : i + 8] for i in range(0, 64, 8))) for h in (rng.bytes(32).hex() for _ in range(40))]
+    words = ["quick", "brown", "fox", "jumps", "over", "lazy", "dog", "table"]
+    plain = ["-".join(rng.choice(words, n)) + "-1" for n in (7, 9, 13, 18) for _ in range(300)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.secret_digests(docs(spark, [k for _, k in keys] + plain)).collect()}
+    for name in {n for n, _ in keys}:
+        kept = [got[i] == 1 for i, (n, k) in enumerate(keys) if n == name]
+        assert sum(kept) >= 0.85 * len(kept), (name, sum(kept), len(kept))
+    assert sum(got[i] for i in range(len(keys), len(got))) < 0.05 * len(plain)
+
+
 def test_licenses(spark):
     wrapped = licenses.SENTENCES["mit-grant"][0].replace("including", "\nincluding")
     mit = wrapped + "\n\n" + licenses.SENTENCES["mit-notice"][0]
