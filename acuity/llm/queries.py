@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.llm import decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls
+from acuity.llm import (
+    decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls, variants,
+)
 from acuity.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +78,11 @@ def op10_licenses(spark, folder):
 
 
 ORACLE["op10_licenses"] = licenses.oracle()
+
+
+@query
+def op13_variants(spark, folder):
+    return variants.group_variants(read(spark, folder, "documents"))
+
+
+ORACLE["op13_variants"] = variants.oracle()
