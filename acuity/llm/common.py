@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acuity.sources.storage import stage
 
-__all__ = ["components", "column", "prefix_sums", "read", "stage", "texts"]
+__all__ = ["components", "column", "prefix_sums", "read", "stage", "texts", "whole_groups"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -104,3 +107,32 @@ def reserve(names: Sequence[str], taken: Sequence[str]) -> None:
     clash = sorted(set(names) & set(taken))
     if clash:
         raise ValueError(f"columns clash with the operator's own: {clash}")
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches whose rows come in order of their groups.
+
+    Only the last group of a batch is held back until the next one, so a task's memory is
+    bounded by the largest group and one batch.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        turn = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            column_ = batch.column(batch.schema.get_field_index(key))
+            if held:
+                last = held[-1].column(held[-1].schema.get_field_index(key))
+                turn[0] |= bool(pc.not_equal(column_[0], last[len(last) - 1]).as_py())
+            turn[1:] |= pc.not_equal(column_[1:], column_[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(turn)
+        if len(starts):
+            head = [*held, batch.slice(0, int(starts[-1]))]
+            if any(b.num_rows for b in head):
+                yield pa.Table.from_batches(head)
+            held = [batch.slice(int(starts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

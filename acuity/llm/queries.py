@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from acuity.llm import (
-    decontam, licenses, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls, variants,
+    decontam, licenses, merkle, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls,
+    variants,
 )
 from acuity.llm.common import read
 
@@ -80,6 +81,14 @@ def op10_licenses(spark, folder):
 ORACLE["op10_licenses"] = licenses.oracle()
 
 
+@query
+def op11_merkle(spark, folder):
+    return merkle.proofs(read(spark, folder, "documents"))
+
+
+ORACLE["op11_merkle"] = merkle.oracle()
+
+
 @query
 def op13_variants(spark, folder):
     return variants.group_variants(read(spark, folder, "documents"))
