@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from acuity.llm import (
-    decontam, licenses, merkle, pii, secrets, sentencepiece_bpe, simhash, substrings, topk, toxicity, urls,
-    variants,
+    decontam, licenses, merkle, pii, quality, secrets, sentencepiece_bpe, simhash, substrings, topk,
+    toxicity, urls, variants,
 )
 from acuity.llm.common import read
 
@@ -89,6 +89,12 @@ def op11_merkle(spark, folder):
 ORACLE["op11_merkle"] = merkle.oracle()
 
 
+@query
+def op12_quality(spark, folder):
+    docs = read(spark, folder, "documents")
+    return quality.score_texts(docs, quality.train(docs, read(spark, folder, "labels")))
+
+
 @query
 def op13_variants(spark, folder):
     return variants.group_variants(read(spark, folder, "documents"))
