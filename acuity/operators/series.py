@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from acuity import schemas
 from acuity.functions import scalars as S
-from acuity.operators.skew import HOT_ROWS, last_rows, running_total
+from acuity.operators.skew import HOT_ROWS, key_sizes, last_rows, running_total
 from acuity.schemas import STAY
+from acuity.sources.storage import stage
 
 TIME = "observationoffset"
 
-
-def weighted_rows(span: float) -> int:
-    """Values of a weighted mean ahead of the first whose weight is exactly zero."""
-    step = math.log(1.0 - 2.0 / (span + 1.0))
-    return math.ceil((math.log(math.ulp(0.0)) - math.log(2.0)) / step) + 1
+#: Factor from one value's weight to the next older one's.
+DECAY = 1.0 - 2.0 / (schemas.FORECAST_SPAN + 1.0)
 
 
 def _rest(df: DataFrame, *first: str) -> list[str]:
@@ -54,53 +52,99 @@ def downsample(
     return placed.filter(F.col("_place") % step == 0).select(*vitals.columns)
 
 
-def tail_statistics(
-    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS
-) -> DataFrame:
-    """Per stay and vital: weighted mean, deviation and trend at the end of the series.
+def with_chunks(vitals: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """``vitals`` dealt by stay, and whether any stay was cut.
 
-    ``ewm`` is the exponentially weighted mean of span 5 with adjusted weights at the last
-    value, ``std10`` the sample deviation of the last 10 values, ``trend`` the mean step
-    over the last 5, ``kept`` the number of values looked at, ``last`` the time of the
-    stay's last reading. Values so old that their weight is zero are not looked at. An
-    infinite value is left out of the weighted mean but keeps its place.
+    A stay with more than ``hot_rows`` rows is cut at about equal shares of its times into
+    ``_chunk`` 0, 1, ...; later chunks hold later times only, and rows of one time share a
+    chunk. Any cut gives the same results, so approximate shares are enough.
+    """
+    hot = key_sizes(vitals, [STAY], hot_rows)
+    if hot is None:
+        return vitals.withColumn("_chunk", F.lit(0)).repartition(STAY), False
+    stays = hot.select(F.col(STAY).alias("_hot"), F.col("rows").alias("_hot_rows"))
+    most = math.ceil(stays.agg(F.max("_hot_rows")).first()[0] / hot_rows)
+    cuts = (
+        vitals.join(stays, F.col(STAY) == F.col("_hot"), "left_semi").groupBy(F.col(STAY).alias("_hot"))
+        .agg(F.percentile_approx(TIME, [k / most for k in range(1, most)]).alias("_cuts"))
+    )
+    cut = vitals.join(stage(cuts, "cuts"), F.col(STAY) == F.col("_hot"), "left")
+    later = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(TIME))), F.lit(0))
+    rows = cut.withColumn("_chunk", F.when(F.col("_hot").isNull(), 0).otherwise(later))
+    return rows.drop("_hot", "_cuts").repartition(STAY, "_chunk"), True
+
+
+def tail_chunks(
+    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS, *, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """What a chunk of a series tells about its end: one row per stay, chunk and vital.
+
+    ``rows`` counts values, ``mass`` is their sum with weights that fall by ``DECAY`` from the
+    newest of the chunk on, ``weight`` the sum of those weights, ``newest`` the values that
+    a deviation or trend may need. Two neighbouring chunks merge without their readings: the
+    older one's sums are multiplied by ``DECAY`` to the number of rows in the newer one.
+    Readings move once, as whole rows; the signs are told apart behind the exchange. The
+    last sign stands for the reading itself, whatever values it has.
     """
-    # Numbers in place of the names: five rows per reading are sorted by them.
+    rows, cut = with_chunks(vitals, hot_rows)
+    # Numbers in place of the names: all signs of a stay are sorted by them.
     coded = F.stack(
-        # the last reading counts as a sign of its own, whatever values it has
         F.lit(len(signs) + 1),
         *[c for i, name in enumerate(signs) for c in (F.lit(i), F.col(name).cast("double"))],
         F.lit(len(signs)), F.lit(0.0),
     ).alias("_vital", "value")
-    long = vitals.select(STAY, TIME, coded).filter(F.col("value").isNotNull())
-    newest = [F.desc(TIME), F.desc("value")]
-    tail = last_rows(
-        long, [STAY, "_vital"], newest, weighted_rows(schemas.FORECAST_SPAN)
-    )
-    place, value = F.col("place"), F.col("value")
+    long = rows.select(STAY, "_chunk", TIME, coded).filter(F.col("value").isNotNull())
+    key = [STAY, "_chunk", "_vital"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(TIME), F.desc("value")))
+    value = F.col("value")
     finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
-    weight = F.pow(
-        F.lit(1.0 - 2.0 / (schemas.FORECAST_SPAN + 1.0)), (place - 1).cast("double")
+    weight = F.pow(F.lit(DECAY), (F.col("place") - 1).cast("double"))
+    kept = F.when(F.col("place") <= schemas.FORECAST_STD_ROWS, F.struct("place", "value"))
+    chunks = long.withColumn("place", place).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(finite * weight).alias("mass"),
+        F.sum(F.when(finite.isNotNull(), weight)).alias("weight"),
+        F.transform(F.array_sort(F.collect_list(kept)), lambda e: e["value"]).alias("newest"),
+        F.max(TIME).alias("end"),
     )
-    kept = F.count(F.lit(1))
-    span = F.least(kept, F.lit(schemas.FORECAST_TREND_ROWS))
-    # The oldest of the last five: the largest place up to five.
-    oldest = F.max_by(
-        value, F.when(place <= schemas.FORECAST_TREND_ROWS, place)
+    return chunks.repartition(STAY) if cut else chunks
+
+
+def tail_statistics(
+    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS, *, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Per stay and vital: weighted mean, deviation and trend at the end of the series.
+
+    ``ewm`` is the exponentially weighted mean of span 5 with adjusted weights at the last
+    value, ``std10`` the sample deviation of the last 10 values, ``trend`` the mean step
+    over the last 5, ``kept`` the number of values, ``last`` the time of the stay's last
+    reading. An infinite value is left out of the weighted mean but keeps its place.
+    """
+    by_sign = Window.partitionBy(STAY, "_vital")
+    newer = by_sign.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = tail_chunks(vitals, signs, hot_rows=hot_rows).withColumn(
+        "_newer", F.coalesce(F.sum("rows").over(newer), F.lit(0))
     )
-    newest_value = F.max(F.when(place == 1, value))
-    stats = tail.groupBy(STAY, "_vital").agg(
-        kept.alias("kept"),
-        (F.sum(finite * weight) / F.sum(F.when(finite.isNotNull(), weight))).alias("ewm"),
-        F.stddev_samp(F.when(place <= schemas.FORECAST_STD_ROWS, value)).alias("std10"),
-        ((newest_value - oldest) / F.greatest(span - 1, F.lit(1))).alias("trend"),
-        F.max(TIME).alias("_end"),
+    faded = F.pow(F.lit(DECAY), F.col("_newer").cast("double"))
+    ends = F.array_sort(F.collect_list(F.struct("_newer", "newest")))
+    merged = chunks.groupBy(STAY, "_vital").agg(
+        F.sum("rows").alias("kept"),
+        (F.sum(F.col("mass") * faded) / F.sum(F.col("weight") * faded)).alias("ewm"),
+        F.slice(F.flatten(F.transform(ends, lambda e: e["newest"])), 1, schemas.FORECAST_STD_ROWS)
+        .alias("_tail"),
+        F.max("end").alias("_end"),
     )
+    tail, many = F.col("_tail"), F.size("_tail")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = total(tail) / many
+    spread = total(F.transform(tail, lambda x: (x - mean) * (x - mean)))
+    span = F.least(many, F.lit(schemas.FORECAST_TREND_ROWS))
     names = F.array(*[F.lit(name) for name in signs])
-    last = F.max("_end").over(Window.partitionBy(STAY)).alias("last")
-    return stats.select(
-        STAY, "_vital", F.get(names, F.col("_vital")).alias("vital"), "kept", "ewm", "std10",
-        "trend", last,
+    return merged.select(
+        STAY, "_vital", F.get(names, F.col("_vital")).alias("vital"), "kept", "ewm",
+        F.when(many > 1, F.sqrt(spread / (many - 1))).alias("std10"),
+        ((F.get(tail, F.lit(0)) - F.get(tail, span - 1)) / F.greatest(span - 1, F.lit(1))).alias("trend"),
+        F.max("_end").over(Window.partitionBy(STAY)).alias("last"),
     ).filter(F.col("_vital") < len(signs)).drop("_vital")
 
 

@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where a later operator then needs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Cut series to their last rows ahead of the shuffle, also where over 1,000 are kept.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "4000",
 }
 
 

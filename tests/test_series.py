@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -62,8 +64,9 @@ def expected(history, stay, vital):
     )
 
 
-def test_tail_statistics(vitals, history):
-    got = {(r[STAY], r["vital"]): r for r in series.tail_statistics(vitals).collect()}
+@pytest.mark.parametrize("hot", [1, 7, 90, 10_000])
+def test_tail_statistics(vitals, history, hot):
+    got = {(r[STAY], r["vital"]): r for r in series.tail_statistics(vitals, hot_rows=hot).collect()}
     present = {
         (s, v) for s in history[STAY].unique() for v in schemas.FORECAST_VITALS
         if history.loc[history[STAY] == s, v].notna().any()
@@ -71,7 +74,7 @@ def test_tail_statistics(vitals, history):
     assert set(got) == present
     for (stay, vital), row in got.items():
         ewm, std, trend, n = expected(history, stay, vital)
-        assert row["kept"] == min(n, series.weighted_rows(5))
+        assert row["kept"] == n
         assert np.isclose(row["ewm"], ewm, rtol=1e-12) and np.isclose(row["trend"], trend)
         assert row["std10"] is None if n == 1 else np.isclose(row["std10"], std)
 
@@ -160,13 +163,14 @@ def test_forecast_arrays(vitals):
     assert got[8]["sao2"] == [r["value"] for r in one] and set(got) == {3, 4, 5, 6, 7, 8}
 
 
-def test_weighted_mean_keeps_old_extremes_and_places_of_infinite_values(spark):
+@pytest.mark.parametrize("hot", [70, 10_000])
+def test_weighted_mean_keeps_old_extremes_and_places_of_infinite_values(spark, hot):
     old = frame(1, 3000)
     old["respiration"] = 16.0
     old.loc[3000 - 101, "respiration"] = 1e19
     old["systemicsystolic"] = 120.0 + np.arange(3000) % 7
     old.loc[2990, "systemicsystolic"] = np.inf
-    got = {r["vital"]: r["ewm"] for r in series.tail_statistics(to_spark(spark, old)).collect()}
+    got = {r["vital"]: r["ewm"] for r in series.tail_statistics(to_spark(spark, old), hot_rows=hot).collect()}
     for vital in ("respiration", "systemicsystolic"):
         want = old[vital].replace(np.inf, np.nan).ewm(span=5).mean().iloc[-1]
         assert got[vital] == pytest.approx(want, rel=1e-12)
@@ -181,6 +185,42 @@ def test_forecast_reads_the_readings_once_and_its_line_twice(spark, vitals, tmp_
         assert plan.count("FileScan") <= scans
 
 
-def test_last_rows_are_cut_before_the_shuffle(vitals):
-    plan = series.tail_statistics(vitals)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 4
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readings_move_once_and_as_whole_rows(spark, vitals):
+    """Whatever the session's settings, as no limit of Spark's is relied on."""
+    plan = plan_of(series.forecast(vitals, seed=1))
+    above, below = plan.split("Exchange hashpartitioning", 1)
+    assert "hashpartitioning" not in below and "Generate" in above and "Generate" not in below
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == "1000"
+
+
+def test_a_cut_stay_sends_one_row_per_chunk_and_sign(spark):
+    long = to_spark(spark, pd.concat([frame(1, 3000), frame(2, 40)]))
+    chunks = series.tail_chunks(long, hot_rows=300).collect()
+    sizes = {}
+    for r in chunks:
+        sizes.setdefault((r[STAY], r["_vital"]), []).append(r["rows"])
+        assert len(r["newest"]) == min(10, r["rows"])
+    assert all(len(v) == 10 and sum(v) == 3000 and max(v) < 400 for k, v in sizes.items() if k[0] == 1)
+    assert all(v == [40] for k, v in sizes.items() if k[0] == 2)
+    plan = plan_of(series.tail_statistics(long, hot_rows=300))
+    # the chunk rows, and below them the readings by stay and chunk
+    assert len(re.findall(r"hashpartitioning\(patientunitstayid#\d+L, _chunk#\d+, ", plan)) == 1
+
+
+def test_rows_of_one_time_share_a_chunk(spark):
+    same = frame(1, 900)
+    same["observationoffset"] = np.repeat([1.0, 2.0, 3.0], 300)
+    whole, cut = (
+        {r["vital"]: r for r in series.tail_statistics(to_spark(spark, same), hot_rows=h).collect()}
+        for h in (10_000, 50)
+    )
+    for vital, row in whole.items():
+        assert np.allclose(list(row)[2:], list(cut[vital])[2:], rtol=1e-12)
+
+
+def test_history_is_cut_before_the_shuffle(vitals):
+    assert plan_of(series.history(vitals)).count("WindowGroupLimit") == 4
