@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from acuity import schemas
 from acuity.functions import scalars as S
+from acuity.operators import forest as trees
 from acuity.operators import risk
 from acuity.operators.clean import drop_missing
 from acuity.operators.skew import HOT_ROWS
@@ -158,20 +159,41 @@ def importances(spark: SparkSession, model: RiskModel) -> DataFrame:
     return spark.createDataFrame(rows, _IMPORTANCE).orderBy(F.desc("importance"), "feature")
 
 
+def filled_inputs(df: DataFrame, model: RiskModel) -> DataFrame:
+    """``df`` with what the trees see: a column ``_in_<feature>`` per feature, nothing missing."""
+    codes, inputs = model.stages.stages[:2]
+    return inputs.transform(codes.transform(_ready(df, model.features))).select(
+        *df.columns, *[f"_in_{c}" for c in model.features]
+    )
+
+
+def score_by_nodes(df: DataFrame, model: RiskModel, nodes: DataFrame) -> DataFrame:
+    """:func:`score` without the fitted classifier: its node table as one column expression."""
+    score = trees.score_column(nodes, {c: f"_in_{c}" for c in model.features})
+    return filled_inputs(df, model).select(*df.columns, score.alias("risk_score"))
+
+
 def top_features(spark: SparkSession, model: RiskModel, n: int = schemas.TOP_FEATURES
                  ) -> DataFrame:
     return importances(spark, model).limit(n)
 
 
 def save(spark: SparkSession, model: RiskModel, path: str) -> None:
-    """Store the stages, and a row per feature with its median, mean and deviation."""
+    """Store the stages, the forest's nodes, and a row per feature with its median, mean and deviation."""
     model.stages.write().overwrite().save(f"{path}/stages")
+    nodes = trees.stored_nodes(spark, f"{path}/stages", model.features)
+    nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
     rows = [(c, model.medians.get(c), *model.scale[c]) for c in model.features]
     spark.createDataFrame(rows, _SCALE).coalesce(1).write.mode("overwrite").parquet(
         f"{path}/features"
     )
 
 
+def load_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The node table of a stored model."""
+    return spark.read.parquet(f"{path}/nodes")
+
+
 def load(spark: SparkSession, path: str) -> RiskModel:
     stages = PipelineModel.load(f"{path}/stages")
     rows = {r["feature"]: r for r in spark.read.parquet(f"{path}/features").collect()}

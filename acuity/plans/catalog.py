@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acuity.functions import scalars as S
-from acuity.operators import analytics, clean, cohort, features, model, risk, series
+from acuity.operators import analytics, clean, cohort, features, forest, model, risk, series
 from acuity.plans import adapters as A
 from acuity.schemas import STAY, TARGET
 from acuity.sources import raw, storage
@@ -397,42 +397,59 @@ def stratified_split(spark, folder):
     return risk.stratified_split(rows)
 
 
-# Trained once per application and folder, then read back from its stored form.
-_MODELS: dict[tuple[str, str], model.RiskModel] = {}
-
-
-def _trained(spark, folder) -> model.RiskModel:
-    """The stored model of one training per application and folder."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _MODELS:
-        path = storage.scratch_path(spark, "model")
-        model.save(spark, model.train(A.feature_table(spark, folder)).model, path)
-        _MODELS[key] = model.load(spark, path)
-    return _MODELS[key]
+def _stored_model(spark, table, **forest) -> tuple[model.RiskModel, DataFrame]:
+    """A model trained on ``table``, stored, and read back with its node table."""
+    path = storage.scratch_path(spark, "model")
+    model.save(spark, model.train(table, **forest).model, path)
+    return model.load(spark, path), model.load_nodes(spark, path)
 
 
 @query
 def rf_score(spark, folder):
-    """Every scored row, with the rules that hold whatever the forest says."""
-    scored = model.score(A.feature_table(spark, folder), _trained(spark, folder), digits=None)
-    score = F.col("risk_score")
-    return scored.select(
-        STAY, "apachescore",
-        score.between(0.0, 1.0).alias("score_in_range"),
-        (F.col("risk_label") == S.risk_label(score)).alias("label_fits"),
-        (F.col("prediction") == (score > 0.5).cast("int")).alias("class_fits"),
+    """Every row with the score of the stored forest, its label and its class."""
+    table = storage.stage(A.feature_table(spark, folder), "features")
+    fitted, _ = _stored_model(spark, table)
+    return model.score(table, fitted, digits=None).select(
+        STAY, "apachescore", "risk_score", "risk_label", "prediction"
     )
 
 
 @query
 def rf_importance(spark, folder):
-    """Every feature, with the rules that hold for importances."""
-    rows = model.importances(spark, _trained(spark, folder))
-    total = rows.agg(F.sum("importance")).scalar()
-    return rows.select(
-        "feature", F.col("importance").between(0.0, 1.0).alias("in_range"),
-        (F.abs(total - 1.0) < 1e-9).alias("sum_is_one"),
-    )
+    """Importances, from the gains in the stored forest's nodes."""
+    return forest.importances(_stored_model(spark, A.feature_table(spark, folder))[1])
+
+
+# A single tree with two levels has an answer that SQL can find by itself. Its features have so few
+# values that every middle between two neighbours is tried as a threshold.
+_TREE_FEATURES = ["age", "admissionheight", "admissionweight", "gender_enc", "unittype_enc"]
+_TREE = dict(
+    features=_TREE_FEATURES, numTrees=1, maxDepth=2, maxBins=128, featureSubsetStrategy="all",
+    bootstrap=False,
+)
+
+
+def _tree_rows(spark, folder):
+    """Features in whole kilograms; who is tall and over 40, or severely ill, is the class to find."""
+    worse = ((F.col("admissionheight") > 170) & (F.col("age") > 40)) | (F.col("apachescore") > 80)
+    return storage.stage(A.feature_table(spark, folder).select(
+        STAY, "age", "gender", "unittype", "admissionheight", "apachescore",
+        F.floor("admissionweight").cast("double").alias("admissionweight"),
+        F.coalesce(worse, F.lit(False)).cast("int").alias(TARGET),
+    ), "tree-rows")
+
+
+@query
+def tree_score(spark, folder):
+    """Training, storage and scoring of one tree: split, medians, codes, weights, forest, nodes."""
+    rows = _tree_rows(spark, folder)
+    fitted, nodes = _stored_model(spark, rows, **_TREE)
+    return model.score_by_nodes(rows, fitted, nodes).select(STAY, "apachescore", "risk_score")
+
+
+@query
+def tree_importance(spark, folder):
+    return forest.importances(_stored_model(spark, _tree_rows(spark, folder), **_TREE)[1])
 
 
 @query

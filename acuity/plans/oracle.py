@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from acuity import schemas
-
 # Named parts; a query gets those it mentions, and those they mention.
 PARTS: dict[str, str] = {
     "raw_patients": """
@@ -142,6 +140,105 @@ PARTS: dict[str, str] = {
         from tails join ends using (patientunitstayid), range(1, 7) s(step) where n >= 3""",
 }
 
+# A tree of two levels, split by split. Thresholds are the middles between neighbouring values.
+_TREE_FEATURES = ["age", "admissionheight", "admissionweight", "gender_enc", "unittype_enc"]
+_GINI = "(1 - pow({0}0 / ({0}0 + {0}1), 2) - pow({0}1 / ({0}0 + {0}1), 2))"
+
+
+def _best_split(rows: str, node: str) -> str:
+    """Per node of ``rows`` the split with the largest gain, each side with ten rows or more."""
+    return f"""
+        with tried as (
+          select {node} as node, c.feature, c.threshold,
+            sum(case when y = 0 and value <= threshold then weight else 0 end) as l0,
+            sum(case when y = 1 and value <= threshold then weight else 0 end) as l1,
+            sum(case when y = 0 and value > threshold then weight else 0 end) as r0,
+            sum(case when y = 1 and value > threshold then weight else 0 end) as r1,
+            count(*) filter (value <= threshold) as nl, count(*) filter (value > threshold) as nr
+          from {rows} t join cuts c on c.feature = t.feature group by all),
+        gains as (
+          select *, l0 + r0 as p0, l1 + r1 as p1 from tried where nl >= 10 and nr >= 10)
+        select node, arg_max(feature, gain) as feature, arg_max(threshold, gain) as threshold,
+          max(gain) as gain, max(p0 + p1) as w
+        from (select *, {_GINI.format("p")}
+                - (l0 + l1) / (p0 + p1) * {_GINI.format("l")}
+                - (r0 + r1) / (p0 + p1) * {_GINI.format("r")} as gain from gains)
+        where gain > 0 group by node"""
+
+
+def _side(split: str, of: str) -> str:
+    cases = " ".join(f"when '{f}' then {of}.{f}" for f in _TREE_FEATURES)
+    return f"(case {split}.feature {cases} end <= {split}.threshold)"
+
+
+PARTS |= {
+    "tree_rows": """
+        select patientunitstayid, age, gender, unittype, admissionheight, apachescore,
+          floor(admissionweight) as admissionweight,
+          cast(coalesce((admissionheight > 170 and age > 40) or apachescore > 80, false)
+               as integer) as y
+        from features""",
+    "marked": """
+        select *, place < ceil(0.2::double * n) as is_test
+        from (select *, row_number() over (partition by y order by
+                  md5(concat_ws('|', patientunitstayid, '42')), patientunitstayid,
+                  gender nulls first, unittype nulls first, age nulls first,
+                  admissionheight nulls first, admissionweight nulls first) - 1 as place,
+                count(*) over (partition by y) as n from tree_rows)""",
+    "codes": """
+        select unit, cast(row_number() over (order by unit) - 1 as double) as unittype_enc
+        from (select distinct coalesce(unittype, 'unknown') as unit from marked where not is_test)""",
+    "filled": """
+        select row_number() over () as id, patientunitstayid, apachescore, is_test, m.y,
+          coalesce(age, a) as age, coalesce(admissionheight, h) as admissionheight,
+          coalesce(admissionweight, k) as admissionweight,
+          case when lower(gender) = 'male' then 1.0::double else 0.0::double end as gender_enc,
+          unittype_enc, weight
+        from marked m
+          join (select median(age) as a, median(admissionheight) as h, median(admissionweight) as k
+                from marked where not is_test) on true
+          join codes on unit = coalesce(unittype, 'unknown')
+          join (select y, sum(count(*)) over () / (count(*) over () * count(*))::double as weight
+                from marked where not is_test group by y) w on w.y = m.y""",
+    "asked": f"""
+        unpivot (select id, y, weight, {", ".join(_TREE_FEATURES)} from filled where not is_test)
+        on {", ".join(_TREE_FEATURES)} into name feature value value""",
+    "cuts": """
+        select feature, threshold from (
+          select feature, (value + lag(value) over (partition by feature order by value))
+            / 2 as threshold
+          from (select distinct feature, value from asked)) where threshold is not null""",
+    "root_split": _best_split("asked", "0"),
+    "halved": f"""
+        select f.id, {_side("s", "f")} as first from filled f, root_split s""",
+    "child_splits": _best_split("(select * from asked join halved using (id))", "first"),
+    "quarters": f"""
+        select f.*, h.first, {_side("s", "f")} as second
+        from filled f join halved h using (id) left join child_splits s on s.node = h.first""",
+    "tips": """
+        select first, second, sum(case when y = 0 then weight else 0 end) as w0,
+          sum(case when y = 1 then weight else 0 end) as w1
+        from quarters where not is_test group by first, second""",
+    "kept_splits": """
+        select s.* from child_splits s where (
+          select count(distinct w1 > w0) from tips t where t.first = s.node) > 1""",
+    "root_kept": """
+        select (select count(*) from kept_splits) > 0 or (
+          select count(distinct w1 > w0) from (
+            select first, sum(w0) as w0, sum(w1) as w1 from tips group by first)) > 1 as kept""",
+    "placed": """
+        select q.patientunitstayid, q.apachescore, q.is_test, q.y, q.weight, case
+          when not kept then 'whole' when k.node is null then concat(first, '')
+          else concat(first, ' ', second) end as leaf
+        from quarters q left join kept_splits k on k.node = q.first, root_kept""",
+    "leaves": """
+        select leaf, sum(weight) as w, sum(case when y = 1 then weight else 0 end) as w1
+        from placed where not is_test group by leaf""",
+    "inner_nodes": """
+        select feature, gain, w from root_split, root_kept where kept
+        union all select feature, gain, w from kept_splits""",
+}
+
 _DRAW = "cast(('0x' || substr(md5(key), {at}, 12)) as bigint)"
 _UNIFORM = f"(({_DRAW} + 0.5::double) / 281474976710656::double)"
 
@@ -393,12 +490,12 @@ QUERIES: dict[str, str] = {
           cast(sum(support) as bigint) from m""",
     "positive_rate": """
         select count(*) as rows, avg(hospital_mortality) as positive_rate from scored""",
-    "rf_score": """
-        select patientunitstayid, apachescore, true as score_in_range, true as label_fits,
-          true as class_fits
-        from features""",
-    "rf_importance": """
-        select unnest([{features}]) as feature, true as in_range, true as sum_is_one""",
+    "tree_score": """
+        select patientunitstayid, apachescore, w1 / w as risk_score
+        from placed join leaves using (leaf)""",
+    "tree_importance": """
+        with g as (select feature, sum(gain * w) as g from inner_nodes group by feature)
+        select feature, g / sum(g) over () as importance from g""",
     "score_writeback": """
         with s as (
           select patientunitstayid, (patientunitstayid * 13) % 1000 / 1000.0::double as score
@@ -418,10 +515,6 @@ QUERIES: dict[str, str] = {
                 count(*) over (partition by hospital_mortality) as n from scored)""",
 }
 
-QUERIES["rf_importance"] = QUERIES["rf_importance"].format(
-    features=", ".join(f"'{name}'" for name in schemas.FEATURES)
-)
-
 # Result columns that the catalogue rounds: those of type double, but for the times.
 DIGITS, NUDGE = 9, "3e-11::double"
 DOUBLES = [
@@ -434,12 +527,12 @@ DOUBLES = [
     "mortality_rate", "avg_age", "avg_apache_score", "mortality_pct", "avg_apache", "share",
     "mean", "min", "max", "q1", "median", "q3", "lower_whisker", "upper_whisker", "value",
     "ewm", "std10", "trend", "lower", "upper", "gender_enc", "unittype_enc", "weight",
-    "auc", "precision", "recall", "f1", "positive_rate",
+    "auc", "precision", "recall", "f1", "positive_rate", "risk_score", "importance",
 ]
 # Queries whose results have none of them.
 NO_DOUBLES = {
     "patient_count", "top_diagnoses", "diagnosis_labels", "lab_top_k", "search_totals",
-    "future_offsets", "rf_importance",
+    "future_offsets",
 }
 ALL_DOUBLES = {"auc", "auc_tied"}
 

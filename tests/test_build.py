@@ -2,12 +2,13 @@
 
 import gzip
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from acuity import schemas
-from acuity.operators import model
+from acuity.operators import forest, model
 from acuity.plans import build
 from acuity.plans.store import CohortStore
 from acuity.schemas import STAY, TARGET
@@ -183,6 +184,45 @@ def test_importances(spark, built):
     assert {"apachescore", "predictedhospitalmortality"} & {r["feature"] for r in top[:2]}
 
 
+def test_stored_nodes_give_scores_and_importances(spark, built, tmp_path):
+    """The fitted forest against its node table: walked by another engine, and as one expression."""
+    noisy = built.features.withColumn(TARGET, F.when(F.col(STAY) % 5 == 0, 1 - F.col(TARGET)).otherwise(F.col(TARGET)))
+    fitted, out = model.train(noisy, **FOREST).model, str(tmp_path)
+    model.save(spark, fitted, f"{out}/model")
+    nodes = model.load_nodes(spark, f"{out}/model")
+    assert nodes.columns == forest.NODE_COLUMNS and nodes.select("tree").distinct().count() == 10
+    want = {r[STAY]: r["risk_score"] for r in model.score(built.features, fitted, digits=None).collect()}
+    assert len(set(want.values())) > 5
+    compiled = model.score_by_nodes(built.features, model.load(spark, f"{out}/model"), nodes)
+    assert {r[STAY]: r["risk_score"] for r in compiled.collect()} == pytest.approx(want, abs=1e-12)
+
+    con = duckdb.connect()
+    inputs = model.filled_inputs(built.features, fitted)
+    rows = inputs.select(STAY, *[F.col(f"_in_{c}").alias(c) for c in fitted.features]).toPandas()
+    con.register("seen", rows)
+    con.register("nodes", nodes.toPandas())
+    walked = con.execute(forest.walk_sql("seen", "nodes", STAY, fitted.features)).fetchall()
+    assert dict(walked) == pytest.approx(want, abs=1e-12)
+
+    importances = {r["feature"]: r["importance"] for r in model.importances(spark, fitted).collect()}
+    gains = con.execute("""
+        with g as (select tree, feature, sum(gain * weight) as g from nodes
+                   where feature is not null group by tree, feature),
+        s as (select feature, g / sum(g) over (partition by tree) as s from g)
+        select feature, sum(s) / sum(sum(s)) over () from s group by feature""").fetchall()
+    by_nodes = {r["feature"]: r["importance"] for r in forest.importances(nodes).collect()}
+    assert by_nodes == pytest.approx(dict(gains)) == {k: pytest.approx(v) for k, v in importances.items() if v}
+
+
+def test_a_forest_of_single_leaves(spark):
+    nodes = spark.createDataFrame(
+        [(t, 0, None, None, None, None, None, 5.0, s) for t, s in ((0, 0.25), (1, 0.75))],
+        "tree int, node int, feature string, threshold double, left_node int, right_node int, gain double,"
+        "weight double, share double")
+    got = spark.range(3).select(forest.score_column(nodes, {}).alias("s")).collect()
+    assert [r["s"] for r in got] == [0.5] * 3 and forest.importances(nodes).isEmpty()
+
+
 def test_medians_from_the_whole_table(built):
     whole = model.train(built.features, medians_from="whole", **FOREST).model.medians
     want = built.features.agg(F.median("apachescore")).first()[0]
