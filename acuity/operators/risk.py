@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acuity import schemas
@@ -79,21 +79,82 @@ def apply_scale(df: DataFrame, scale: dict[str, tuple[float, float]], columns: S
     )
 
 
+#: Hex digits of the digest by which a histogram gets finer, and the rows that may be put in
+#: order once a bin is that small.
+DIGITS, FEW = 4, 10_000
+_MIX = "_acuity_mix"
+
+
+def _prefix(length: Column) -> Column:
+    return F.substring(F.col(_MIX), F.lit(1), length)
+
+
+def split_cuts(rows: DataFrame, label: str, fraction: float, *, few: int = FEW) -> DataFrame:
+    """Where each class's digests pass its quota of test rows; one row per class, stored.
+
+    Rows whose digest starts with something smaller than ``cut`` are test rows. Of those that
+    start with ``cut`` itself, ``bin`` in number, the first ``want`` are. A histogram over the
+    first digits of the digest finds the bin that the quota falls into, one over the next
+    digits looks into that bin only, and so on until it holds ``few`` rows or the digits end.
+    A histogram has 16^DIGITS rows a class at most and combines before the shuffle, so no
+    class is ever sorted.
+    """
+    by_bin = Window.partitionBy("_class").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+
+    def narrowed(counts: DataFrame, quota: Column) -> DataFrame:
+        before = F.coalesce(F.sum("_rows").over(by_bin), F.lit(0))
+        placed = counts.withColumns({"_before": before, "_quota": quota})
+        return placed.filter(
+            (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_rows"))
+        ).select("_class", F.col("_bin").alias("cut"), F.col("_rows").alias("bin"),
+                 (F.col("_quota") - F.col("_before")).alias("want"))
+
+    def counted(of: DataFrame, digits: int, *more: str) -> DataFrame:
+        return of.groupBy(F.col(label).alias("_class"), _prefix(F.lit(digits)).alias("_bin"), *more).agg(
+            F.count(F.lit(1)).alias("_rows"))
+
+    whole = F.sum("_rows").over(Window.partitionBy("_class"))
+    cuts = stage(narrowed(counted(rows, DIGITS), F.ceil(F.lit(fraction) * whole)), "cuts")
+    for digits in range(2 * DIGITS, 33, DIGITS):
+        wide = (F.col("bin") > few) & (F.col("bin") > F.col("want"))
+        if cuts.filter(wide).isEmpty():
+            break
+        at = cuts.filter(wide).withColumnRenamed("_class", "_of")
+        inside = rows.join(
+            at, F.col(label).eqNullSafe(F.col("_of")) & (_prefix(F.lit(digits - DIGITS)) == F.col("cut")))
+        finer = narrowed(counted(inside, digits, "want"), F.col("want"))
+        cuts = stage(finer.unionByName(cuts.filter(~wide)), "cuts")
+    return cuts
+
+
 def stratified_split(
     df: DataFrame, label: str = schemas.TARGET, fraction: float = 0.2, seed: int = 42,
-    *, key: str = STAY, flag: str = "is_test", hot_rows: int = HOT_ROWS,
+    *, key: str = STAY, flag: str = "is_test", few: int = FEW, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Mark exactly ceil(fraction * n) rows of each class as test rows.
 
-    Rows are ordered by a digest of key and seed, so the choice depends on nothing else.
+    Rows are ordered by a digest of key and seed, so the choice depends on nothing else. All
+    but the few rows in the bin that a class's quota falls into are told by their digest
+    alone, in place; those few are put in order, equal digests by the row's other columns.
     """
-    mix = F.md5(F.concat_ws("|", key, F.lit(str(seed))).cast("binary"))
     rest = [F.col(c) for c in df.columns if c not in (key, label)]
+    mix = F.md5(F.concat_ws("|", key, F.lit(str(seed))).cast("binary"))
+    rows = df.withColumn(_MIX, mix)
+    cuts = split_cuts(rows, label, fraction, few=few)
+    met = rows.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left")
+    head = _prefix(F.length("cut"))
+    # without a cut a class has no test rows
+    open_ = F.coalesce((head == F.col("cut")) & (F.col("want") < F.col("bin")), F.lit(False))
+    told = met.filter(~open_).withColumn(flag, F.coalesce(head <= F.col("cut"), F.lit(False)))
+    told = told.select(*df.columns, flag)
+    if cuts.filter(F.col("want") < F.col("bin")).isEmpty():
+        return told
     placed = running_total(
-        df, [label], [mix, F.col(key), *rest], before="_place", total="_rows", hot_rows=hot_rows
+        met.filter(open_), [label], [F.col(_MIX), F.col(key), *rest], before="_place", total="_rows",
+        hot_rows=hot_rows,
     )
-    quota = F.ceil(F.lit(fraction) * F.col("_rows"))
-    return placed.withColumn(flag, F.col("_place") < quota).drop("_place", "_rows")
+    return told.unionByName(
+        placed.withColumn(flag, F.col("_place") < F.col("want")).select(*df.columns, flag))
 
 
 def class_weights(df: DataFrame, label: str = schemas.TARGET) -> DataFrame:

@@ -82,7 +82,7 @@ def _hot_features(spark, folder):
 
 def _hot_split(spark, folder):
     rows = A.scored_patients(spark, folder).select(STAY, TARGET, "apachescore")
-    return risk.stratified_split(rows, hot_rows=100)
+    return risk.stratified_split(rows, few=1, hot_rows=100)
 
 
 # The forms for hot keys, with limits so low that the test tables reach them.

@@ -1,9 +1,12 @@
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import functions as F
 
 from acuity.operators import risk
 from acuity.schemas import STAY, TARGET
@@ -41,6 +44,32 @@ def test_encode(spark, rows):
     assert unseen["unittype_enc"] == 3.0
 
 
+@pytest.mark.parametrize("few", [1, 20, 10_000])
+@pytest.mark.parametrize("fraction", [0.0, 0.2, 0.5, 1.0])
+def test_split_takes_the_first_digests_of_each_class(spark, few, fraction):
+    """Also with a key that a third of all rows have, and a class without a label."""
+    rows = [(7 if i % 3 == 0 else i, [0, 1, 1, None][i % 4], i % 10) for i in range(400)]
+    df = spark.createDataFrame(rows, f"{STAY} long, {TARGET} int, x int").repartition(5)
+    got = Counter(tuple(r) for r in risk.stratified_split(df, fraction=fraction, few=few, hot_rows=30).collect())
+    want = Counter()
+    for y in (0, 1, None):
+        mine = sorted((hashlib.md5(f"{k}|42".encode()).hexdigest(), k, x) for k, t, x in rows if t == y)
+        quota = math.ceil(fraction * len(mine))
+        want.update((k, y, x, i < quota) for i, (_, k, x) in enumerate(mine))
+    assert got == want
+
+
+def test_split_puts_few_rows_in_order(spark):
+    df = spark.range(30_000).selectExpr(f"id AS {STAY}", f"int(id % 7 = 0) AS {TARGET}").withColumn(
+        risk._MIX, F.md5(F.concat_ws("|", STAY, F.lit("42")).cast("binary")))
+    cuts = {r["_class"]: r for r in risk.split_cuts(df, TARGET, 0.2, few=1).collect()}
+    assert {k: r["bin"] for k, r in cuts.items()} == {0: 1, 1: 1}
+    for k, r in cuts.items():
+        below = df.filter((F.col(TARGET) == k) & (F.substring(risk._MIX, 1, len(r["cut"])) <= r["cut"])).count()
+        assert below == math.ceil(0.2 * df.filter(F.col(TARGET) == k).count())
+    assert risk.split_cuts(df.limit(0), TARGET, 0.2).isEmpty()
+
+
 def test_present_features(table):
     assert risk.present_features(table, ["tied", "absent", "smooth"]) == ["tied", "smooth"]
 
