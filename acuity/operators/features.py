@@ -70,20 +70,24 @@ def feature_table(
     labs: DataFrame,
     *,
     apache_dedupe: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Patients with severity scores, vital aggregates and lab means, all left-joined.
 
     Several severity rows of one stay repeat that stay. That join comes last, so until then
     the key counts are those of the patients; all joins share one partitioning by stay. With
     a hot stay a join reads its sides several times, so then the aggregates and each joined
-    table are stored first and every source table is still aggregated once.
+    table are stored first and every source table is still aggregated once. With ``hot_rows``
+    None the stays are not counted: bucketed tables, of equal bucket counts, are known to have
+    no hot one, and then nothing below the result is exchanged.
     """
     scores = (dedupe_apache(apache) if apache_dedupe else apache).select(
         STAY, "apachescore", "predictedhospitalmortality"
     )
     signs, means = vitals_per_stay(vitals), lab_means_per_stay(labs)
-    shares = key_shares(patients, None if apache_dedupe else scores, STAY, hot_rows=hot_rows)
+    shares = None if hot_rows is None else key_shares(
+        patients, None if apache_dedupe else scores, STAY, hot_rows=hot_rows
+    )
     if shares is None:
         once, by_left = (lambda df, name: df), None
     else:

@@ -52,13 +52,17 @@ def downsample(
     return placed.filter(F.col("_place") % step == 0).select(*vitals.columns)
 
 
-def with_chunks(vitals: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+def with_chunks(vitals: DataFrame, hot_rows: int | None = HOT_ROWS) -> tuple[DataFrame, bool]:
     """``vitals`` dealt by stay, and whether any stay was cut.
 
+    With ``hot_rows`` None they are taken as dealt by stay already, as in a bucketed table.
+
     A stay with more than ``hot_rows`` rows is cut at about equal shares of its times into
     ``_chunk`` 0, 1, ...; later chunks hold later times only, and rows of one time share a
     chunk. Any cut gives the same results, so approximate shares are enough.
     """
+    if hot_rows is None:
+        return vitals.withColumn("_chunk", F.lit(0)), False
     hot = key_sizes(vitals, [STAY], hot_rows)
     if hot is None:
         return vitals.withColumn("_chunk", F.lit(0)).repartition(STAY), False
@@ -75,7 +79,7 @@ def with_chunks(vitals: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame,
 
 
 def tail_chunks(
-    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS, *, hot_rows: int = HOT_ROWS
+    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS, *, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """What a chunk of a series tells about its end: one row per stay, chunk and vital.
 
@@ -111,7 +115,7 @@ def tail_chunks(
 
 
 def tail_statistics(
-    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS, *, hot_rows: int = HOT_ROWS
+    vitals: DataFrame, signs: Sequence[str] = schemas.FORECAST_VITALS, *, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Per stay and vital: weighted mean, deviation and trend at the end of the series.
 
@@ -166,22 +170,23 @@ def _check_steps(steps: int) -> None:
 
 def forecast(
     vitals: DataFrame, steps: int = 6, *, seed: int | None = None,
-    signs: Sequence[str] = schemas.FORECAST_VITALS,
+    signs: Sequence[str] = schemas.FORECAST_VITALS, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The next ``steps`` values of each vital with at least three readings, with a band.
 
     Every step adds 0.3 of the trend, and, given a ``seed``, normal noise of 0.2 of the
     deviation, which builds up over the steps. The band is one deviation to either side.
     """
-    return _forecast(vitals, steps, 1, seed, signs)
+    return _forecast(vitals, steps, 1, seed, signs, hot_rows)
 
 
 def _forecast(
-    vitals: DataFrame, steps: int, first: int, seed: int | None, signs: Sequence[str]
+    vitals: DataFrame, steps: int, first: int, seed: int | None, signs: Sequence[str],
+    hot_rows: int | None,
 ) -> DataFrame:
     """Steps ``first`` to ``steps`` of the forecast; step 0 stands at the last reading."""
     _check_steps(steps)
-    stats = tail_statistics(vitals, signs).filter(F.col("kept") >= schemas.FORECAST_MIN_ROWS)
+    stats = tail_statistics(vitals, signs, hot_rows=hot_rows).filter(F.col("kept") >= schemas.FORECAST_MIN_ROWS)
     ahead = stats.withColumn("step", F.explode(F.sequence(F.lit(first), F.lit(steps))))
     value = F.col("ewm") + F.col("trend") * schemas.FORECAST_TREND_SHARE * F.col("step")
     if seed is not None:
@@ -228,10 +233,10 @@ def history(vitals: DataFrame, rows: int = schemas.HISTORY_ROWS) -> DataFrame:
 
 def forecast_line(
     vitals: DataFrame, steps: int = 6, *, seed: int | None = None,
-    signs: Sequence[str] = schemas.FORECAST_VITALS,
+    signs: Sequence[str] = schemas.FORECAST_VITALS, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The line a chart draws: the last reading as step 0, then the forecast."""
-    grid = _forecast(vitals, steps, 0, seed, signs)
+    grid = _forecast(vitals, steps, 0, seed, signs, hot_rows)
     row = F.max(F.struct(TIME, *_rest(vitals, STAY, TIME))).alias("_row")
     last = vitals.groupBy(STAY).agg(row).select(
         STAY, *[F.col(f"_row.{name}").alias(f"_at_{name}") for name in signs]

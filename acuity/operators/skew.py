@@ -14,9 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acuity.sources.storage import stage
-
-HOT_ROWS = 2_000_000
+from acuity.sources.storage import HOT_ROWS, stage
 
 _UID, _PART, _BASE, _SHARE = "_acuity_uid", "_acuity_part", "_acuity_base", "_acuity_share"
 

@@ -132,6 +132,32 @@ def feature_table(spark, folder):
     return A.feature_table(spark, folder)
 
 
+def _bucketed(spark, tables: dict[str, DataFrame], buckets=16):
+    """The tables stored in buckets by stay, and None; or, with a hot stay, as they are, and its limit."""
+    stored = {
+        name: storage.save_bucketed(df, storage.scratch_table(name), buckets=buckets,
+                                    path=storage.scratch_path(spark, name))
+        for name, df in tables.items()
+    }
+    return (tables, storage.HOT_ROWS) if None in stored.values() else (stored, None)
+
+
+@query
+def feature_table_bucketed(spark, folder):
+    """The feature table from clean tables that are stored in buckets by stay."""
+    tables, hot_rows = _bucketed(spark, {n: f(spark, folder) for n, f in (
+        ("patients", A.patients), ("apache", A.apache), ("vitals", A.vitals), ("labs", A.labs))})
+    return features.feature_table(**tables, hot_rows=hot_rows)
+
+
+@query
+def forecast_bucketed(spark, folder):
+    """The forecast from vitals that are stored in buckets by stay."""
+    tables, hot_rows = _bucketed(spark, {"vitals": A.vitals(spark, folder)})
+    out = series.forecast(tables["vitals"], hot_rows=hot_rows)
+    return out.select(STAY, "vital", "step", "observationoffset", "value")
+
+
 @query
 def patient_summary(spark, folder):
     return storage.serving_projection(A.feature_table(spark, folder), "patients")

@@ -515,6 +515,12 @@ QUERIES: dict[str, str] = {
                 count(*) over (partition by hospital_mortality) as n from scored)""",
 }
 
+# The same answers from other layouts.
+QUERIES |= {
+    "feature_table_bucketed": QUERIES["feature_table"],
+    "forecast_bucketed": QUERIES["forecast"],
+}
+
 # Result columns that the catalogue rounds: those of type double, but for the times.
 DIGITS, NUDGE = 9, "3e-11::double"
 DOUBLES = [

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from acuity import schemas
 
 
+#: Rows of one key that a single task may have to hold.
+HOT_ROWS = 2_000_000
+
+
 def _path(spark: SparkSession, path: str):
     """Hadoop's file system and path objects for ``path``."""
     sc = spark.sparkContext
@@ -103,11 +107,31 @@ def save_serving(
     write_keyed(out, f"{root.rstrip('/')}/{table}", keys, files=files)
 
 
+def save_bucketed(
+    df: DataFrame, table: str, *, key: str = schemas.STAY, buckets: int = 64,
+    path: str | None = None, hot_rows: int = HOT_ROWS,
+) -> DataFrame | None:
+    """Store ``df`` in the session's catalog, dealt into ``buckets`` by ``key`` and sorted in each.
+
+    Aggregates and joins by the key then read tables with equal bucket counts side by side,
+    without an exchange. A bucket is one task's work and nothing splits it later, so a table
+    where one key has more than ``hot_rows`` rows is not stored and the answer is None:
+    exchanges, which adaptive execution can split, serve it better.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > hot_rows)
+    if not sizes.isEmpty():
+        return None
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def load_serving(spark: SparkSession, table: str, root: str | None = None) -> DataFrame:
     return spark.table(table) if root is None else spark.read.parquet(f"{root.rstrip('/')}/{table}")
 
 
 _scratch: list[str] = []
+_scratch_tables: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -124,12 +148,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(name: str) -> str:
+    """A new table name, dropped from the catalog by :func:`drop_scratch`."""
+    _scratch_tables.append(f"acuity_{name}_{uuid.uuid4().hex}")
+    return _scratch_tables[-1]
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this process wrote to the shared folder.
 
     Call it once the results are stored: a DataFrame that reads such a table is of no use
     afterwards.
     """
+    while _scratch_tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_scratch_tables.pop()}")
     while _scratch:
         remove(spark, _scratch.pop())
 

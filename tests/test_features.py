@@ -1,8 +1,9 @@
 import statistics
 
 from acuity import schemas
-from acuity.operators import features
+from acuity.operators import features, series
 from acuity.schemas import STAY
+from acuity.sources import storage
 
 
 def vitals(spark, rows):
@@ -82,3 +83,38 @@ def test_write_back(spark, rows):
     out = features.write_back_scores(patients, scores)
     assert rows(out) == [(1, 0.6, 1), (1, 0.6, 1), (2, 0.9, 1), (3, 0.1, 0)]
     assert dict(out.dtypes)["ml_prediction"] == "int"
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_bucketed_tables_are_joined_in_place(spark, tmp_path):
+    """Aggregates, joins and series by stay read the buckets side by side."""
+    patients, apache, vitals, labs = (
+        spark.createDataFrame([(i % 40, *more) for i in range(200)], f"{STAY} long, {schema}")
+        for more, schema in (
+            ((1,), "x int"), ((5.0, 0.5), "apachescore double, predictedhospitalmortality double"),
+            ((1.0,) * 8, "observationoffset double, heartrate double, respiration double, sao2 double,"
+                         "systemicsystolic double, systemicdiastolic double, temperature double, cvp double"),
+            (("Sodium", 3.0), "labname string, labresult double"),
+        )
+    )
+    patients = patients.distinct()
+    sides = {}
+    for name, df in (("patients", patients), ("apache", apache), ("vitals", vitals), ("labs", labs)):
+        sides[name] = storage.save_bucketed(df, f"t_{name}", buckets=5, path=str(tmp_path / name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else tables as small as these are sent whole
+    try:
+        stored = features.feature_table(**sides, hot_rows=None)
+        loose = features.feature_table(patients, apache, vitals, labs)
+        assert exchanges(stored) == 0 < exchanges(loose)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, loose.collect()))
+        tail = series.forecast(sides["vitals"], hot_rows=None)
+        assert exchanges(tail) == 0 and tail.count() == series.forecast(vitals).count() == 40 * 5 * 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in sides:
+            spark.sql(f"DROP TABLE t_{name}")
+    assert storage.save_bucketed(apache, "t_hot", hot_rows=4) is None
