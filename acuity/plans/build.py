@@ -10,11 +10,12 @@ from acuity import schemas
 from acuity.operators import features as feature_ops
 from acuity.operators import model as model_ops
 from acuity.operators.clean import CLEANERS
-from acuity.sources import storage
+from acuity.sources import cache, storage
 from acuity.sources.raw import scan_table
 
 # Serving table of each clean table.
 SERVED = {"vitals": "vitals", "labs": "labs", "diagnosis": "diagnosis", "treatment": "treatments"}
+_FEATURE_TABLES = ["patient", "apache", "vitals", "labs"]
 
 
 @dataclass
@@ -28,7 +29,7 @@ def clean_table(
     spark: SparkSession, raw_dir: str, out_dir: str, name: str, *,
     refresh: bool = False, stays=None, **scan,
 ) -> DataFrame:
-    """A clean table, from its stored copy if there is one.
+    """A clean table, from its stored copy if there is one and the raw file is still the same.
 
     Restricted to ``stays``, it is always read from the raw file and not stored.
     """
@@ -38,7 +39,10 @@ def clean_table(
     def build() -> DataFrame:
         return CLEANERS[name](scan_table(spark, raw_dir, name, **scan))
 
-    return storage.read_through(spark, f"{out_dir}/clean/{name}", build, refresh=refresh)
+    source = f"{raw_dir.rstrip('/')}/{schemas.RAW_FILES[name]}"
+    return cache.read_through(
+        spark, f"{out_dir}/clean/{name}", build, sources=[source], refresh=refresh
+    )
 
 
 def run(
@@ -55,7 +59,8 @@ def run(
 ) -> Build:
     """Build everything under ``out_dir``; what is stored already is not built again.
 
-    A table stored with other parameters is built again. Serving tables are always
+    A table stored with other parameters, or from other raw files, is built again, and with
+    it what depends on it. Serving tables are always
     overwritten, and scores stored for the patients before are dropped. A stored model is
     kept unless ``retrain``.
     """
@@ -64,7 +69,8 @@ def run(
         name: clean_table(spark, raw_dir, out_dir, name, refresh=refresh, **scan)
         for name in schemas.RAW_FILES
     }
-    table = storage.read_through(
+    inputs = {name: cache.version(spark, f"{out_dir}/clean/{name}") for name in _FEATURE_TABLES}
+    table = cache.read_through(
         spark,
         f"{out_dir}/ml_dataset",
         lambda: feature_ops.feature_table(
@@ -73,6 +79,7 @@ def run(
         ),
         refresh=refresh,
         apache_dedupe=apache_dedupe,
+        inputs=inputs,
     )
     serving = f"{out_dir}/serving"
     # Scores belong to the cohort they were made for; the new one starts without.

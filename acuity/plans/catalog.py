@@ -11,7 +11,7 @@ from acuity.functions import scalars as S
 from acuity.operators import analytics, clean, cohort, features, forest, model, risk, series
 from acuity.plans import adapters as A
 from acuity.schemas import STAY, TARGET
-from acuity.sources import raw, storage
+from acuity.sources import cache, raw, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -99,6 +99,21 @@ def keyed_layout(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def cached_labs(spark, folder):
+    """Labs read through the cache twice; the second time nothing may be built."""
+    source, path = (storage.scratch_path(spark, name) for name in ("csv", "cache"))
+    A.raw_labs(spark, folder).write.option("header", True).csv(source)
+    columns = [STAY, "labresultoffset", "labname", "labresult"]
+
+    def again():
+        raise RuntimeError("the source has not changed")
+
+    cache.read_through(
+        spark, path, lambda: clean.clean_labs(raw.scan_csv(spark, source, columns)), sources=[source])
+    return cache.read_through(spark, path, again, sources=[source])
+
+
 # Joins, aggregates and features.
 
 

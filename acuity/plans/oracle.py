@@ -517,6 +517,7 @@ QUERIES: dict[str, str] = {
 
 # The same answers from other layouts.
 QUERIES |= {
+    "cached_labs": QUERIES["clean_labs"],
     "feature_table_bucketed": QUERIES["feature_table"],
     "forecast_bucketed": QUERIES["forecast"],
 }

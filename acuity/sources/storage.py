@@ -1,10 +1,8 @@
-"""Stored tables: read-through cache, serving tables, keyed layout, shared scratch tables."""
+"""Stored tables: serving tables, keyed layout, buckets, shared scratch tables."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from acuity import schemas
 HOT_ROWS = 2_000_000
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """Hadoop's file system and path objects for ``path``."""
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,7 +23,7 @@ def _path(spark: SparkSession, path: str):
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, on whatever file system the path names."""
-    system, target = _path(spark, path)
+    system, target = file_system(spark, path)
     return system.exists(target)
 
 
@@ -34,33 +32,9 @@ def is_stored(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
-def read_through(
-    spark: SparkSession,
-    path: str,
-    build: Callable[[], DataFrame],
-    *,
-    refresh: bool = False,
-    **parameters,
-) -> DataFrame:
-    """Return the stored table at ``path``; build and store it first if it is not there.
-
-    ``parameters`` are stored beside it, last of all. A table stored with others, or with
-    none on record, is built again.
-    """
-    wanted, record = json.dumps(parameters, sort_keys=True), f"{path.rstrip('/')}.parameters"
-    held = None
-    if is_stored(spark, record):
-        held = "".join(r[0] for r in spark.read.text(record).collect())
-    if refresh or held != wanted or not is_stored(spark, path):
-        remove(spark, record)
-        build().write.mode("overwrite").parquet(path)
-        spark.range(1).select(F.lit(wanted)).write.mode("overwrite").text(record)
-    return spark.read.parquet(path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table, if it is there."""
-    system, target = _path(spark, path)
+    system, target = file_system(spark, path)
     system.delete(target, True)
 
 

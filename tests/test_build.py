@@ -1,6 +1,7 @@
 """Storage, the batch build, and the model, on small gzip files."""
 
 import gzip
+import shutil
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from acuity.operators import forest, model
 from acuity.plans import build
 from acuity.plans.store import CohortStore
 from acuity.schemas import STAY, TARGET
-from acuity.sources import storage
+from acuity.sources import cache, storage
 
 N = 300
 FOREST = dict(numTrees=10, maxDepth=4)
@@ -249,21 +250,73 @@ def test_read_through(spark, tmp_path):
 
         return run
 
-    assert storage.read_through(spark, path, make(3)).count() == 3
-    assert storage.read_through(spark, path, make(4)).count() == 3
-    assert storage.read_through(spark, path, make(5), refresh=True).count() == 5
-    assert storage.read_through(spark, path, make(6), dedupe=True).count() == 6
-    assert storage.read_through(spark, path, make(7), dedupe=True).count() == 6
-    assert storage.read_through(spark, path, make(8)).count() == 8
+    assert cache.read_through(spark, path, make(3)).count() == 3
+    assert cache.read_through(spark, path, make(4)).count() == 3
+    assert cache.read_through(spark, path, make(5), refresh=True).count() == 5
+    assert cache.read_through(spark, path, make(6), dedupe=True).count() == 6
+    assert cache.read_through(spark, path, make(7), dedupe=True).count() == 6
+    assert cache.read_through(spark, path, make(8)).count() == 8
     assert calls == [3, 5, 6, 8]
 
 
-def test_unfinished_table_is_built_again(spark, tmp_path):
-    path = tmp_path / "t"
-    spark.range(2).write.parquet(str(path))
-    (path / "_SUCCESS").unlink()
-    assert not storage.is_stored(spark, str(path))
-    assert storage.read_through(spark, str(path), lambda: spark.range(7)).count() == 7
+def test_changed_source_is_noticed(spark, tmp_path):
+    source, path = tmp_path / "raw", str(tmp_path / "t")
+    source.mkdir()
+    (source / "a.txt").write_text("one\n")
+    read = lambda: cache.read_through(
+        spark, path, lambda: spark.read.text(str(source)), sources=[str(source)])
+    first = read()
+    before = cache.version(spark, path)
+    assert read().count() == 1 and cache.version(spark, path) == before
+    (source / "b.txt").write_text("two\n")
+    assert read().count() == 2 and cache.version(spark, path) != before
+    assert first.count() == 1  # a reader of the old version keeps it
+    assert cache.drop_old(spark, path) == [before] and read().count() == 2
+    with pytest.raises(Exception, match="not exist"):
+        cache.read_through(spark, path, lambda: spark.range(1), sources=[f"{source}/none"])
+
+
+def test_build_that_dies_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    cache.read_through(spark, path, lambda: spark.range(3))
+    for at in ("build", "commit", "manifest"):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            if at != "build":
+                def torn(spark, path, *more):
+                    if at == "manifest":  # cut off while the manifest is written
+                        (tmp_path / "t" / "manifest-000000000007.json").write_text('{"number": 7, "da')
+                    raise RuntimeError
+
+                m.setattr(cache, "commit", torn)
+
+            def make():
+                if at == "build":
+                    raise RuntimeError
+                return spark.range(9)
+
+            cache.read_through(spark, path, make, refresh=True)
+        assert cache.read_through(spark, path, lambda: pytest.fail("built again")).count() == 3
+    assert cache.read_through(spark, path, lambda: spark.range(4), refresh=True).count() == 4
+    assert cache.current(spark, path).number == 8 and len(cache.drop_old(spark, path)) == 3
+    assert cache.read_through(spark, path, lambda: pytest.fail("built again")).count() == 4
+
+
+def test_commits_at_once_get_numbers_of_their_own(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    cache.read_through(spark, path, lambda: spark.range(1))
+    monkeypatch.setattr(cache, "_numbers", lambda *a: [])  # as if the other had not been there yet
+    assert cache.commit(spark, path, "data-x", {}, {}).number == 2
+
+
+def test_features_follow_a_changed_raw_file(spark, raw, tmp_path):
+    folder, out = tmp_path / "raw", str(tmp_path / "out")
+    shutil.copytree(raw, folder)
+    build.run(spark, str(folder), out, **FOREST)
+    versions = {n: cache.version(spark, f"{out}/clean/{n}") for n in schemas.RAW_FILES}
+    write(folder, "apache", [f"{i},{200 + i},0.5,ALIVE,No" for i in range(N)])
+    again = build.run(spark, str(folder), out)
+    changed = {n for n, v in versions.items() if cache.version(spark, f"{out}/clean/{n}") != v}
+    assert changed == {"apache"} and again.features.agg(F.min("apachescore")).first()[0] == 200
 
 
 def test_catalog_table(spark):
