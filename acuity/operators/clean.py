@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -57,11 +58,26 @@ def drop_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
+#: Longest list of stays that becomes a filter, and the stays in one of its terms. The scan compares
+#: a term of up to ten values with dictionaries and Bloom filters, a longer one with bounds only.
+LISTED, IN_TERM = 500, 10
+
+
+def among_stays(stays: Iterable[int], key: str = STAY) -> Column:
+    """Whether the key is one of the stays, in terms that scans can use to skip row groups."""
+    listed = sorted({int(s) for s in stays})
+    if not listed:
+        return F.lit(False)
+    terms = [F.col(key).isin(listed[i : i + IN_TERM]) for i in range(0, len(listed), IN_TERM)]
+    return functools.reduce(Column.__or__, terms)
+
+
 def restrict_to_stays(df: DataFrame, stays: DataFrame | Iterable[int] | int | None,
                       key: str = STAY) -> DataFrame:
     """Keep the rows of the given stays.
 
-    A number becomes a filter that reaches the scan; a list or a DataFrame is semi-joined.
+    A number, or a list of up to ``LISTED`` numbers, becomes a filter that reaches the scan; a
+    longer list or a DataFrame is semi-joined, the list with its bounds as a filter besides.
     A hot key on the left is split by adaptive execution where it is on.
     """
     if stays is None:
@@ -70,8 +86,11 @@ def restrict_to_stays(df: DataFrame, stays: DataFrame | Iterable[int] | int | No
         return df.join(stays.select(key).distinct(), key, "left_semi")
     if isinstance(stays, int):
         return df.filter(F.col(key) == stays)
-    listed = df.sparkSession.createDataFrame([(int(s),) for s in stays], f"{key} long")
-    return df.join(listed.distinct(), key, "left_semi")
+    wanted = sorted({int(s) for s in stays})
+    if len(wanted) <= LISTED:
+        return df.filter(among_stays(wanted, key))
+    listed = df.sparkSession.createDataFrame([(s,) for s in wanted], f"{key} long")
+    return df.filter(F.col(key).between(wanted[0], wanted[-1])).join(listed, key, "left_semi")
 
 
 def clean_patients(raw: DataFrame) -> DataFrame:

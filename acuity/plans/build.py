@@ -41,7 +41,8 @@ def clean_table(
 
     source = f"{raw_dir.rstrip('/')}/{schemas.RAW_FILES[name]}"
     return cache.read_through(
-        spark, f"{out_dir}/clean/{name}", build, sources=[source], refresh=refresh
+        spark, f"{out_dir}/clean/{name}", build, sources=[source], refresh=refresh,
+        bloom=schemas.STAY,
     )
 
 

@@ -281,6 +281,26 @@ def labs_series(spark, folder):
     return cohort.labs_of(A.labs(spark, folder))
 
 
+#: A caller's list of stays.
+_LIST = [37 * k for k in range(1, 201)]
+
+
+@query
+def vitals_of_list(spark, folder):
+    """A list of stays from the layout that is sorted by stay."""
+    path = storage.scratch_path(spark, "keyed")
+    storage.write_keyed(A.vitals(spark, folder), path, [STAY, "observationoffset"])
+    return cohort.vitals_of(spark.read.parquet(path), _LIST)
+
+
+@query
+def labs_of_list(spark, folder):
+    """The same list from a table in order of arrival, with a Bloom filter on the stay."""
+    path = storage.scratch_path(spark, "arrived")
+    storage.with_bloom(A.labs(spark, folder).write, STAY).parquet(path)
+    return cohort.labs_of(spark.read.parquet(path), _LIST)
+
+
 @query
 def stay_diagnoses(spark, folder):
     found = cohort.diagnoses_of(A.diagnosis(spark, folder), A.vitals(spark, folder))

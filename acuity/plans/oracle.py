@@ -369,6 +369,10 @@ QUERIES: dict[str, str] = {
         select * from scored where patientunitstayid in (select patientunitstayid from vitals)""",
     "vitals_series": "select * from vitals",
     "labs_series": "select * from labs",
+    "vitals_of_list": """
+        select * from vitals where patientunitstayid in (select 37 * k from range(1, 201) t(k))""",
+    "labs_of_list": """
+        select * from labs where patientunitstayid in (select 37 * k from range(1, 201) t(k))""",
     "stay_diagnoses": """
         select patientunitstayid, diagnosisoffset as "Offset (min)",
           diagnosisstring as "Diagnosis", icd9code as "ICD9", diagnosispriority as "Priority"

@@ -18,7 +18,7 @@ from dataclasses import asdict, dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-from acuity.sources.storage import exists, file_system, remove
+from acuity.sources.storage import exists, file_system, remove, with_bloom
 
 _PREFIX, _SUFFIX = "manifest-", ".json"
 
@@ -105,13 +105,15 @@ def read_through(
     *,
     sources: Iterable[str] = (),
     refresh: bool = False,
+    bloom: str | None = None,
     **parameters,
 ) -> DataFrame:
     """The table cached at ``path``; built and stored first if there is none that fits.
 
     A version fits if it was built with the same ``parameters`` from the same ``sources``,
     files or folders that ``build`` reads. These are looked at before the build, so what
-    changes meanwhile is noticed by the next call.
+    changes meanwhile is noticed by the next call. Row groups get a Bloom filter on the column
+    ``bloom``, if it is given.
     """
     path = path.rstrip("/")
     wanted = json.loads(json.dumps(parameters))
@@ -119,7 +121,8 @@ def read_through(
     held = current(spark, path)
     if refresh or held is None or (held.parameters, held.sources) != (wanted, seen):
         data = f"data-{uuid.uuid4().hex}"
-        build().write.parquet(f"{path}/{data}")
+        writer = build().write
+        (with_bloom(writer, bloom) if bloom else writer).parquet(f"{path}/{data}")
         held = commit(spark, path, data, wanted, seen)
     return read_version(spark, path, held)
 

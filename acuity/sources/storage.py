@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from acuity import schemas
@@ -51,6 +51,32 @@ def serving_projection(df: DataFrame, table: str) -> DataFrame:
     return out
 
 
+def with_bloom(writer: DataFrameWriter, key: str, distinct: int = 20_000) -> DataFrameWriter:
+    """The writer with a Bloom filter on ``key`` in every row group, for ``distinct`` values in one.
+
+    It lets scans for single keys skip row groups also where the rows are not sorted by them.
+    """
+    return (
+        writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{key}", str(distinct))
+    )
+
+
+def rows_scanned(df: DataFrame) -> int:
+    """Rows that the scans of an executed DataFrame handed on, after skipping; call it after an action."""
+    def leaves(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return leaves(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return leaves(plan.plan())
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [x for child in children for x in leaves(child)] if children else [plan]
+
+    metrics = [x.metrics().get("numOutputRows") for x in leaves(df._jdf.queryExecution().executedPlan())]
+    return sum(m.get().value() for m in metrics if m.isDefined())
+
+
 def write_keyed(df: DataFrame, path: str, keys: list[str], *, files: int | None = None) -> None:
     """Store ``df`` range-partitioned and sorted by ``keys``.
 

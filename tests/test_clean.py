@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from acuity import schemas
 from acuity.operators import clean
 from acuity.schemas import STAY
+from acuity.sources import storage
 from acuity.sources.raw import scan_csv, scan_table
 
 NAN = float("nan")
@@ -131,3 +132,33 @@ def test_gzip_spread(spark, tmp_path):
     assert len(sizes) == 8
     by_default = scan_table(spark, str(tmp_path), "treatment")
     assert by_default.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 25, 600])
+def test_lists_of_stays(spark, rows, n):
+    """Short and long lists, with repeats, keep the same rows; short ones reach the scan."""
+    df = spark.range(1000).selectExpr(f"id AS {STAY}").unionByName(
+        spark.createDataFrame([(None,), (5,)], f"{STAY} long"))
+    wanted = [3 * i for i in range(n)]
+    got = [r[0] for r in rows(clean.restrict_to_stays(df, wanted + wanted[:2]))]
+    assert got == sorted(w for w in wanted if w < 1000)
+
+
+def test_a_list_skips_row_groups(spark, tmp_path):
+    """Rows read against rows found, with Bloom filters in unsorted files, and in the sorted layout."""
+    stays = [(i * 7919) % 20_000 for i in range(20_000)]  # every stay once, far from any order
+    rows = spark.createDataFrame([(s, float(s)) for s in stays], f"{STAY} long, value double")
+    arrived, keyed, plain = (str(tmp_path / n) for n in ("arrived", "keyed", "plain"))
+    storage.with_bloom(rows.repartition(40).write, STAY, 500).parquet(arrived)
+    rows.repartition(40).write.parquet(plain)
+    storage.write_keyed(rows, keyed, [STAY], files=40)
+    wanted = [11, 12, 13, *range(14_000, 14_020)]
+    read = {}
+    for name, path in (("arrived", arrived), ("keyed", keyed), ("plain", plain)):
+        found = clean.restrict_to_stays(spark.read.parquet(path), wanted)
+        assert "PushedFilters: [Or(" in found._jdf.queryExecution().executedPlan().toString().replace("...", "")
+        assert sorted(r[STAY] for r in found.collect()) == sorted(wanted)
+        read[name] = storage.rows_scanned(found)
+    assert read["plain"] == 20_000 and read["keyed"] <= 2_000 and read["arrived"] < 15_000
+    one = clean.restrict_to_stays(spark.read.parquet(arrived), [14_000])
+    assert one.count() == 1 and one.collect() and storage.rows_scanned(one) < 3_000
