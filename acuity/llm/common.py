@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from acuity.sources.storage import stage
 
-__all__ = ["components", "column", "prefix_sums", "read", "stage", "texts", "whole_groups"]
+__all__ = ["components", "column", "prefix_sums", "read", "reserve", "stage", "texts", "unused", "whole_groups"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -109,6 +109,14 @@ def reserve(names: Sequence[str], taken: Sequence[str]) -> None:
         raise ValueError(f"columns clash with the operator's own: {clash}")
 
 
+def unused(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores before it until no column has it, in any case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches whose rows come in order of their groups.
 

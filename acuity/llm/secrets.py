@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acuity.llm.common import stage, texts
+from acuity.llm.common import stage, texts, unused
 from acuity.llm.spans import Kind, digest, find, quoted
 
 RATE = 0.05
@@ -178,14 +178,15 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
         .filter(F.size("token") > 0), "tokens",
     ))
     at = quoted(_TOKEN)
-    judged = randomness("transform(_hit, x -> named_struct('start', 0, 'end', 0, 'text', x))")
+    gap, hit, new = (unused(c, docs.columns) for c in ("_gap", "_hit", "_new"))
+    judged = randomness(f"transform({hit}, x -> named_struct('start', 0, 'end', 0, 'text', x))")
     keep = (f"m.text NOT RLIKE '[0-9]' OR m.text NOT RLIKE '[A-Za-z]' OR {_patterned(cutoffs)}")
-    out = docs.withColumn("_gap", F.expr(f"split(text, {at}, -1)")).withColumn(
-        "_hit", F.expr(f"regexp_extract_all(text, {at}, 0)")
-    ).withColumn("_new", F.expr(
+    out = docs.withColumn(gap, F.expr(f"split(text, {at}, -1)")).withColumn(
+        hit, F.expr(f"regexp_extract_all(text, {at}, 0)")
+    ).withColumn(new, F.expr(
         f"transform({judged}, m -> CASE WHEN {keep} THEN m.text ELSE '{MASK}' END)"
     )).withColumn("text", F.expr(
-        "CASE WHEN size(_hit) = 0 THEN text ELSE array_join(flatten(zip_with(_gap, _new, "
+        f"CASE WHEN size({hit}) = 0 THEN text ELSE array_join(flatten(zip_with({gap}, {new}, "
         "(g, h) -> array(g, coalesce(h, '')))), '') END"
     ))
     named = _ASSIGN.replace("([A-Za-z0-9+/_.=-]++)", "[A-Za-z0-9+/_.=-]{6,}+")

@@ -3,7 +3,9 @@
 One weight per word serves all grades; ordered thresholds cut the score into grade 0 (clean)
 to ``GRADES``: logit P(grade > k) = w.x - t_k, with t_0 < t_1 < ... The labels say toxic or
 not, so the grade of a toxic training text is found first: how often it uses words that are
-tied to toxic texts (logarithms of counts, added), cut at the terciles of the sample.
+tied to toxic texts (logarithms of counts, added), cut at the terciles of the sample. The
+grades above clean thus follow from words that are features too: they order toxic texts by
+how much they hold of what marks them, and say nothing about severity beyond that.
 
 Training reads at most ``SAMPLE`` labelled texts of each class, picked by a hash of the id,
 and keeps the ``WORDS`` words with the largest difference between the classes. What comes to
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from acuity.llm.common import column, stage, texts
+from acuity.llm.common import column, reserve, stage, texts, unused
 
 SAMPLE, WORDS, GRADES, LEAST = 4_000, 512, 3, 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,44 +57,80 @@ class OrdinalModel:
         ], dtype=float)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int = GRADES,
-                *, steps: int = 400, rate: float = 0.05, penalty: float = 1e-5
-                ) -> tuple[np.ndarray, np.ndarray]:
-    """Word weights and thresholds by full-batch Adam on the weighted log-likelihood.
+def _cuts(par: np.ndarray, d: int) -> np.ndarray:
+    """Thresholds from a first value and the logarithms of the steps, so that their order always holds."""
+    return par[d] + np.concatenate([[0.0], np.cumsum(np.exp(par[d + 1 :]))])
 
-    Thresholds are a first value and positive steps, so their order always holds.
-    """
+
+def loss(par: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int,
+         penalty: float) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood, and its gradient. ``weight`` adds up to one."""
     n, d = x.shape
-    par = np.zeros(d + grades)
+    w, gaps = par[:d], np.exp(par[d + 1 :])
+    z = (x @ w)[:, None] - _cuts(par, d)[None, :]
+    over = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    # P(grade = g) is the difference of neighbouring tails
+    tails = np.hstack([np.ones((n, 1)), over, np.zeros((n, 1))])
+    slope = np.hstack([np.zeros((n, 1)), over * (1 - over), np.zeros((n, 1))])
+    rows = np.arange(n)
+    mass = np.maximum(tails[rows, grade] - tails[rows, grade + 1], 1e-12)
+    by_tail = np.zeros((n, grades + 2))
+    by_tail[rows, grade] = slope[rows, grade] / mass
+    by_tail[rows, grade + 1] -= slope[rows, grade + 1] / mass
+    by_z = by_tail[:, 1:-1] * weight[:, None]
+    by_cut = -by_z.sum(axis=0)
+    grad = np.concatenate([
+        x.T @ by_z.sum(axis=1) - penalty * w,
+        [by_cut.sum()],
+        [by_cut[k:].sum() * gaps[k - 1] for k in range(1, grades)],
+    ])
+    return penalty / 2 * float(w @ w) - float(weight @ np.log(mass)), -grad
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, *,
+             steps: int = 2_000, enough: float = 1e-6, memory: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton descent, until no part of the gradient is over ``enough``."""
+    x, (value, grad) = start, f(start)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(grad).max() < enough:
+            break
+        way, kept = -grad, []
+        for s, y in reversed(past):
+            kept.append((a := (s @ way) / (s @ y)))
+            way = way - a * y
+        if past:
+            s, y = past[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(kept)):
+            way = way + s * (a - (y @ way) / (s @ y))
+        length = 1.0 if past else min(1.0, 1.0 / np.abs(grad).max())
+        slope = grad @ way
+        for _ in range(40):
+            nx = x + length * way
+            nv, ng = f(nx)
+            if nv <= value + 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, y = nx - x, ng - grad
+        if s @ y > 1e-12:
+            past = [*past[1 - memory :], (s, y)]
+        x, value, grad = nx, nv, ng
+    return x
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int = GRADES,
+                *, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Word weights and thresholds at the minimum of the weighted loss."""
+    d = x.shape[1]
     share = [max(1e-3, min(1 - 1e-3, np.average(grade > k, weights=weight))) for k in range(grades)]
     first = [np.log((1 - s) / s) for s in share]
-    par[d] = first[0]
-    par[d + 1 :] = np.log(np.maximum(np.diff(first), 0.05))
+    start = np.concatenate([np.zeros(d), first[:1], np.log(np.maximum(np.diff(first), 0.05))])
     weight = weight / weight.sum()
-    m, v = np.zeros_like(par), np.zeros_like(par)
-    for step in range(1, steps + 1):
-        w, gaps = par[:d], np.exp(par[d + 1 :])
-        cut = par[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = (x @ w)[:, None] - cut[None, :]
-        over = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        # P(grade = g) is the difference of neighbouring tails
-        tails = np.hstack([np.ones((n, 1)), over, np.zeros((n, 1))])
-        slope = np.hstack([np.zeros((n, 1)), over * (1 - over), np.zeros((n, 1))])
-        rows = np.arange(n)
-        mass = np.maximum(tails[rows, grade] - tails[rows, grade + 1], 1e-12)
-        by_tail = np.zeros((n, grades + 2))
-        by_tail[rows, grade] = slope[rows, grade] / mass
-        by_tail[rows, grade + 1] -= slope[rows, grade + 1] / mass
-        by_z = by_tail[:, 1:-1] * weight[:, None]
-        by_cut = -by_z.sum(axis=0)
-        grad = np.concatenate([
-            x.T @ by_z.sum(axis=1) - penalty * w,
-            [by_cut.sum()],
-            [by_cut[k:].sum() * gaps[k - 1] for k in range(1, grades)],
-        ])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        par += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-    return par[:d], par[d] + np.concatenate([[0.0], np.cumsum(np.exp(par[d + 1 :]))])
+    par = minimise(lambda p: loss(p, x, grade, weight, grades, penalty), start)
+    return par[:d], _cuts(par, d)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
@@ -149,12 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, words: in
     ).orderBy("doc_id").collect()  # at most two samples of rows, each of at most ``words`` hits
     x = np.zeros((len(slim), len(at)))
     toxic = np.array([r["toxic"] for r in slim])
-    amount = np.zeros(len(slim))
     for i, r in enumerate(slim):
         for e in r["hits"]:
             x[i, at[e["words"]]] = np.log1p(e["counts"])
-            amount[i] += np.log1p(e["counts"]) * (e["words"] in tied)
-    cuts = np.quantile(amount[toxic == 1], [k / grades for k in range(1, grades)])
+    # summed word by word in one order, and compared after rounding: equal texts never part
+    amount = np.round(x @ np.array([float(w in tied) for w in at]), 6)
+    cuts = np.round(np.quantile(amount[toxic == 1], [k / grades for k in range(1, grades)]), 6)
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, amount, side="right"), 0)
     weight = np.where(toxic == 1, totals[1] / taken[1], totals[0] / taken[0])
     w, thresholds = fit_ordinal(x, grade, weight, grades)
@@ -162,10 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, words: in
                         [float(t) for t in thresholds])
 
 
-def with_tails(docs: DataFrame, model: OrdinalModel, grades: int = GRADES) -> DataFrame:
-    """``docs`` with ``_above``, the probabilities that the grade exceeds 0, 1, ..."""
+def with_tails(docs: DataFrame, model: OrdinalModel, name: str = "_above", grades: int = GRADES
+               ) -> DataFrame:
+    """``docs`` with the probabilities that the grade exceeds 0, 1, ... in column ``name``."""
+    reserve([name], docs.columns)
     if not model.thresholds:
-        return docs.withColumn("_above", F.array(*[F.lit(0.0)] * grades))
+        return docs.withColumn(name, F.array(*[F.lit(0.0)] * grades))
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +213,10 @@ def with_tails(docs: DataFrame, model: OrdinalModel, grades: int = GRADES) -> Da
             above = model.above(model.scores(batch.column(where).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(above), pa.list_(pa.float64()))],
-                [*batch.schema.names, "_above"],
+                [*batch.schema.names, name],
             )
 
-    schema = StructType(list(docs.schema.fields)).add("_above", ArrayType(DoubleType()))
+    schema = StructType(list(docs.schema.fields)).add(name, ArrayType(DoubleType()))
     return docs.mapInArrow(run, schema)
 
 
@@ -199,6 +239,7 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, *, threshold: float = 0.5)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, *, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows graded toxic, all columns kept."""
-    rows = with_tails(docs, model)
-    return rows.filter(F.col("_above")[0] <= threshold).drop("_above")
+    """``docs`` without the rows graded toxic, all columns kept, whatever their names."""
+    name = unused("_above", docs.columns)
+    rows = with_tails(docs, model, name)
+    return rows.filter(F.col(name)[0] <= threshold).drop(name)
