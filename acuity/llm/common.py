@@ -7,12 +7,13 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acuity.sources.storage import stage
 
-__all__ = ["components", "column", "prefix_sums", "read", "reserve", "stage", "texts", "unused", "whole_groups"]
+__all__ = ["components", "column", "in_table", "key_place", "key_table", "prefix_sums", "read", "reserve", "stage", "texts", "unused", "whole_groups"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -144,3 +145,33 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iter
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Bits of a table that tells most rows without a wanted key from the others: 8 MB on each executor.
+TABLE_BITS = 26
+
+
+def key_table(keys: DataFrame, name: str, bits: int = TABLE_BITS) -> Broadcast:
+    """A broadcast bit table of the long column ``name``, 2^(bits - 3) bytes whatever its rows.
+
+    Bits are set by tasks and combined before the shuffle; the driver gets at most one bitmap
+    of 4 KB for each 32,768 places. No key that is there is ever missed; of the others a share
+    passes that grows with the number of keys, and what follows must be right for those too.
+    """
+    place = key_place(name, bits) + 1  # bitmap buckets start with place 1
+    parts = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("held")).collect()
+    table = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
+    for row in parts:
+        table[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["held"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def key_place(name: str, bits: int = TABLE_BITS) -> Column:
+    """A key's place in a :func:`key_table`."""
+    return F.pmod(F.xxhash64(name), F.lit(1 << bits))
+
+
+def in_table(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at ``places`` are set."""
+    return (table[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
