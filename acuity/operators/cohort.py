@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from acuity import schemas
@@ -41,6 +42,66 @@ def page(
     return placed.filter(inside).select(*df.columns).orderBy(*keys)
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where a page ended: its last row, and how many rows equal to it have been shown."""
+
+    last: dict
+    seen: int
+
+
+def cursor(rows: Sequence[Row], before: Cursor | None = None) -> Cursor | None:
+    """The cursor behind a page's collected rows; ``before`` is the one the page was asked with."""
+    if not rows:
+        return before
+    last = rows[-1].asDict()
+    seen = sum(r.asDict() == last for r in rows)
+    if before is not None and before.last == last:
+        seen += before.seen
+    return Cursor(last, seen)
+
+
+def _from(last: dict, order: Sequence[str]) -> Column:
+    """Rows at or behind ``last``, nulls first, as the ordering has it."""
+    at = F.lit(True)
+    for name in reversed(order):
+        value, c = last[name], F.col(name)
+        behind = c.isNotNull() if value is None else F.coalesce(c > F.lit(value), F.lit(False))
+        at = behind | (c.eqNullSafe(F.lit(value)) & at)
+    return at
+
+
+def page_after(
+    df: DataFrame, after: Cursor | None, limit: int = schemas.MAX_PAGE_ROWS,
+    order: Sequence[str] = (STAY,), *, reach: int = 1_024,
+) -> DataFrame:
+    """The next ``limit`` rows behind a cursor, in the order of :func:`page`; the first page without one.
+
+    No row ahead of the page is counted or put in order. The first column, a whole number, is
+    bounded on both sides by a filter that reaches the scan: from the cursor's value on, up to
+    ``reach`` further, and eight times as far again while that holds fewer than ``limit`` rows.
+    In the layout sorted by stay only the row groups of the page are read.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    names = _total_order(df, order)
+    keys = [F.col(c) for c in names]
+    if after is None:
+        return df.orderBy(*keys).limit(limit)
+    first, seen = F.col(names[0]), after.seen
+    value = after.last[names[0]]
+    rest = df.filter(_from(after.last, names))
+    if value is None:
+        return rest.orderBy(*keys).offset(seen).limit(limit)
+    rest = rest.filter(first >= value)
+    while value + reach < 2**62:
+        near = rest.filter(first <= value + reach)
+        if near.limit(seen + limit).count() == seen + limit:
+            return near.orderBy(*keys).offset(seen).limit(limit)
+        reach *= 8
+    return rest.orderBy(*keys).offset(seen).limit(limit)
+
+
 def search(df: DataFrame, text: str | None = None, high_risk_only: bool = False) -> DataFrame:
     """Patients that match a search text, optionally only those flagged as high risk.
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acuity import schemas
 from acuity.operators.skew import HOT_ROWS, key_shares, left_join
-from acuity.sources.storage import stage
+from acuity.sources.storage import ranges_of, stage, write_ranged
 from acuity.schemas import STAY
 
 
@@ -120,3 +120,21 @@ def write_back_scores(patients: DataFrame, scores: DataFrame, key: str = STAY,
             ),
         }
     ).drop("_new")
+
+
+def update_scores(spark: SparkSession, path: str, scores: DataFrame, *, width: int = 100_000,
+                  hot_rows: int = HOT_ROWS) -> list[int]:
+    """Put scores onto patients stored by ``write_ranged``; returns the ranges that were rewritten.
+
+    Only ranges with a scored stay are read and written; the files of the others are not
+    touched. The new rows are stored apart before they take the place of the old ones, so a
+    run that dies before that changes nothing, and one that dies later can be run again.
+    """
+    touched = ranges_of(scores, key=STAY, width=width)
+    if not touched:
+        return []
+    part = f"{STAY}_range"
+    old = spark.read.parquet(path).filter(F.col(part).isin(touched)).drop(part)
+    new = stage(write_back_scores(old, scores, hot_rows=hot_rows), "rescored")
+    write_ranged(new, path, width=width, only=True)
+    return touched

@@ -203,6 +203,33 @@ def roc_auc(df: DataFrame, score: str, label: str = schemas.TARGET, *, hot_rows:
     return ranked.agg(F.try_divide(wins, pairs).alias("auc"))
 
 
+def auc_bounds(
+    df: DataFrame, score: str, label: str = schemas.TARGET, *, low: float = 0.0, high: float = 1.0,
+    bins: int = 4_096,
+) -> DataFrame:
+    """Bounds ``lo`` and ``hi`` of :func:`roc_auc`, from one aggregation and no order of the rows.
+
+    Scores are counted in ``bins`` equal parts of ``low`` to ``high``; the outer parts take
+    what lies beyond. Pairs in different parts are certain; those within one count as lost
+    for ``lo`` and as won for ``hi``, so ``hi - lo`` is the share of pairs that share a part. Null without
+    both classes.
+    """
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    part = F.floor((F.col(score) - low) / (high - low) * bins)
+    hit = F.sum(F.col(label).cast("long"))
+    counts = df.filter(known).groupBy(
+        F.greatest(F.lit(0), F.least(F.lit(bins - 1), part)).alias("_part")
+    ).agg(hit.alias("_pos"), (F.count(F.lit(1)) - hit).alias("_neg"))
+    # ``bins`` rows at most
+    below = F.coalesce(F.sum("_neg").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sure = F.sum(F.col("_pos").cast("double") * F.col("_below"))
+    open_ = F.sum(F.col("_pos").cast("double") * F.col("_neg"))
+    pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
+    return counts.withColumn("_below", below).agg(
+        F.try_divide(sure, pairs).alias("lo"), F.try_divide(sure + open_, pairs).alias("hi"))
+
+
 def class_report(df: DataFrame, prediction: str = "prediction", label: str = schemas.TARGET
                  ) -> DataFrame:
     """Precision, recall, f1 and support per class, accuracy, and macro and weighted means.

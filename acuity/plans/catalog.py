@@ -245,6 +245,16 @@ def patient_page(spark, folder):
     return cohort.page(A.scored_patients(spark, folder), limit=100, offset=200)
 
 
+@query
+def patient_page_after(spark, folder):
+    """The page behind ``patient_page``, from that page's last row alone."""
+    path = storage.scratch_path(spark, "keyed")
+    storage.write_keyed(A.scored_patients(spark, folder), path, [STAY])
+    stored = spark.read.parquet(path)
+    before = cohort.page(stored, limit=100, offset=200).collect()
+    return cohort.page_after(stored, cohort.cursor(before), limit=100)
+
+
 @query
 def search_text(spark, folder):
     return cohort.search_page(A.scored_patients(spark, folder), "Build", limit=500, offset=50)
@@ -441,6 +451,15 @@ def auc_tied(spark, folder):
     return risk.roc_auc(A.scored_patients(spark, folder), "age")
 
 
+@query
+def auc_bounds(spark, folder):
+    """Bounds from a histogram, and whether the exact value lies between them."""
+    rows = A.scored_patients(spark, folder)
+    exact = risk.roc_auc(rows, "admissionweight").first()["auc"]
+    bounds = risk.auc_bounds(rows, "admissionweight", low=45.0, high=100.0, bins=500)
+    return bounds.withColumn("holds", F.lit(exact).between(F.col("lo"), F.col("hi")))
+
+
 @query
 def class_report(spark, folder):
     said = (F.col("admissionweight") < 56.0).cast("int").alias("prediction")
@@ -530,6 +549,21 @@ def score_writeback(spark, folder):
     return features.write_back_scores(patients, scores)
 
 
+@query
+def score_update(spark, folder):
+    """New scores for the stays of some ranges, written into the stored table, read back whole."""
+    path, width = storage.scratch_path(spark, "ranged"), 100
+    patients = A.patients(spark, folder).select(
+        STAY, "ml_risk_score", F.lit(None).cast("int").alias("ml_prediction"))
+    storage.write_ranged(patients, path, width=width)
+    wanted = (F.floor(F.col(STAY) / width) % 3 == 1) & (F.col(STAY) % 4 == 0)
+    scores = patients.filter(wanted).select(
+        STAY, (F.col(STAY) * 13 % 1000 / 1000.0).alias("risk_score")
+    ).withColumn("prediction", (F.col("risk_score") > 0.5).cast("int"))
+    features.update_scores(spark, path, scores, width=width)
+    return spark.read.parquet(path).drop(f"{STAY}_range")
+
+
 HEADLINE = [
     "clean_patients", "clean_vitals", "clean_labs", "vitals_agg", "lab_pivot", "feature_table",
     "cohort_stats", "unit_breakdown", "mortality_by_age", "top_diagnoses", "lab_summary",

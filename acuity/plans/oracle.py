@@ -355,6 +355,7 @@ QUERIES: dict[str, str] = {
           max(v) filter (v <= q3 + 1.5 * (q3 - q1)) as upper_whisker
         from rows join q using (outcome) group by outcome, q1, median, q3""",
     "patient_page": f"select * from scored order by {_SCORED_ORDER} limit 100 offset 200",
+    "patient_page_after": f"select * from scored order by {_SCORED_ORDER} limit 100 offset 300",
     "search_text": f"""
         select * from scored where unittype ilike '%Build%' or gender ilike '%Build%'
         order by {_SCORED_ORDER} limit 500 offset 50""",
@@ -471,6 +472,17 @@ QUERIES: dict[str, str] = {
         from scored group by hospital_mortality""",
     "auc": _AUC.format(score="admissionweight"),
     "auc_tied": _AUC.format(score="age"),
+    "auc_bounds": f"""
+        with b as (
+          select greatest(0, least(499, floor((admissionweight - 45) / 55 * 500))) as part,
+            sum(hospital_mortality)::double as pos, sum(1 - hospital_mortality)::double as neg
+          from scored where admissionweight is not null group by part),
+        c as (select *, coalesce(sum(neg) over (order by part
+                rows between unbounded preceding and 1 preceding), 0) as below from b),
+        d as (select sum(pos * below) / (sum(pos) * sum(neg)) as lo,
+                sum(pos * (below + neg)) / (sum(pos) * sum(neg)) as hi from c),
+        e as ({_AUC.format(score="admissionweight")})
+        select lo, hi, auc between lo and hi as holds from d, e""",
     "class_report": """
         with s as (select hospital_mortality as y, cast(admissionweight < 56 as integer) as p
                    from scored),
@@ -511,6 +523,13 @@ QUERIES: dict[str, str] = {
         select patientunitstayid, coalesce(b.score, ml_risk_score) as ml_risk_score,
           case when b.score is not null then cast(b.score > 0.5 as integer) end as ml_prediction
         from patients left join b using (patientunitstayid)""",
+    "score_update": """
+        select patientunitstayid, case when scored then (patientunitstayid * 13) % 1000 / 1000.0::double
+            else ml_risk_score end as ml_risk_score,
+          case when scored then cast((patientunitstayid * 13) % 1000 > 500 as integer) end
+            as ml_prediction
+        from (select *, (patientunitstayid // 100) % 3 = 1 and patientunitstayid % 4 = 0 as scored
+              from patients)""",
     "stratified_split": """
         select patientunitstayid, hospital_mortality, apachescore, place < ceil(0.2 * n) as is_test
         from (select *, row_number() over (partition by hospital_mortality order by
@@ -538,7 +557,7 @@ DOUBLES = [
     "mortality_rate", "avg_age", "avg_apache_score", "mortality_pct", "avg_apache", "share",
     "mean", "min", "max", "q1", "median", "q3", "lower_whisker", "upper_whisker", "value",
     "ewm", "std10", "trend", "lower", "upper", "gender_enc", "unittype_enc", "weight",
-    "auc", "precision", "recall", "f1", "positive_rate", "risk_score", "importance",
+    "auc", "precision", "recall", "f1", "positive_rate", "risk_score", "importance", "lo", "hi",
 ]
 # Queries whose results have none of them.
 NO_DOUBLES = {

@@ -126,6 +126,28 @@ def save_bucketed(
     return df.sparkSession.table(table)
 
 
+def write_ranged(df: DataFrame, path: str, *, key: str = schemas.STAY, width: int = 100_000,
+                 only: bool = False) -> None:
+    """Store ``df`` in folders of ``width`` consecutive keys each, column ``{key}_range``.
+
+    With ``only`` the folders of other ranges than those in ``df`` stay as they are. Each range is
+    written by as many tasks as adaptive execution finds it worth.
+    """
+    ranged = df.withColumn(f"{key}_range", F.floor(F.col(key) / width).cast("long"))
+    (
+        ranged.hint("rebalance", f"{key}_range").sortWithinPartitions(f"{key}_range", key)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only else "static")
+        .partitionBy(f"{key}_range").parquet(path)
+    )
+
+
+def ranges_of(df: DataFrame, *, key: str = schemas.STAY, width: int = 100_000) -> list[int]:
+    """The key ranges that rows of ``df`` fall into: as many as :func:`write_ranged` has folders at most."""
+    part = F.floor(F.col(key) / width).cast("long")
+    found = df.filter(F.col(key).isNotNull()).select(part.alias("part")).distinct()
+    return sorted(r["part"] for r in found.collect())
+
+
 def load_serving(spark: SparkSession, table: str, root: str | None = None) -> DataFrame:
     return spark.table(table) if root is None else spark.read.parquet(f"{root.rstrip('/')}/{table}")
 

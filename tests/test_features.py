@@ -118,3 +118,22 @@ def test_bucketed_tables_are_joined_in_place(spark, tmp_path):
         for name in sides:
             spark.sql(f"DROP TABLE t_{name}")
     assert storage.save_bucketed(apache, "t_hot", hot_rows=4) is None
+
+
+def test_only_touched_ranges_are_rewritten(spark, rows, tmp_path):
+    path = tmp_path / "ranged"
+    patients = spark.createDataFrame(
+        [(i, 0.1, None) for i in range(100)] + [(7, 0.2, 1)], f"{STAY} long, ml_risk_score double, ml_prediction int")
+    storage.write_ranged(patients, str(path), width=10)
+    when = lambda: {f: f.stat().st_mtime_ns for f in sorted(path.rglob("*.parquet"))}
+    before = when()
+    scores = spark.createDataFrame(
+        [(7, 0.9, 1), (7, 0.8, 1), (55, 0.3, 0), (10_000, 0.5, 1), (None, 0.5, 1)],
+        f"{STAY} long, risk_score double, prediction int")
+    assert features.update_scores(spark, str(path), scores, width=10) == [0, 5, 1000]
+    after = when()
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert {f.parent.name for f in kept} == {f"{STAY}_range={k}" for k in range(10) if k not in (0, 5)}
+    got = spark.read.parquet(str(path)).drop(f"{STAY}_range")
+    assert rows(got) == rows(features.write_back_scores(patients, scores))
+    assert features.update_scores(spark, str(path), scores.limit(0), width=10) == [] and when() == after

@@ -165,3 +165,16 @@ def test_class_report(spark):
 def test_dataset_summary(table, data):
     got = risk.dataset_summary(table).first()
     assert got["rows"] == 500 and got["positive_rate"] == pytest.approx(data[TARGET].mean())
+
+
+@pytest.mark.parametrize("column", ["smooth", "tied"])
+def test_auc_bounds_hold_and_close(table, column):
+    exact, width = risk.roc_auc(table, column).first()["auc"], []
+    for bins in (1, 8, 100, 100_000):
+        row = risk.auc_bounds(table, column, low=-3.0, high=7.0, bins=bins).first()
+        assert row["lo"] <= exact <= row["hi"]
+        width.append(row["hi"] - row["lo"])
+    assert width == sorted(width, reverse=True) and width[0] == 1
+    assert width[-1] < (0.01 if column == "smooth" else 0.3)
+    none = risk.auc_bounds(table.filter(f"{TARGET} = 1"), column).first()
+    assert none["lo"] is None and none["hi"] is None
