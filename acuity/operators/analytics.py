@@ -147,19 +147,69 @@ def box_summary(
     )
 
 
-def box_summary_approx(
-    patients: DataFrame, value: str = "apachescore", flag: str = "hospital_mortality",
-    accuracy: int = 10_000, names: Sequence[str] = ("q1", "median", "q3"),
+#: Size of a quantile sketch: ranks are within about 1.7 % of the rows at 200, 0.9 % at 400.
+SKETCH_K = 400
+
+
+def severity_sketches(
+    patients: DataFrame, by: Sequence[str] = ("unittype",), value: str = "apachescore",
+    flag: str = "hospital_mortality", *, k: int = SKETCH_K,
 ) -> DataFrame:
-    """Quartiles by outcome from Spark's mergeable sketch, in one pass without a sort."""
-    cuts = F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
+    """A mergeable quantile sketch of ``value`` per group and outcome, with count and bounds.
+
+    A few kilobytes a group whatever its rows. Store the result, add the rows of later
+    builds to it, and ask it by :func:`box_of_sketches` for any coarser groups.
+    """
     return (
         drop_missing(patients, [value, flag])
-        .groupBy(S.outcome(F.col(flag)).alias("outcome"))
+        .groupBy(*by, S.outcome(F.col(flag)).alias("outcome"))
         .agg(
-            cuts.alias("_cuts"), F.count(F.lit(1)).alias("count"),
+            F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"),
+            F.count(F.lit(1)).alias("count"),
             F.min(value).alias("min"), F.max(value).alias("max"),
         )
-        .select("outcome", *[F.col("_cuts")[i].alias(n) for i, n in enumerate(names)],
-                "count", "min", "max")
     )
+
+
+def box_of_sketches(
+    sketches: DataFrame, by: Sequence[str] = ("outcome",),
+    probs: Sequence[float] = (0.25, 0.5, 0.75), names: Sequence[str] = ("q1", "median", "q3"),
+) -> DataFrame:
+    """Approximate quartiles per group, with exact count and bounds, from stored sketches alone."""
+    merged = sketches.groupBy(*by).agg(
+        F.kll_merge_agg_double("sketch").alias("_sketch"),
+        F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
+    )
+    return merged.select(
+        *by, *[F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))).alias(n) for p, n in zip(probs, names)],
+        "count", "min", "max",
+    )
+
+
+def rank_errors(
+    boxes: DataFrame, patients: DataFrame, value: str = "apachescore",
+    flag: str = "hospital_mortality", probs: Sequence[float] = (0.25, 0.5, 0.75),
+    names: Sequence[str] = ("q1", "median", "q3"),
+) -> DataFrame:
+    """Per outcome, how far the ranks of approximate quartiles are from those asked for, as a share of rows.
+
+    One aggregation over the rows: a quartile covers the ranks from the share of smaller values
+    to that of values not larger.
+    """
+    rows = drop_missing(patients, [value, flag]).select(
+        S.outcome(F.col(flag)).alias("outcome"), F.col(value).alias("_value"))
+    # three rows at most: the two outcomes and neither
+    met = rows.join(F.broadcast(boxes.select("outcome", *names)), "outcome")
+    below = {n: F.avg((F.col("_value") < F.col(n)).cast("double")) for n in names}
+    up_to = {n: F.avg((F.col("_value") <= F.col(n)).cast("double")) for n in names}
+    worst = F.greatest(F.lit(0.0), *[
+        x for p, n in zip(probs, names) for x in (below[n] - p, p - up_to[n])])
+    return met.groupBy("outcome").agg(worst.alias("rank_error"))
+
+
+def box_summary_approx(
+    patients: DataFrame, value: str = "apachescore", flag: str = "hospital_mortality",
+    *, k: int = SKETCH_K,
+) -> DataFrame:
+    """Quartiles by outcome from sketches, in one pass without a sort."""
+    return box_of_sketches(severity_sketches(patients, (), value, flag, k=k))

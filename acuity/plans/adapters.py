@@ -149,3 +149,10 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
         patients(spark, folder), apache(spark, folder),
         vitals(spark, folder), labs(spark, folder),
     )
+
+
+#: The raw tables by the names of their files.
+RAW = {
+    "patient": raw_patients, "vitals": raw_vitals, "labs": raw_labs, "diagnosis": raw_diagnosis,
+    "treatment": raw_treatment, "apache": raw_apache,
+}

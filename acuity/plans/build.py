@@ -56,6 +56,7 @@ def run(
     partitions: int | None = None,
     apache_dedupe: bool = False,
     files: int | None = None,
+    train: bool = True,
     **training,
 ) -> Build:
     """Build everything under ``out_dir``; what is stored already is not built again.
@@ -63,7 +64,7 @@ def run(
     A table stored with other parameters, or from other raw files, is built again, and with
     it what depends on it. Serving tables are always
     overwritten, and scores stored for the patients before are dropped. A stored model is
-    kept unless ``retrain``.
+    kept unless ``retrain``; with ``train`` false none is made.
     """
     scan = {"partitions": partitions}
     clean = {
@@ -90,7 +91,7 @@ def run(
         storage.save_serving(clean[name], target, serving, files=files)
 
     done = None
-    if retrain or not model_ops.is_trained(spark, f"{out_dir}/model"):
+    if train and (retrain or not model_ops.is_trained(spark, f"{out_dir}/model")):
         done = model_ops.train(table, **training)
         model_ops.save(spark, done.model, f"{out_dir}/model")
     return Build(clean, table, done)

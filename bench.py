@@ -24,17 +24,10 @@ from acuity.session import session  # noqa: E402
 from acuity.sources import storage  # noqa: E402
 
 
-RAW = {
-    "patient": adapters.raw_patients, "vitals": adapters.raw_vitals, "labs": adapters.raw_labs,
-    "diagnosis": adapters.raw_diagnosis, "treatment": adapters.raw_treatment,
-    "apache": adapters.raw_apache,
-}
-
-
 def full_build(spark, folder: str) -> float:
     """Seconds from gzip CSV files of all six tables to serving tables and a trained model."""
     raw, out = storage.scratch_path(spark, "raw"), storage.scratch_path(spark, "build")
-    for name, make in RAW.items():
+    for name, make in adapters.RAW.items():
         rows = make(spark, folder)
         absent = [c for c in schemas.RAW_COLUMNS[name] if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in absent})

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from acuity.operators import analytics, cohort
 from acuity.schemas import STAY
@@ -87,3 +88,27 @@ def test_box_summary(spark, limit):
         assert (row["count"], row["min"], row["max"]) == (len(data[k]), min(data[k]), max(data[k]))
     near = {r["outcome"]: r for r in analytics.box_summary_approx(df).collect()}
     assert abs(near["Expired"]["median"] - got["Expired"]["median"]) < 2
+
+
+def test_sketches_merge_and_stay_close(spark, tmp_path):
+    """Sketches per unit, stored in two builds, answer for all rows; ranks keep to the bound."""
+    rng = np.random.default_rng(5)
+    rows = [(f"u{i % 7}", int(i % 3 == 0), float(x)) for i, x in enumerate(rng.lognormal(3, 1, 20_000))]
+    df = spark.createDataFrame(rows + [("u0", 1, None), ("u0", None, 3.0)],
+                               "unittype string, hospital_mortality int, apachescore double").repartition(5)
+    path = str(tmp_path / "sketches")
+    for half in (0, 1):
+        part = df.filter(F.pmod(F.xxhash64("apachescore"), F.lit(2)) == half)
+        analytics.severity_sketches(part).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.count() <= 2 * 7 * 2 and stored.select(F.max(F.length("sketch"))).first()[0] < 20_000
+    boxes = analytics.box_of_sketches(stored)
+    errors = {r["outcome"]: r["rank_error"] for r in analytics.rank_errors(boxes, df).collect()}
+    assert errors.keys() == {"Expired", "Survived"} and max(errors.values()) < 0.02
+    counts = {r["outcome"]: (r["count"], r["min"], r["max"]) for r in boxes.collect()}
+    for outcome, y in (("Expired", 1), ("Survived", 0)):
+        values = [x for _, f, x in rows if f == y]
+        assert counts[outcome] == (len(values), min(values), max(values))
+    off = boxes.withColumn("median", F.col("q3"))
+    assert min(r["rank_error"] for r in analytics.rank_errors(off, df).collect()) > 0.2
+    assert analytics.box_summary_approx(df.limit(0)).isEmpty()
