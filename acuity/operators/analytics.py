@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from acuity import schemas
 from acuity.functions import scalars as S
 from acuity.operators.clean import drop_missing
-from acuity.operators.skew import HOT_ROWS, percentiles_of_counts, value_counts
+from acuity.operators.skew import percentiles
+from acuity.sources.storage import stage
 from acuity.schemas import STAY
 
 
@@ -117,8 +118,7 @@ def frequent_labs(
 
 
 def box_summary(
-    patients: DataFrame, value: str = "apachescore", flag: str = "hospital_mortality",
-    *, hot_rows: int = HOT_ROWS,
+    patients: DataFrame, value: str = "apachescore", flag: str = "hospital_mortality", **options
 ) -> DataFrame:
     """Box-plot numbers of ``value`` by outcome over the whole cohort.
 
@@ -128,20 +128,18 @@ def box_summary(
     rows = drop_missing(patients, [value, flag]).select(
         S.outcome(F.col(flag)).alias("outcome"), F.col(value).alias("_value")
     )
-    # All numbers follow from the distinct values and their counts, read once.
-    counts = value_counts(rows, ["outcome"], "_value")
-    quartiles = percentiles_of_counts(
-        counts, ["outcome"], "_value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-        hot_rows=hot_rows,
-    )
+    quartiles = stage(percentiles(
+        rows, ["outcome"], "_value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+        keep=["rows", "least", "most"], **options,
+    ), "quartiles")
     # At most three rows: the two outcomes and neither.
-    boxed = counts.join(F.broadcast(quartiles), "outcome")
+    boxed = rows.join(F.broadcast(quartiles), "outcome")
     v, q1, q3 = F.col("_value"), F.col("q1"), F.col("q3")
     reach = (q3 - q1) * 1.5
-    return boxed.groupBy("outcome", "q1", "median", "q3").agg(
-        F.sum("_rows").alias("count"),
-        F.min("_value").alias("min"),
-        F.max("_value").alias("max"),
+    return boxed.groupBy(
+        "outcome", "q1", "median", "q3", F.col("rows").alias("count"), F.col("least").alias("min"),
+        F.col("most").alias("max"),
+    ).agg(
         F.min(F.when(v >= q1 - reach, v)).alias("lower_whisker"),
         F.max(F.when(v <= q3 + reach, v)).alias("upper_whisker"),
     )

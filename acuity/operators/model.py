@@ -86,7 +86,7 @@ def train(
 
     codes = risk.fit_unit_codes(train_rows)
     base = train_rows if medians_from == "train" else split
-    fill = risk.median_values(risk.encode(base, codes), available, hot_rows=hot_rows)
+    fill = risk.median_values(risk.encode(base, codes), available)
     inputs = _inputs(available, fill)
     # The codes enter as numbers, not as categories.
     assemble = VectorAssembler(inputCols=[f"_in_{c}" for c in available], outputCol="_features")

@@ -40,18 +40,17 @@ def present_features(df: DataFrame, wanted: Sequence[str] = schemas.FEATURES) ->
     return [c for c in wanted if c in df.columns]
 
 
-def medians(df: DataFrame, columns: Sequence[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """Exact median of each column as rows (feature, median); a column of nulls has none."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "feature", "value"
     )
-    return percentiles(long, ["feature"], "value", [0.5], ["median"], hot_rows=hot_rows)
+    return percentiles(long, ["feature"], "value", [0.5], ["median"], **options)
 
 
-def median_values(df: DataFrame, columns: Sequence[str], *, hot_rows: int = HOT_ROWS
-                  ) -> dict[str, float]:
+def median_values(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float]:
     """The medians as numbers: one per feature, whatever the number of rows."""
-    return {r["feature"]: r["median"] for r in medians(df, columns, hot_rows=hot_rows).collect()}
+    return {r["feature"]: r["median"] for r in medians(df, columns, **options).collect()}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

@@ -209,46 +209,83 @@ def left_join(
     )
 
 
-def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
-    *, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Exact percentiles per key with linear interpolation; nulls are left out.
+#: Parts a range of values is cut into by one pass of :func:`order_statistics`.
+PARTS = 8_192
 
-    Keys with more distinct values than ``hot_rows`` are answered from running counts over
-    the distinct values, so that no task has to hold a whole key.
-    """
-    return percentiles_of_counts(
-        value_counts(df, by, value), by, value, probs, names, hot_rows=hot_rows
-    )
 
+def order_statistics(
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], *, parts: int = PARTS
+) -> DataFrame:
+    """The values at the ranks that percentiles lie between, one row per key and ``rank``.
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per key with their number of ``_rows``, stored; nulls are left out."""
-    return stage(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
+    Besides the keys and the 0-based ``rank``: ``at``, its value, ``rows``, the values of the
+    key, and their ``least`` and ``most``. Nulls are left out.
 
+    Found by selection: a histogram tells which part of the range of values a rank falls into, and with
+    the least and most value in it; the next pass looks into that part only, until its ends
+    are equal. The ends of a range have parts of their own, so every pass gets further,
+    infinite values included. What is shuffled and stored is ``parts`` rows per range, whatever the
+    rows; they are read again for each pass, of which a few are enough.
+    """
+    keys = [f"_key_{c}" for c in by]
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    whole = stage(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_v").alias("least"), F.max("_v").alias("most")), "whole")
+    at = [F.lit(float(p)) * (F.col("rows") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+    open_ = whole.select(
+        *keys, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("_below"),
+        F.col("least").alias("_lo"), F.col("most").alias("_hi"))
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    share = (v * 0.5 - lo * 0.5) / F.nullif(hi * 0.5 - lo * 0.5, F.lit(0.0))
+    inner = F.when(F.isnan(share), 1).otherwise(
+        F.least(F.lit(parts), F.greatest(F.lit(1), F.floor(share * parts) + 1)))
+    part = F.when(v == lo, 0).when(v == hi, parts + 1).otherwise(inner).cast("int")
+    before = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    found = open_.filter("_lo = _hi")
+    open_ = open_.filter("_lo <> _hi")
+    while not open_.isEmpty():
+        ranges = open_.select(*[F.col(k).alias(f"_in{k}") for k in keys], "_lo", "_hi").distinct()
+        inside = functools.reduce(
+            Column.__and__, [F.col(k).eqNullSafe(F.col(f"_in{k}")) for k in keys], (v >= lo) & (v <= hi))
+        counts = rows.join(ranges, inside).groupBy(*keys, "_lo", "_hi", part.alias("_part")).agg(
+            F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select(
+            *[F.col(k).alias(f"_in{k}") for k in keys], F.col("_lo").alias("_from"), F.col("_hi").alias("_to"),
+            "_rows", "_before", "_a", "_z")
+        same = functools.reduce(
+            Column.__and__, [F.col(k).eqNullSafe(F.col(f"_in{k}")) for k in keys],
+            (F.col("_from") == lo) & (F.col("_to") == hi))
+        ahead = F.col("_below") + F.col("_before")
+        next_ = stage(
+            open_.join(counts, same & (F.col("rank") >= ahead) & (F.col("rank") < ahead + F.col("_rows"))).select(
+                *keys, "rank", ahead.alias("_below"), F.col("_a").alias("_lo"), F.col("_z").alias("_hi")),
+            "ranges")
+        found, open_ = found.unionByName(next_.filter("_lo = _hi")), next_.filter("_lo <> _hi")
+    mine = whole.select(*[F.col(k).alias(f"_of{k}") for k in keys], "rows", "least", "most")
+    same = functools.reduce(
+        Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys], F.lit(True))
+    return found.join(mine, same).select(
+        *[F.col(k).alias(c) for c, k in zip(by, keys)], "rank", F.col("_lo").alias("at"), "rows", "least", "most")
 
-def percentiles_of_counts(
-    counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-    names: Sequence[str], *, hot_rows: int = HOT_ROWS,
+
+def percentiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
+    *, parts: int = PARTS, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """:func:`percentiles` from the result of :func:`value_counts`."""
-    ranked = running_total(
-        counts, by, [F.col(value)], F.col("_rows"),
-        before="_first", total="_all", hot_rows=hot_rows,
-    )
+    """Exact percentiles per key with linear interpolation; nulls are left out.
+
+    By :func:`order_statistics`, so no task holds or sorts a key's values. ``keep`` names those of
+    its ``rows``, ``least`` and ``most`` to return as well. ``by`` must name a column.
+    """
+    ranked = order_statistics(df, by, value, probs, parts=parts)
     out = {}
     for prob, name in zip(probs, names):
-        at = F.lit(float(prob)) * (F.col("_all") - 1)
-        lower, upper = (
-            F.max(F.when((F.col("_first") <= p) & (p < F.col("_first") + F.col("_rows")),
-                         F.col(value)))
-            for p in (F.floor(at), F.ceil(at))
-        )
+        at = F.lit(float(prob)) * (F.col("rows") - 1)
+        lower, upper = (F.max(F.when(F.col("rank") == f(at), F.col("at"))) for f in (F.floor, F.ceil))
         share = F.max(at - F.floor(at))
-        out[name] = lower * (1.0 - share) + upper * share
-    return ranked.groupBy(*by).agg(*[c.alias(n) for n, c in out.items()])
+        # a share of nothing, so that an infinite neighbour does not count
+        out[name] = F.when(share == 0, lower).otherwise(lower * (1.0 - share) + upper * share)
+    return ranked.groupBy(*by).agg(
+        *[c.alias(n) for n, c in out.items()], *[F.max(c).alias(c) for c in keep])

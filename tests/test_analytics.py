@@ -77,7 +77,7 @@ def test_box_summary(spark, limit):
     data[1][:2] = [300.0, -200.0]
     flat = [(1, None, None, float(v), k) for k, vs in data.items() for v in vs]
     df = spark.createDataFrame([*flat, (1, None, None, None, 1), (1, None, None, 5.0, None)], SCHEMA)
-    got = {r["outcome"]: r for r in analytics.box_summary(df, hot_rows=limit).collect()}
+    got = {r["outcome"]: r for r in analytics.box_summary(df, parts=limit).collect()}
     for k, name in ((0, "Survived"), (1, "Expired")):
         q1, median, q3 = np.quantile(data[k], [0.25, 0.5, 0.75])
         reach = 1.5 * (q3 - q1)

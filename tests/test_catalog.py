@@ -90,7 +90,7 @@ HOT = {
     "feature_table": _hot_features,
     "stratified_split": _hot_split,
     "downsample": lambda s, f: series.downsample(A.vitals(s, f), 20, hot_rows=25),
-    "apache_box": lambda s, f: analytics.box_summary(A.scored_patients(s, f), hot_rows=90),
+    "apache_box": lambda s, f: analytics.box_summary(A.scored_patients(s, f), parts=3),
     "auc": lambda s, f: risk.roc_auc(A.scored_patients(s, f), "admissionweight", hot_rows=40),
     "auc_tied": lambda s, f: risk.roc_auc(A.scored_patients(s, f), "age", hot_rows=10),
     "patient_page": lambda s, f: cohort.page(

@@ -78,7 +78,7 @@ def test_present_features(table):
 def test_medians(spark, limit):
     values = [(float(i), None if i % 3 else i / 7, None) for i in range(100)]
     df = spark.createDataFrame(values, "a double, b double, c double")
-    got = risk.median_values(df, ["a", "b", "c"], hot_rows=limit)
+    got = risk.median_values(df, ["a", "b", "c"], parts=limit)
     assert got == {"a": 49.5, "b": pytest.approx(np.median([i / 7 for i in range(0, 100, 3)]))}
     filled = risk.impute(df, got)
     assert filled.filter("b is null").count() == 0 and filled.filter("c is null").count() == 100

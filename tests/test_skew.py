@@ -47,15 +47,15 @@ def test_null_is_a_key_like_any_other(spark, limit):
     assert len(out) == 301
     null = out[out["k"].isna()].sort_values("v")
     assert list(null["before"]) == list(range(300)) and (null["total"] == 300).all()
-    half = skew.percentiles(df, ["k"], "v", [0.5], ["p"], hot_rows=limit).toPandas()
+    half = skew.percentiles(df, ["k"], "v", [0.5], ["p"], parts=limit).toPandas()
     assert half.loc[half["k"].isna(), "p"].item() == 149.5 and len(half) == 2
 
 
-@pytest.mark.parametrize("limit", [40, 10_000])
-def test_percentiles(hot, limit):
+@pytest.mark.parametrize("parts", [6, 10_000])
+def test_percentiles(hot, parts):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     names = [f"p{i}" for i in range(len(probs))]
-    out = skew.percentiles(hot, ["k"], "v", probs, names, hot_rows=limit).toPandas()
+    out = skew.percentiles(hot, ["k"], "v", probs, names, parts=parts).toPandas()
     data = hot.toPandas()
     assert len(out) == data["k"].nunique()
     for row in out.itertuples():
@@ -63,6 +63,48 @@ def test_percentiles(hot, limit):
         assert np.allclose([getattr(row, n) for n in names], want)
 
 
+@pytest.mark.parametrize("parts", [1, 8_192])
+def test_order_statistics_of_odd_values(spark, parts):
+    inf = float("inf")
+    groups = {
+        "wide": [1e300, -1e300, 5e-324, 0.0, -0.0, 1.0, 1.0 + 2**-52, 2.0], "ends": [-inf, -inf, 1.0, 2.0, 3.0, inf],
+        "one": [4.0], "same": [7.0] * 30, "two": [1.0, 2.0], "far": [-1.7e308, 1.7e308, 3.0], "inf": [inf, inf],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v double")
+    probs = [0.0, 0.2, 0.5, 1.0]
+    got = skew.order_statistics(df, ["k"], "v", probs, parts=parts).collect()
+    assert {r["k"] for r in got} == set(groups) and len({(r["k"], r["rank"]) for r in got}) == len(got)
+    for r in got:
+        values = sorted(groups[r["k"]])
+        assert (r["at"], r["rows"], r["least"], r["most"]) == (values[r["rank"]], len(values), values[0], values[-1])
+    for k, values in groups.items():
+        wanted = {int(f(p * (len(values) - 1))) for p in probs for f in (np.floor, np.ceil)}
+        assert {r["rank"] for r in got if r["k"] == k} == wanted
+    whole = skew.percentiles(df, ["k"], "v", [0.0, 1.0], ["lo", "hi"], parts=parts, keep=["rows"])
+    assert {r["k"]: (r["lo"], r["hi"], r["rows"]) for r in whole.collect()} == {
+        k: (min(v), max(v), len(v)) for k, v in groups.items()}
+    assert skew.percentiles(df.limit(0), ["k"], "v", [0.5], ["p"]).isEmpty()
+
+
+def test_selection_writes_as_much_for_any_number_of_rows(spark, monkeypatch):
+    written = []
+    real = skew.stage
+
+    def counted(df, name="stage"):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(skew, "stage", counted)
+    for n in (1_000, 100_000):
+        written.clear()
+        df = spark.range(n).select(F.lit("k").alias("k"), F.xxhash64("id").cast("double").alias("v"))
+        got = skew.percentiles(df, ["k"], "v", [0.25, 0.5, 0.75], ["a", "b", "c"]).first()
+        values = np.array([r[0] for r in df.select("v").collect()])
+        assert np.allclose(list(got)[1:], np.quantile(values, [0.25, 0.5, 0.75]))
+        assert max(written) <= 6 and len(written) <= 4
+
+
 @pytest.mark.parametrize("shares", [1, 4])
 def test_last_rows(hot, shares):
     out = skew.last_rows(hot, ["k"], [F.desc("v")], 5, shares=shares).toPandas()
