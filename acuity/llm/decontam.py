@@ -44,7 +44,7 @@ UNITS = frozenset(
 )
 _OTHER, _LETTER, _DIGIT, _END = range(4)
 _NAME, _NUMBER, _UNIT = (np.uint64(xxhash.xxh64_intdigest(f"slot {k}")) for k in range(3))
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -201,7 +201,7 @@ def windows(raw: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None
 
 
 def _chunks(batch: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Texts in groups of about two megabytes: number of the first, bytes, starts."""
+    """Texts in groups of about a megabyte: number of the first, bytes, starts."""
     begin, held, size = 0, [], 0
     for i, text in enumerate(batch):
         held.append(text or b"")

@@ -32,7 +32,7 @@ from acuity.llm.common import texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 42, 4
-_CHUNK, _LONG, _NONE = 1 << 21, 256, 1 << 30
+_CHUNK, _LONG, _NONE = 1 << 19, 256, 1 << 30
 _BASE = 0x9E3779B97F4A7C15
 _CODES = 0x110000
 
