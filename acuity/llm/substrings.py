@@ -23,6 +23,7 @@ dealt out one by one by their own content instead, which is exact as well.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acuity.llm.common import stage, texts
+from acuity.llm.common import in_table, key_place, key_table, stage, texts
 
 LENGTH, GRAM = 50, 16
 FILTER_BYTES, CROWD, MOST_CROWDED = 64 << 20, 100_000, 1 << 16
@@ -210,10 +211,21 @@ class _Outbox:
             block, parts = self.held.popitem()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]),
-                 *[pa.array([np.concatenate(c).tobytes()]) for c in zip(*parts)]], self.names)
+                 *[pa.array([_packed(np.concatenate(c))]) for c in zip(*parts)]], self.names)
         self.size = 0
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed, with the number of bytes ahead; texts get far smaller than by the shuffle's own codec."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _unpacked(held: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(held[:8], "little")
+    return np.frombuffer(pa.decompress(held[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
 def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
     """Bit table over anchors that two texts hold, and the sorted crowded anchors."""
     most = max(64, FILTER_BYTES * 8 // blocks)
@@ -243,8 +255,7 @@ def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
         held: dict[int, list] = {}
         for b in batches:
             for block, h, n in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(block, []).append((np.frombuffer(h, np.uint64),
-                                                   np.frombuffer(n, "<u2")))
+                held.setdefault(block, []).append((_unpacked(h, np.uint64), _unpacked(n, "<u2")))
         for block, parts in held.items():
             h = np.concatenate([p[0] for p in parts])
             n = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -288,6 +299,23 @@ def _span_batch(doc, no, start, stop) -> pa.RecordBatch:
         ["doc_id", "no", "start", "stop"])
 
 
+def merged(doc: np.ndarray, no: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of the same rows as few as possible: those that touch or overlap become one."""
+    if not len(doc):
+        return doc, no, start, stop
+    order = np.lexsort((start, no, doc))
+    doc, no, start, stop = (x[order] for x in (doc, no, start, stop))
+    new = np.append(True, (doc[1:] != doc[:-1]) | (no[1:] != no[:-1]))
+    # one axis for all rows, each behind the one before, so that one running maximum serves
+    reach = stop.max(initial=0) + 1
+    shift = (np.cumsum(new) - 1) * reach
+    end = np.maximum.accumulate(stop + shift)
+    new[1:] |= start[1:] + shift[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], no[first], start[first], end[last] - shift[last]
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
                    crowd: int = CROWD) -> DataFrame:
     """Byte spans that go, overlapping, as ``doc_id``, ``no``, ``start``, ``stop``.
@@ -338,9 +366,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
                 small[order] = doc[order] == least
                 out = ~small
                 if out.any():
-                    box.add(-1 - int(h[0] % np.uint64(blocks)), nothing, doc[out],
-                            no[out].astype(np.int32), start[out],
-                            (last - first + length)[out], nothing)
+                    whose, which, a, z = merged(doc[out], no[out], start[out], (start + stop - first)[out])
+                    box.add(-1 - int(h[0] % np.uint64(blocks)), nothing, whose, which.astype(np.int32),
+                            a, z - a, nothing)
                 for block, part in _by_block(np.where(small, _spread(h, blocks), -1)):
                     if block < 0:
                         continue
@@ -356,7 +384,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         kinds = (np.uint64, np.int64, np.int32, np.int64, np.int64, np.uint8)
         for b in batches:
             for block, *parts in zip(*(c.to_pylist() for c in b.columns)):
-                h, doc, no, start, size, raw = (np.frombuffer(p, k) for p, k in zip(parts, kinds))
+                h, doc, no, start, size, raw = (_unpacked(p, k) for p, k in zip(parts, kinds))
                 if block < 0:
                     yield _span_batch(doc, no, start, start + size)
                 else:
@@ -388,7 +416,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         least = doc[head]
         later = doc > least[group]
         if later.any():
-            yield _span_batch(doc[later], no[later], start[later], (start + size)[later])
+            yield _span_batch(*merged(doc[later], no[later], start[later], (start + size)[later]))
         anchor = (np.cumsum(other) - 1)[head]
         several = np.bincount(anchor)[anchor] > 1
         chosen = np.flatnonzero(several)
@@ -468,9 +496,25 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                  *[pa.array(c, pa.int64()) for c in cols[1:]]],
                 ["doc_id", "text", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.join(per_doc, ["doc_id", "no"], "left").select(
+    # texts that lose nothing stay where they are; the table lets a few others pass to the join
+    table = key_table(spans, "doc_id")
+
+    def among(wanted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            inside = in_table(table.value, b.column(0).to_numpy())
+            yield b.select(["doc_id", "no", "text"]).filter(pa.array(inside == wanted))
+
+    placed = rows.select(key_place("doc_id").alias("place"), "doc_id", "no", "text")
+    kind = "doc_id long, no int, text binary"
+    touched = placed.mapInArrow(functools.partial(among, True), kind)
+    whole = placed.mapInArrow(functools.partial(among, False), kind)
+    none = F.lit(0).cast("long")
+    return touched.join(per_doc, ["doc_id", "no"], "left").select(
         "doc_id", "text", "starts", "stops").mapInArrow(
-        cut, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long")
+        cut, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long"
+    ).unionByName(whole.select(
+        "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"),
+        none.alias("n_removed"), none.alias("n_spans")))
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
