@@ -1,9 +1,9 @@
 """URL verdicts: the longest fitting rule, else gradient-boosted trees on lexical features.
 
 The trees see only the shape of a URL: lengths, depth, digits, entropy, parameters, hyphens
-and how often the host's last label went with unwanted URLs in the training sample. They
-are trained on a bounded sample of labelled URLs, here those of known unwanted and of other
-hosts, chosen by a hash of the URL, so that the sample does not depend on row order.
+and how often the host's last label went with unwanted URLs in training. They are trained on
+every distinct labelled URL, here those of known unwanted and of other hosts; the rates of
+all last labels are a table that is joined, however many there are.
 """
 
 from __future__ import annotations
@@ -28,9 +28,6 @@ RULES = [
 ]
 #: Names in a host's labels that make a URL a labelled unwanted one.
 UNWANTED = ["adult", "casino", "spam", "pills", "bets", "ads", "track", "porn", "malware"]
-#: Labelled URLs of each class that training reads at most.
-SAMPLE = 2_000
-SUFFIX_RATES = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOST_CHARS = _LOWER + "0123456789-."
@@ -69,8 +66,25 @@ def _count(text: Column, char: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("double")
 
 
-def with_features(urls: DataFrame, rates: dict[str, float]) -> DataFrame:
-    """Add the lexical features; ``urls`` has url, host and path."""
+def _suffix() -> Column:
+    return F.substring_index("host", ".", -1)
+
+
+def suffix_rates(labelled: DataFrame) -> DataFrame:
+    """Each last label of a host with its URLs and the share of unwanted ones, drawn to a half; stored."""
+    return stage(
+        labelled.groupBy(_suffix().alias("_suffix")).agg(
+            F.count(F.lit(1)).alias("_urls"),
+            ((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("_rate")),
+        "rates",
+    )
+
+
+def with_features(urls: DataFrame, rates: DataFrame) -> DataFrame:
+    """Add the lexical features; ``urls`` has url, host and path, ``rates`` is by :func:`suffix_rates`.
+
+    A last label without a rate takes the mean of all.
+    """
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     size = F.greatest(F.length(host), F.lit(1)).cast("double")
     share = F.transform(
@@ -80,12 +94,9 @@ def with_features(urls: DataFrame, rates: dict[str, float]) -> DataFrame:
     entropy = F.aggregate(share, F.lit(0.0), lambda a, p: F.when(p > 0, a - p * F.log2(p))
                           .otherwise(a))
     digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]+", "")).cast("double")
-    suffix = F.substring_index(host, ".", -1)
-    rate = F.lit(sum(rates.values()) / len(rates) if rates else 0.5)
-    if rates:
-        table = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])
-        rate = F.coalesce(F.try_element_at(table, suffix), rate)
-    return urls.withColumns({
+    mean = rates.agg(F.avg("_rate")).first()[0]
+    rated = urls.withColumn("_suffix", _suffix()).join(rates.select("_suffix", "_rate"), "_suffix", "left")
+    return rated.withColumns({
         "length": F.length(url).cast("double"),
         "host_length": F.length(host).cast("double"),
         "labels": _count(host, ".") + 1,
@@ -97,8 +108,8 @@ def with_features(urls: DataFrame, rates: dict[str, float]) -> DataFrame:
         "parameters": _count(url, "=") + _count(url, "&"),
         "longest": F.array_max(F.transform(F.split(host, "[.]"), lambda x: F.length(x)))
         .cast("double"),
-        "suffix_rate": rate,
-    })
+        "suffix_rate": F.coalesce("_rate", F.lit(mean)),
+    }).drop("_suffix", "_rate")
 
 
 def label_hosts(urls: DataFrame, unwanted: list[str] = UNWANTED) -> DataFrame:
@@ -109,10 +120,10 @@ def label_hosts(urls: DataFrame, unwanted: list[str] = UNWANTED) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """Trained trees and suffix rates, or one verdict where a class was missing."""
+    """Trained trees and a table of suffix rates, or one verdict where a class was missing."""
 
     trees: GBTClassificationModel | None
-    rates: dict[str, float]
+    rates: DataFrame | None
     constant: float = 0.0
 
     def probability(self, urls: DataFrame) -> DataFrame:
@@ -126,25 +137,24 @@ class UrlModel:
         )
 
 
-def train(labelled: DataFrame, *, sample: int = SAMPLE, seed: int = 7) -> UrlModel:
-    """Fit on at most ``sample`` URLs of each class; ``labelled`` has url, host, path, label."""
+def train(labelled: DataFrame, *, sample: int | None = None, seed: int = 7) -> UrlModel:
+    """Fit on every distinct labelled URL; ``labelled`` has url, host, path, label.
+
+    A caller may bound the URLs of each class by ``sample``; the smallest hashes are taken then.
+    """
     rows = labelled.filter(F.col("label").isNotNull()).select("url", "host", "path", "label")
-    rows = rows.dropDuplicates(["url"])
-    parts = [
-        rows.filter(F.col("label") == c).orderBy(F.xxhash64("url"), "url").limit(sample)
-        for c in (0.0, 1.0)
-    ]
-    taken = stage(parts[0].unionByName(parts[1]), "urls")
+    taken = rows.dropDuplicates(["url"])
+    if sample is not None:
+        parts = [
+            taken.filter(F.col("label") == c).orderBy(F.xxhash64("url"), "url").limit(sample)
+            for c in (0.0, 1.0)
+        ]
+        taken = parts[0].unionByName(parts[1])
+    taken = stage(taken, "urls")
     counts = {r[0]: r[1] for r in taken.groupBy("label").count().collect()}
     if len(counts) < 2:
-        return UrlModel(None, {}, constant=1.0 if counts.get(1.0) else 0.0)
-    suffix = F.substring_index("host", ".", -1)
-    rates = {
-        r[0]: r[1]
-        for r in taken.groupBy(suffix.alias("s"))
-        .agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("r"), F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "s").limit(SUFFIX_RATES).select("s", "r").collect()
-    }
+        return UrlModel(None, None, constant=1.0 if counts.get(1.0) else 0.0)
+    rates = suffix_rates(taken)
     rows = with_features(taken, rates)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows)
     trees = GBTClassifier(

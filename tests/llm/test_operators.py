@@ -341,6 +341,18 @@ def test_urls(spark):
     assert wrong == 0
 
 
+def test_url_training_takes_every_labelled_url(spark):
+    many = spark.range(10_400).selectExpr(
+        "id % 5200 AS page_id",
+        "concat('http://', if(id % 2 = 0, 'casino', 'word'), '.t', id % 5200 % 130, '/', id % 5200) AS url")
+    model = urls.train(urls.label_hosts(urls.with_parts(many)))
+    rates = {r["_suffix"]: (r["_urls"], r["_rate"]) for r in model.rates.collect()}
+    assert sum(n for n, _ in rates.values()) == 5200  # distinct URLs, 2,600 of each class
+    assert rates == {f"t{k}": (40, (40 * (k % 2 == 0) + 1) / 42) for k in range(130)}
+    got = urls.with_features(urls.with_parts(many), model.rates).groupBy("suffix_rate").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1 / 42, 5200), (41 / 42, 5200)]
+
+
 def test_toxicity_learns_ordered_grades(spark):
     rng = np.random.default_rng(1)
     plain, bad = [f"good{c}" for c in "abcdefgh"], ["vile", "nasty", "awful"]
