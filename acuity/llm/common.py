@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 
 from acuity.sources.storage import stage
 
-__all__ = ["components", "column", "in_table", "key_place", "key_table", "prefix_sums", "read", "reserve", "stage", "texts", "unused", "whole_groups"]
+__all__ = ["bounded_batches", "components", "column", "in_table", "key_place", "key_table", "prefix_sums", "read", "reserve", "stage", "texts", "unused", "whole_groups"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+#: Bytes of rows that Spark hands to a Python worker at once. The engine's own bound is 64 MB, which
+#: texts fill; both sides of the pipe then hold several times that for every task.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the bound for the session; an operator's results are computed after it has returned."""
+    spark.conf.set(*BATCH)
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots included."""
     return df[f"`{name}`"]

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acuity.llm.common import in_table, key_place, key_table, stage, texts
+from acuity.llm.common import bounded_batches, in_table, key_place, key_table, stage, texts
 
 LENGTH, GRAM = 50, 16
 FILTER_BYTES, CROWD, MOST_CROWDED = 64 << 20, 100_000, 1 << 16
-_PIECE, _HELD, _PART = 1 << 19, 32 << 20, 4 << 20
+_PIECE, _HELD, _PART = 1 << 19, 16 << 20, 1 << 20
+#: Bytes of a block that a task unpacks at once; what it has not come to stays compressed.
+_OPEN = 32 << 20
 _BASE = 0x9E3779B97F4A7C15
 _COVER, _PERIOD = (0, 1, 3), 7
 _MASK = (1 << 64) - 1
@@ -226,7 +228,39 @@ def _unpacked(held: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(held[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
 
 
-def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
+def _unpacked_size(held: bytes) -> int:
+    return int.from_bytes(held[:8], "little")
+
+
+def _shares(parts: list[tuple[bytes, ...]], kinds: tuple, limit: int) -> Iterator[list[np.ndarray]]:
+    """The columns of a block's compressed rows, in shares of about ``limit`` bytes.
+
+    The first column is a hash and decides the share, so equal ones come together; the last may
+    hold many values for each of them, as told by the one before it.
+    """
+    runs = len(kinds) > 2
+    shares = max(1, -(-sum(_unpacked_size(c) for part in parts for c in part) // limit))
+    for share in range(shares):
+        found = []
+        for part in parts:
+            h = _unpacked(part[0], kinds[0])
+            mine = np.flatnonzero((h >> np.uint64(40)) % np.uint64(shares) == share)
+            if not len(mine):
+                continue
+            rest = [_unpacked(c, k) for c, k in zip(part[1:], kinds[1:])]
+            if len(mine) == len(h):
+                found.append([h, *rest])
+                continue
+            if runs:
+                size = rest[-2]
+                rest[-1] = rest[-1][_runs((np.cumsum(size) - size)[mine], size[mine])]
+            flat = len(rest) - runs
+            found.append([h[mine], *(c[mine] for c in rest[:flat]), *rest[flat:]])
+        if found:
+            yield [np.concatenate(c) for c in zip(*found)]
+
+
+def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int, limit: int):
     """Bit table over anchors that two texts hold, and the sorted crowded anchors."""
     most = max(64, FILTER_BYTES * 8 // blocks)
 
@@ -255,13 +289,15 @@ def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
         held: dict[int, list] = {}
         for b in batches:
             for block, h, n in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(block, []).append((_unpacked(h, np.uint64), _unpacked(n, "<u2")))
-        for block, parts in held.items():
-            h = np.concatenate([p[0] for p in parts])
-            n = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            keys, which = np.unique(h, return_inverse=True)
-            total = np.bincount(which, weights=n).astype(np.int64)
-            keys, total = keys[total > 1], total[total > 1]
+                held.setdefault(block, []).append((h, n))
+        while held:
+            block, parts = held.popitem()
+            several = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for h, n in _shares(parts, (np.uint64, "<u2"), limit):
+                keys, which = np.unique(h, return_inverse=True)
+                total = np.bincount(which, weights=n).astype(np.int64)
+                several.append((keys[total > 1], total[total > 1]))
+            keys, total = (np.concatenate(c) for c in zip(*several))
             bits = 64
             while bits < 8 * len(keys) and bits * 2 <= most:
                 bits *= 2
@@ -273,7 +309,7 @@ def _shared(docs: DataFrame, length: int, gram: int, blocks: int, crowd: int):
                  pa.array([full.tobytes()]), pa.array([total[total > crowd].tobytes()])],
                 ["block", "table", "full", "counts"])
 
-    rows = docs.mapInArrow(count, "block long, h binary, n binary").repartition("block").mapInArrow(
+    rows = docs.mapInArrow(count, "block long, h binary, n binary").repartition(blocks, "block").mapInArrow(
         settle, "block long, table binary, full binary, counts binary")
     tables, full, counts = [b"\0" * 8] * blocks, [], []
     for r in rows.collect():  # one row a block, FILTER_BYTES together
@@ -317,15 +353,17 @@ def merged(doc: np.ndarray, no: np.ndarray, start: np.ndarray, stop: np.ndarray)
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
-                   crowd: int = CROWD) -> DataFrame:
+                   crowd: int = CROWD, limit: int = _OPEN) -> DataFrame:
     """Byte spans that go, overlapping, as ``doc_id``, ``no``, ``start``, ``stop``.
 
     ``docs`` has doc_id (no nulls), no, and text as binary. ``no`` tells rows of one id apart.
+    A block is unpacked ``limit`` bytes at a time, whatever it holds.
     """
     if not gram + 8 <= length or length < 2 * _PERIOD + 8:
         raise ValueError("windows are too short for the gram")
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = _shared(docs, length, gram, blocks, crowd)
+    bounded_batches(docs.sparkSession)
+    known = _shared(docs, length, gram, blocks, crowd, limit)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ends, sizes, full = known.value
@@ -384,24 +422,23 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         kinds = (np.uint64, np.int64, np.int32, np.int64, np.int64, np.uint8)
         for b in batches:
             for block, *parts in zip(*(c.to_pylist() for c in b.columns)):
-                h, doc, no, start, size, raw = (_unpacked(p, k) for p, k in zip(parts, kinds))
                 if block < 0:
+                    _, doc, no, start, size, _ = (_unpacked(p, k) for p, k in zip(parts, kinds))
                     yield _span_batch(doc, no, start, start + size)
                 else:
-                    held.setdefault(block, []).append((h, doc, no, start, size, raw))
+                    held.setdefault(block, []).append(tuple(parts))
         while held:
             _, parts = held.popitem()
-            whole = [np.concatenate(c) for c in zip(*parts)]
-            del parts
-            # one part of the block at a time, by anchor
-            cuts = max(1, len(whole[5]) // _PART)
-            at_byte = np.cumsum(whole[4]) - whole[4]
-            for cut in range(cuts):
-                mine = np.flatnonzero((whole[0] >> np.uint64(40)) % np.uint64(cuts) == cut)
-                if len(mine):
-                    some = [x[mine] for x in whole[:5]]
-                    raw = whole[5][_runs(at_byte[mine], some[4])]
-                    yield from part_spans(*some, raw)
+            for whole in _shares(parts, kinds, limit):
+                # one part of the share at a time, by anchor
+                cuts = max(1, len(whole[5]) // _PART)
+                at_byte = np.cumsum(whole[4]) - whole[4]
+                for cut in range(cuts):
+                    mine = np.flatnonzero((whole[0] >> np.uint64(16)) % np.uint64(cuts) == cut)
+                    if len(mine):
+                        some = [x[mine] for x in whole[:5]]
+                        raw = whole[5][_runs(at_byte[mine], some[4])]
+                        yield from part_spans(*some, raw)
 
     def part_spans(h, doc, no, start, size, raw) -> Iterator[pa.RecordBatch]:
         from_ = np.cumsum(size) - size
@@ -446,7 +483,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
 
     sent = docs.mapInArrow(
         send, "block long, h binary, doc binary, no binary, start binary, size binary, bytes binary")
-    return sent.repartition("block").mapInArrow(settle, _SPAN)
+    return sent.repartition(blocks, "block").mapInArrow(settle, _SPAN)
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -13,20 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acuity.llm import decontam, jaccard, secrets, sentencepiece_bpe, toxicity
-from acuity.llm.common import read, stage
-
-#: Bytes of rows that Spark hands to a Python worker at once. The engine's own bound is 64 MB, which
-#: texts fill; several stages in one application then keep twice the memory in every worker.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
-
-
-def _bounded(spark: SparkSession) -> None:
-    """Set the bound for the session; the stages' results are computed after they return."""
-    spark.conf.set(*BATCH)
-
+from acuity.llm.common import bounded_batches, read, stage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
+    bounded_batches(spark)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
@@ -39,23 +29,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     from shared leading shingles, which miss none, and each is checked by its whole sets; the
     bits of ``op9_simhash`` are its own.
     """
-    _bounded(spark)
+    bounded_batches(spark)
     return jaccard.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
+    bounded_batches(spark)
     return decontam.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
+    bounded_batches(spark)
     return secrets.mask_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids``, and ``lossless``, the outcome of decoding them again."""
-    _bounded(spark)
+    bounded_batches(spark)
     return sentencepiece_bpe.encode_checked(docs).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless"
     )

@@ -320,6 +320,33 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 9, 1 << 14, 1 << 30])
+def test_repeats_unpack_a_block_in_bounded_shares(spark, limit):
+    rng = np.random.default_rng(8)
+    kinds = (np.uint64, np.int64, np.int32, np.int64, np.int64, np.uint8)
+    parts, sizes = [], []
+    for k in range(6):
+        h, size = rng.integers(0, 1 << 63, 200, dtype=np.uint64), rng.integers(50, 90, 200)
+        h[:50] = h[0] if k == 0 else 7 << 40  # an anchor of its own, and one that all parts hold
+        raw = np.repeat(h.astype(np.uint8), size)
+        row = (h, np.arange(200), np.full(200, k, np.int32), np.arange(200) * 9, size, raw)
+        parts.append(tuple(substrings._packed(c.astype(t)) for c, t in zip(row, kinds)))
+        sizes.append(sum(c.astype(t).nbytes for c, t in zip(row, kinds)))
+    seen, rows = set(), []
+    for h, at, no, start, size, raw in substrings._shares(parts, kinds, limit):
+        assert not seen & set(h.tolist()) and len(raw) == size.sum()
+        assert (raw == np.repeat(h.astype(np.uint8), size)).all() and (start == at * 9).all()
+        seen |= set(h.tolist())
+        rows += zip(no.tolist(), at.tolist())
+        if limit == 1 << 14:  # a share is about as large as said, but for the anchor that repeats
+            assert sum(c.nbytes for c in (h, at, no, start, size, raw)) < 5 * limit < sum(sizes)
+    assert sorted(rows) == [(k, i) for k in range(6) for i in range(200)]
+    texts = [f"{i} {'same words again and again ' * 4}{'x' * (i % 7)} tail {i % 5}" * 3 for i in range(60)]
+    want = [tuple(r) for r in substrings.repeat_digests(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = substrings.repeat_digests(docs(spark, texts), limit=limit).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and sum(r[2] for r in want) > 5_000
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([
         (0, "http://A.org/x"), (1, "https://m.example.org/es/1?x"), (2, "http://example.org/en/12"), (3, "http://com/fr/"),
