@@ -221,6 +221,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return one_of_each(docs, near_duplicates(docs, **options))
 
 
+def representatives(classes: DataFrame) -> DataFrame:
+    """Each doc_id that is the ``component_id`` of one of its rows, once."""
+    return classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+
+
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its ``component_id``, one each; those without an id stay."""
     keep = stage(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acuity.llm import decontam, jaccard, secrets, sentencepiece_bpe, toxicity
+from acuity.llm import decontam, jaccard, secrets, sentencepiece_bpe, simhash, toxicity
 from acuity.llm.common import bounded_batches, read, stage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts whose five-word shingles are 0.8 similar or more.
+    """The rows that come first in their class, both by fingerprints and by whole sets.
 
-    That similarity is some ten of 64 fingerprint bits apart, where blocks no longer part the
-    pairs from chance: of the pairs of sf0.1 three bits find one in seven. So candidates come
-    from shared leading shingles, which miss none, and each is checked by its whole sets; the
-    bits of ``op9_simhash`` are its own.
+    The classes by fingerprints are those of ``op9_simhash``: links of three bits or fewer. An
+    exact search by the similarity of five-word shingles follows, as a similarity of 0.8 is some
+    ten of 64 bits apart, where blocks no longer part the pairs from chance. Both see all rows
+    of ``docs``. A row that goes has one of a smaller doc_id in a class of its own, and the
+    smallest of all that are tied together stays.
     """
     bounded_batches(spark)
-    return jaccard.drop_near_duplicates(docs)
+    first = stage(simhash.representatives(simhash.near_duplicates(docs)), "first")
+    classes = jaccard.near_duplicates(docs)
+    # about as many ids as documents: never a broadcast, however few they are
+    return simhash.one_of_each(docs, classes.join(first.hint("merge"), "doc_id", "left_semi"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,6 +241,20 @@ def test_near_copies_of_the_pipeline(spark, plain):
     assert [r["doc_id"] for r in left] == sorted(set(map(find, root)))
 
 
+def test_pipeline_drops_by_fingerprints_and_by_sets(spark):
+    tail = lambda name: " ".join(f"{name}{i}" for i in range(20))
+    apart = [f"{'one two three ' * 100}{tail(c)}" for c in "xy"]  # one fingerprint, few common shingles
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base), " ".join(base[:-1])]  # similar sets, fingerprints apart
+    given = docs(spark, [*apart, *near, tail("z")])
+    by_bits = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(given).collect()}
+    by_sets = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(given).collect()}
+    assert by_bits[1] == 0 and by_sets[1] == 1 and by_sets[3] == 2
+    left = corpus_pipeline.drop_near_duplicates(spark, given, "").collect()
+    assert sorted(r["doc_id"] for r in left) == [0, 2, 4]
+    assert sorted(r["doc_id"] for r in left) == [d for d in range(5) if by_bits[d] == by_sets[d] == d]
+
+
 def test_repeats(spark):
     rng = np.random.default_rng(5)
     text = lambda n: "".join(rng.choice(list("abcdeé "), n))
