@@ -92,7 +92,8 @@ def train(
     assemble = VectorAssembler(inputCols=[f"_in_{c}" for c in available], outputCol="_features")
     settings = dict(
         numTrees=100, maxDepth=8, minInstancesPerNode=10, seed=seed,
-        featureSubsetStrategy="sqrt",
+        # each row keeps its place in every tree, so that no pass walks the trees from their roots again
+        featureSubsetStrategy="sqrt", cacheNodeIds=True,
     ) | forest
     classifier = RandomForestClassifier(
         featuresCol="_features", labelCol=TARGET, weightCol="_weight",

@@ -215,6 +215,15 @@ def test_stored_nodes_give_scores_and_importances(spark, built, tmp_path):
     assert by_nodes == pytest.approx(dict(gains)) == {k: pytest.approx(v) for k, v in importances.items() if v}
 
 
+def test_rows_keep_their_places_in_the_trees(built):
+    """Passes over the training rows do not walk the trees again, and the forest is the one that walking grows."""
+    kept = model.train(built.features, **FOREST).model.stages.stages[-1]
+    walked = model.train(built.features, **FOREST, cacheNodeIds=False).model.stages.stages[-1]
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    trees = lambda fitted: [t.toDebugString.split("\n", 1)[1] for t in fitted.trees]
+    assert trees(kept) == trees(walked)
+
+
 def test_a_forest_of_single_leaves(spark):
     nodes = spark.createDataFrame(
         [(t, 0, None, None, None, None, None, 5.0, s) for t, s in ((0, 0.25), (1, 0.75))],
