@@ -35,9 +35,9 @@ BASE = [
 ]
 
 _TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+_MIXED = "({0} RLIKE '[0-9]' AND {0} RLIKE '[A-Za-z]')"
 TOKEN = Kind(
-    "token", _TOKEN, r"text RLIKE r'[A-Za-z0-9+/_-]{20}'",
-    "m.text RLIKE '[0-9]' AND m.text RLIKE '[A-Za-z]'",
+    "token", _TOKEN, r"text RLIKE r'[A-Za-z0-9+/_-]{20}'", _MIXED.format("m.text"),
 )
 
 # The alphabets in the order of their codes.
@@ -55,7 +55,7 @@ ALPHABETS = [
 ]
 
 #: Hex digits in groups, judged without their dashes.
-DASHED = "^(?:(?:[0-9a-f]{4,}-)+[0-9a-f]{4,}|(?:[0-9A-F]{4,}-)+[0-9A-F]{4,})$"
+DASHED = "^(?:(?:[0-9a-f]{4,}+-)++[0-9a-f]{4,}+|(?:[0-9A-F]{4,}+-)++[0-9A-F]{4,}+)$"
 
 
 def _upper_tail(z: str) -> str:
@@ -63,33 +63,37 @@ def _upper_tail(z: str) -> str:
     return f"(1D / (1D + exp(1.5976D * ({z}) + 0.07056D * pow({z}, 3D))))"
 
 
-def randomness(tokens: str = "token") -> str:
-    """SQL that adds the alphabet and the joint p-value to each match of an array column."""
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def randomness(token: str) -> str:
+    """SQL for a struct of a token's length bin and its joint p-value, in time linear in its length."""
     alphabet = "CASE " + "".join(
         f"WHEN v RLIKE '{test}' THEN '{chars}' " for _, test, chars in ALPHABETS[:-1]
     ) + f"ELSE '{ALPHABETS[-1][2]}' END"
-    a, n = "double(length(s.abc))", "double(length(s.v))"
+    n = "double(length(v))"
+    # every sign is in the alphabet; those that do not occur add nothing
     squares = (
-        "aggregate(transform(sequence(1, length(s.abc)), j -> "
-        "length(s.v) - length(replace(s.v, substring(s.abc, j, 1), ''))), 0D, "
-        "(t, c) -> t + double(c) * c)"
+        "aggregate(transform(array_distinct(cs), c -> "
+        "octet_length(v) - octet_length(replace(v, c, ''))), 0D, (t, c) -> t + double(c) * c)"
     )
-    codes = "transform(sequence(1, length(s.v)), j -> double(instr(s.abc, substring(s.v, j, 1)) - 1))"
-    shifted = "zip_with(slice(s.x, 1, size(s.x) - 1), slice(s.x, 2, size(s.x) - 1), {f})"
-    high = "size(filter(s.x, x -> 2 * x >= length(s.abc)))"
+    codes = "transform(cs, c -> double(instr(abc, c) - 1))"
+    shifted = "zip_with(slice(xs, 1, size(xs) - 1), slice(xs, 2, size(xs) - 1), {f})"
+    high = "size(filter(xs, x -> 2 * x >= a))"
     runs = (
         "1 + size(filter("
-        + shifted.format(f="(x, y) -> (2 * x >= length(s.abc)) != (2 * y >= length(s.abc))")
+        + shifted.format(f="(x, y) -> (2 * x >= a) != (2 * y >= a)")
         + ", b -> b))"
     )
-    mean = "(aggregate(s.x, 0D, (t, x) -> t + x) / size(s.x))"
+    mean = "(aggregate(xs, 0D, (t, x) -> t + x) / size(xs))"
     stat = f"""named_struct(
-        'chi', {a} / {n} * {squares} - {n}, 'df', {a} - 1,
+        'chi', a / {n} * {squares} - {n}, 'df', a - 1,
         'up', double({high}), 'runs', double({runs}), 'n', {n},
-        'cov', aggregate({shifted.format(f="(x, y) -> (x - s.mean) * (y - s.mean)")}, 0D, (t, x) -> t + x),
-        'var', aggregate(s.x, 0D, (t, x) -> t + (x - s.mean) * (x - s.mean)),
-        'm', s.m)"""
-    z = """named_struct('m', t.m,
+        'cov', aggregate({shifted.format(f="(x, y) -> (x - mean) * (y - mean)")}, 0D, (t, x) -> t + x),
+        'var', aggregate(xs, 0D, (t, x) -> t + (x - mean) * (x - mean)))"""
+    z = """named_struct(
         'chi', (pow(t.chi / t.df, 1D / 3) - (1 - 2 / (9 * t.df))) / sqrt(2 / (9 * t.df)),
         'run', CASE WHEN t.up * (t.n - t.up) * 2 <= t.n THEN 9D ELSE
             (t.runs - (2 * t.up * (t.n - t.up) / t.n + 1)) / sqrt(
@@ -100,33 +104,27 @@ def randomness(tokens: str = "token") -> str:
         f" + ln(least(1D, 2 * {_upper_tail('least(abs(z.run), 8D)')}))"
         f" + ln(least(1D, 2 * {_upper_tail('least(abs(z.cor), 8D)')})))"
     )
-    p = f"""named_struct('start', y.m.start, 'end', y.m.end, 'text', y.m.text,
-        'bin', int(floor(log2(length(y.m.text)))),
-        'p', ceil(exp(-y.f / 2) * (1 + y.f / 2 + y.f * y.f / 8) * {GRID}) / {GRID})"""
-    chain = [
-        ("m", f"named_struct('m', m, 'v', CASE WHEN m.text RLIKE '{DASHED}' "
-              "THEN replace(m.text, '-', '') ELSE regexp_replace(m.text, '=+$', '') END)"),
-        ("q", f"transform(array(q.v), v -> named_struct('m', q.m, 'v', v, 'abc', {alphabet}))[0]"),
-        ("s", f"named_struct('m', s.m, 'v', s.v, 'abc', s.abc, 'x', {codes})"),
-        ("s", f"named_struct('m', s.m, 'v', s.v, 'abc', s.abc, 'x', s.x, 'mean', {mean})"),
-        ("s", stat), ("t", z), ("z", f"named_struct('m', z.m, 'f', {logs})"), ("y", p),
-    ]
-    out = tokens
-    for name, body in chain:
-        out = f"transform({out}, {name} -> {body})"
+    out = f"""named_struct('bin', int(floor(log2(length({token})))),
+        'p', ceil(exp(-f / 2) * (1 + f / 2 + f * f / 8) * {GRID}) / {GRID})"""
+    stripped = (f"CASE WHEN {token} RLIKE '{DASHED}' THEN replace({token}, '-', '') "
+                f"ELSE regexp_replace({token}, '=+$', '') END")
+    # what a long token is spread into lasts while that token is judged, not the whole text's
+    for name, value in reversed([
+        ("v", stripped), ("abc", alphabet), ("a", "double(length(abc))"), ("cs", "split(v, '')"),
+        ("xs", codes), ("mean", mean), ("t", stat), ("z", z), ("f", logs),
+    ]):
+        out = _let(name, value, out)
     return out
 
 
-def _cutoffs(found: DataFrame) -> dict[int, float]:
+def _cutoffs(judged: DataFrame) -> dict[int, float]:
     """The largest p-value rejected in each length bin; none is rejected where it is absent.
 
-    P-values lie on a grid, so the running counts have few rows whatever the table; one row
-    per power of two of the token length comes to the driver.
+    ``judged`` has ``bin`` and ``p`` of every token. P-values lie on a grid, so the running
+    counts have few rows whatever the table; one row per power of two of the token length
+    comes to the driver.
     """
-    counts = (
-        found.select(F.explode("token").alias("t")).select("t.bin", "t.p")
-        .groupBy("bin", "p").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = judged.groupBy("bin", "p").agg(F.count(F.lit(1)).alias("n"))
     key = Window.partitionBy("bin")
     ranked = counts.select(
         "bin", "p",
@@ -151,8 +149,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     and text are ignored. Spans of different kinds may overlap.
     """
     found = find(texts(docs), [*BASE, TOKEN])
-    found = stage(found.withColumn("token", F.expr(randomness())), "secrets")
-    secret = F.expr(f"filter(token, m -> NOT {_patterned(_cutoffs(found))})")
+    judged = _let("r", randomness("m.text"), "named_struct('start', m.start, 'end', m.end, "
+                  "'text', m.text, 'bin', r.bin, 'p', r.p)")
+    found = stage(found.withColumn("token", F.expr(f"transform(token, m -> {judged})")), "secrets")
+    cutoffs = _cutoffs(found.select(F.explode("token").alias("t")).select("t.bin", "t.p"))
+    secret = F.expr(f"filter(token, m -> NOT {_patterned(cutoffs)})")
     return found.withColumn("random", secret).drop("token")
 
 
@@ -173,21 +174,21 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the new text. Null texts stay null.
     """
-    cutoffs = _cutoffs(stage(
-        find(texts(docs), [TOKEN]).select(F.expr(randomness()).alias("token"))
-        .filter(F.size("token") > 0), "tokens",
-    ))
     at = quoted(_TOKEN)
-    gap, hit, new = (unused(c, docs.columns) for c in ("_gap", "_hit", "_new"))
-    judged = randomness(f"transform({hit}, x -> named_struct('start', 0, 'end', 0, 'text', x))")
-    keep = (f"m.text NOT RLIKE '[0-9]' OR m.text NOT RLIKE '[A-Za-z]' OR {_patterned(cutoffs)}")
-    out = docs.withColumn(gap, F.expr(f"split(text, {at}, -1)")).withColumn(
-        hit, F.expr(f"regexp_extract_all(text, {at}, 0)")
-    ).withColumn(new, F.expr(
-        f"transform({judged}, m -> CASE WHEN {keep} THEN m.text ELSE '{MASK}' END)"
-    )).withColumn("text", F.expr(
-        f"CASE WHEN size({hit}) = 0 THEN text ELSE array_join(flatten(zip_with({gap}, {new}, "
-        "(g, h) -> array(g, coalesce(h, '')))), '') END"
+    hits = f"regexp_extract_all(text, {at}, 0)"
+    # outer, as a filter on the matches would be pushed ahead of them with all that they are made of
+    tokens = texts(docs).select(F.explode_outer(F.expr(hits)).alias("text")).filter(
+        F.expr(_MIXED.format("text"))
+    )
+    judged = tokens.select(F.expr(randomness("text")).alias("t"))
+    cutoffs = _cutoffs(judged.select("t.bin", "t.p"))
+    hit = unused("_hit", docs.columns)
+    patterned = _let("r", randomness("x"), _patterned(cutoffs, "r"))
+    keep = f"NOT {_MIXED.format('x')} OR {patterned}"
+    new = f"transform({hit}, x -> CASE WHEN {keep} THEN x ELSE '{MASK}' END)"
+    out = docs.withColumn(hit, F.expr(hits)).withColumn("text", F.expr(
+        f"CASE WHEN size({hit}) = 0 THEN text ELSE array_join(flatten(zip_with("
+        f"split(text, {at}, -1), {new}, (g, h) -> array(g, coalesce(h, '')))), '') END"
     ))
     named = _ASSIGN.replace("([A-Za-z0-9+/_.=-]++)", "[A-Za-z0-9+/_.=-]{6,}+")
     head, tail = named.rsplit("[A-Za-z0-9+/_.=-]{6,}+", 1)
